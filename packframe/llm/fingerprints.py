@@ -1,47 +1,87 @@
 """Document fingerprints: bottom-k sketches of word shingles.
 
-A sketch holds the ``k`` smallest distinct 64-bit shingle hashes (16 hex digits
-of md5, so that they sort as text and SQL engines agree on them).  The sketch of
-a union is the ``k`` smallest of the sketches' union, so sketches of parts merge.
+A sketch holds the ``k`` smallest distinct shingle hashes.  The sketch of a union
+is the ``k`` smallest of the sketches' union, so sketches of parts merge.  A
+word's hash is 30 bits of its md5; a shingle's is a fixed linear function of its
+words' hashes modulo a prime near 2**59.  Such a hash is pairwise independent,
+which bottom-k estimates need, costs one md5 a distinct word, and is plain
+64-bit arithmetic in any SQL engine.
 
 * distinct shingles: the size if the sketch holds under ``k`` hashes, else
   ``(k - 1) / u`` with ``u`` the k-th hash as a fraction of the hash range;
 * resemblance: the share of the union's bottom-k that both sketches hold;
 * containment of a in b: ``resemblance * |union| / |a|``, at most 1.
 
-A word is a run without white space of the lower-cased text, and a text of fewer
-than ``n`` words is one shingle.  Null, empty and blank texts have an empty
+A word is a run without ASCII white space of the lower-cased text, and a text of
+fewer than ``n`` words is one shingle.  Null, empty and blank texts have an empty
 sketch, 0 distinct shingles, resemblance and containment 0.  Repeated rows give
 repeated results; null ids stay null.  Only the named columns of the input are used.
 """
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-N, K = 5, 128
-RANGE = float(1 << 60)
-
-
-def words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[ \t\n\r]+"), lambda w: w != "")
-
+from packframe.llm.common import counted, owners, ref
 
-def shingle_hashes(words: Column, n: int = N) -> Column:
-    """The distinct shingles' hashes in ascending order.  words: a column of a frame, not an expression, as each shingle refers to it."""
-    made = F.transform(
-        F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(words) - F.lit(n))),
-        # get(), not slice(): outside generated code slice() copies the whole array each time
-        lambda i: F.substring(F.md5(F.concat_ws(" ", *[F.get(words, i + F.lit(j)) for j in range(n)]).cast("binary")), 1, 16),
-    )
-    return F.when(F.size(words) > 0, F.sort_array(F.array_distinct(made))).otherwise(F.array().cast("array<string>"))
+N, K = 5, 128
+WORD_RANGE, RANGE = (1 << 30) - 35, (1 << 59) - 55
+#: Factors below 2**30: a sum of up to 7 products stays below 2**63.
+FACTORS = (823640017, 1043150719, 664918541, 958105847, 720883139, 893720243, 777912461)
+
+
+class _Hashes(dict):
+    """md5 of each word met, computed once."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = value = int(hashlib.md5(word, usedforsecurity=False).hexdigest()[:8], 16) % WORD_RANGE
+        return value
+
+
+def hash_shingles(texts: list[bytes], n: int, known: dict) -> tuple[np.ndarray, np.ndarray]:
+    """(shingle hashes, offsets by text)."""
+    split = [t.split() for t in texts]
+    count = np.array([len(w) for w in split], np.int64)
+    offsets = np.append(0, np.cumsum(count))
+    words = np.fromiter((known[w] for row in split for w in row), np.int64, int(offsets[-1]))
+    doc = owners(offsets)
+    left = offsets[1:][doc] - np.arange(len(words))
+    total = np.zeros(len(words), np.int64)
+    for k in range(n):
+        has = np.flatnonzero(left > k)
+        total[has] += words[has + k] * FACTORS[k]
+    keep = (left >= n) | (np.arange(len(words)) == offsets[:-1][doc])
+    return (total % RANGE)[keep], np.searchsorted(doc[keep], np.arange(len(offsets)))
+
+
+def bottom_k(lowered: Column, n: int = N, k: int = K) -> Column:
+    """The sketch of a lower-cased text: ascending hashes."""
+
+    @F.arrow_udf("array<bigint>")
+    def sketch_of(texts: pa.Array) -> pa.Array:
+        out = []
+        known = _Hashes()
+        for start in range(0, len(texts), 512):
+            part = texts.slice(start, 512).fill_null("").cast(pa.binary()).to_pylist()
+            keys, offsets = hash_shingles(part, n, known)
+            keys, _, offsets = counted(keys, offsets)
+            size = np.minimum(np.diff(offsets), k)
+            ends = np.append(0, np.cumsum(size))
+            at = np.arange(ends[-1]) + np.repeat(offsets[:-1] - ends[:-1], size)
+            out.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(keys[at])))
+        return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int64()))
+
+    return sketch_of(lowered)
 
 
 def sketch(docs: DataFrame, by: list[str], text: str = "text", n: int = N, k: int = K) -> DataFrame:
     """(*by, sketch) of each row; no shuffle."""
-    split = docs.select(*by, words(F.col(text)).alias("_words"))
-    return split.select(*by, F.slice(shingle_hashes(F.col("_words"), n), 1, k).alias("sketch"))
+    return docs.select(*by, bottom_k(F.lower(ref(docs, text).cast("string")), n, k).alias("sketch"))
 
 
 def merge(sketches: DataFrame, by: list[str], k: int = K, column: str = "sketch") -> DataFrame:
@@ -50,18 +90,13 @@ def merge(sketches: DataFrame, by: list[str], k: int = K, column: str = "sketch"
     Hashes are ranked within salted parts first, so that a hot group is merged by many tasks.
     """
     once = sketches.select(*by, F.explode(column).alias("h")).groupBy(*by, "h").agg(F.lit(1).alias("one")).drop("one")
-    salted = once.withColumn("salt", F.substring("h", -2, 2))
+    salted = once.withColumn("salt", F.pmod("h", F.lit(256)))
     part = salted.groupBy(*by, "salt").agg(F.slice(F.array_sort(F.collect_list("h")), 1, k).alias("part"))
     return part.groupBy(*by).agg(F.slice(F.array_sort(F.flatten(F.collect_list("part"))), 1, k).alias("sketch"))
 
 
-def as_fraction(h: Column) -> Column:
-    """The hash as a fraction of the range, by its first 15 digits."""
-    return F.conv(F.substring(h, 1, 15), 16, 10).cast("bigint").cast("double") / F.lit(RANGE)
-
-
 def distinct_estimate(s: Column, k: int = K) -> Column:
-    return F.when(F.size(s) < k, F.size(s).cast("double")).otherwise(F.lit(float(k - 1)) / as_fraction(F.element_at(s, -1)))
+    return F.when(F.size(s) < k, F.size(s).cast("double")).otherwise(F.lit(float(k - 1)) / (F.element_at(s, -1).cast("double") / F.lit(float(RANGE))))
 
 
 def resemblance(a: Column, b: Column, k: int = K) -> Column:
@@ -85,7 +120,7 @@ def fingerprints(docs: DataFrame, against: DataFrame, doc_id: str = "doc_id", te
     """
     whole = merge(sketch(against.select(F.col(text).alias("text")), [], "text", n, k).withColumn("all", F.lit(1)), ["all"], k)
     whole = whole.select(F.col("sketch").alias("whole"))
-    empty = docs.sparkSession.range(1).select(F.array().cast("array<string>").alias("none"))
+    empty = docs.sparkSession.range(1).select(F.array().cast("array<bigint>").alias("none"))
     whole = empty.join(whole, how="left").select(F.coalesce("whole", "none").alias("whole"))
     mine = sketch(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), ["doc_id"], "text", n, k)
     out = mine.crossJoin(F.broadcast(whole))
@@ -99,19 +134,21 @@ def fingerprints(docs: DataFrame, against: DataFrame, doc_id: str = "doc_id", te
     )
 
 
+_SHINGLE = " + ".join(f"coalesce(w[i + {j}] * {FACTORS[j]}, 0)" for j in range(N))
 SQL = f"""
-WITH w AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\r]+'), lambda x: x <> '') AS w, 0 AS side FROM documents
-  UNION ALL
-  SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\r]+'), lambda x: x <> ''), 1 FROM benchmark),
+WITH t AS (
+  SELECT doc_id, text, 0 AS side FROM documents UNION ALL SELECT item_id, text, 1 FROM benchmark),
+w AS (
+  SELECT doc_id, side, list_transform(list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\r\\x0b\\x0c]+'), lambda x: x <> ''),
+    lambda x: ('0x' || md5(x)[1:8])::BIGINT % {WORD_RANGE}) AS w FROM t),
 s AS (
   SELECT doc_id, side, CASE WHEN len(w) > 0 THEN list_sort(list_distinct(list_transform(range(1, greatest(1, len(w) - {N - 1}) + 1),
-    lambda i: md5(array_to_string(w[i:i + {N - 1}], ' '))[1:16])))[1:{K}] ELSE [] END AS s FROM w),
+    lambda i: ({_SHINGLE}) % {RANGE})))[1:{K}] ELSE [] END AS s FROM w),
 b AS (SELECT coalesce(list_sort(list(DISTINCT h))[1:{K}], []) AS b FROM (SELECT unnest(s) AS h FROM s WHERE side = 1)),
 u AS (SELECT doc_id, s, b, list_sort(list_distinct(list_concat(s, b)))[1:{K}] AS u, list_intersect(s, b) AS i FROM s, b WHERE side = 0),
 e AS (SELECT *, CASE WHEN len(u) = 0 THEN 0.0 ELSE len(list_intersect(u, i)) / len(u)::DOUBLE END AS r,
-  CASE WHEN len(s) < {K} THEN len(s)::DOUBLE ELSE {K - 1}.0::DOUBLE / (('0x' || s[-1][1:15])::BIGINT::DOUBLE / {RANGE!r}::DOUBLE) END AS ds,
-  CASE WHEN len(u) < {K} THEN len(u)::DOUBLE ELSE {K - 1}.0::DOUBLE / (('0x' || u[-1][1:15])::BIGINT::DOUBLE / {RANGE!r}::DOUBLE) END AS du FROM u)
+  CASE WHEN len(s) < {K} THEN len(s)::DOUBLE ELSE {K - 1}::DOUBLE / (s[-1]::DOUBLE / {RANGE}::DOUBLE) END AS ds,
+  CASE WHEN len(u) < {K} THEN len(u)::DOUBLE ELSE {K - 1}::DOUBLE / (u[-1]::DOUBLE / {RANGE}::DOUBLE) END AS du FROM u)
 SELECT doc_id, len(s)::INT AS n_sketch, round(ds, 3) AS distinct_shingles, round(r, 6) AS resemblance,
   round(CASE WHEN len(s) = 0 THEN 0.0 ELSE least(1.0, r * du / ds) END, 6) AS containment, array_to_string(s, ',') AS sketch
 FROM e
