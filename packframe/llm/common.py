@@ -9,6 +9,7 @@ other ASCII characters separate words.  Callers lower-case the text in the JVM.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,20 +26,33 @@ BROADCAST_BYTES = 64 << 20
 MIX_A, MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which all executors share.
+
+    A temporary folder stands in only where the session names none, and only in
+    local mode, where all tasks see it.
+    """
+    at = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="packframe-"))
+        at = spark.sparkContext.getCheckpointDir()
+    return at
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in ``spark.checkpoint.dir``.
+    """Cut the lineage: write the rows as a table in the shared folder and read it again.
 
-    A folder of our own is set only where the session has none, and only in
-    local mode, where a temporary folder is shared by all tasks.
+    The table outlives any executor, is compressed, and goes when the session ends.
     """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        at = spark.conf.get("spark.checkpoint.dir", None)
-        if not at and not sc.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="packframe-"))
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(spark)}/packframe-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:
@@ -171,3 +185,20 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20)
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that the frame doesn't hold, whatever its case."""
+    held = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in held:
+            name = f"_{name}"
+        held.add(name.lower())
+        out.append(name)
+    return out
+
+
+def ref(df: DataFrame, name: str):
+    """A column by its exact name, dots and all."""
+    return df["`" + name.replace("`", "``") + "`"]
