@@ -79,10 +79,11 @@ def word_table(docs: DataFrame, known: tuple[np.ndarray, np.ndarray]) -> DataFra
         docs_of = np.zeros(3, np.int64)
 
         def fold() -> None:
-            keys, back = np.unique(np.concatenate(held), return_inverse=True)
-            total = np.zeros((len(keys), 3), np.int64)
-            np.add.at(total, back, np.concatenate(sums))
-            held[:], sums[:] = [keys], [total]
+            keys, total = np.concatenate(held), np.concatenate(sums)
+            order = np.argsort(keys, kind="stable")
+            keys, total = keys[order], total[order]
+            at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            held[:], sums[:] = [keys[at]], [np.add.reduceat(total, at, axis=0)]
 
         for batch in pieces(batches, "t"):
             side = _side(batch.column("id"), shared.value)
@@ -221,7 +222,9 @@ def induce(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     is_clean = np.zeros(len(frame), bool)
     is_clean[ranked] = True
     edges = ppmi_edges(pair_counts(rows, frame["key"].to_numpy(np.uint64), window))
-    start = pd.DataFrame({"node": np.arange(len(frame), dtype=np.int32), "toxic": is_toxic / is_toxic.sum(), "clean": is_clean / max(1, is_clean.sum())})
+    # Seeds restart in proportion to their labelled documents, so that both walks cover the languages alike.
+    mass = [np.where(side, frame[c].to_numpy(float), 0.0) for side, c in ((is_toxic, "toxic_df"), (is_clean, "clean_df"))]
+    start = pd.DataFrame({"node": np.arange(len(frame), dtype=np.int32), "toxic": mass[0] / mass[0].sum(), "clean": mass[1] / max(1.0, mass[1].sum())})
     found = walk(edges, start, steps, restart).sort_values("node")
     smooth = 0.01 / len(frame)
     ratio = np.log((found["toxic"].to_numpy() + smooth) / (found["clean"].to_numpy() + smooth))
