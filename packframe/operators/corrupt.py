@@ -8,8 +8,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from packframe.functions.scalar import IGNORE, hash32, pad_width, padded
 
@@ -39,23 +42,48 @@ def upto(n: Column) -> Column:
     return F.filter(F.sequence(F.lit(0), F.greatest(F.lit(0), n)), lambda i: i < n)
 
 
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def _tally(hits: pa.Array, cells: pa.Array) -> pa.Array:
+    """How often each of 0 .. cells - 1 is hit: linear in a row's hits, where a filter a cell would be quadratic."""
+    size = np.maximum(cells.fill_null(0).to_numpy(zero_copy_only=False), 0).astype(np.int64)
+    ends = np.append(0, np.cumsum(size))
+    offsets = hits.offsets.to_numpy()
+    owner = np.repeat(np.arange(len(size)), np.diff(offsets))
+    flat = hits.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]] if len(offsets) else np.zeros(0, np.int64)
+    counts = np.bincount((ends[owner] + flat).astype(np.int64), minlength=int(ends[-1]))
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(counts.astype(np.int32)))
+
+
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def _before(lens: pa.Array) -> pa.Array:
+    """The sum of the elements before each element."""
+    offsets = lens.offsets.to_numpy().astype(np.int64)
+    flat = lens.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]].astype(np.int64)
+    sums = np.append(0, np.cumsum(flat))[:-1]
+    offsets = offsets - offsets[0]
+    first = np.append(sums, 0)[np.minimum(offsets[:-1], len(sums))]
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array((sums - np.repeat(first, np.diff(offsets))).astype(np.int32)))
+
+
 def spread(items: Column, cells: Column, side: str, key: Column, config: SpanConfig) -> Column:
     """How many of the items fall in each cell."""
     hit = F.transform(upto(items), lambda j: F.pmod(hash32(F.lit(config.seed), key, F.lit(side), j), cells.cast("bigint")).cast("int"))
-    return F.transform(upto(cells), lambda c: F.size(F.filter(hit, lambda h: h == c)))
+    return _tally(F.coalesce(hit, F.array().cast("array<int>")), cells)
 
 
 def spans(df: DataFrame, config: SpanConfig = SpanConfig(), key: str = "example_id", length: str = "L") -> DataFrame:
     """df with noise_n, span_n, noise_lens and gap_lens."""
     noise, count = span_counts(F.col(length), config)
     out = df.withColumn("noise_n", F.when(F.col(length) > 0, noise).otherwise(F.lit(0))).withColumn("span_n", F.when(F.col(length) > 0, count).otherwise(F.lit(0)))
-    keep = F.greatest(F.lit(0), F.col(length) - F.col("noise_n"))
-    n, s, k = F.col("noise_n"), F.col("span_n"), F.col(key)
-    lens = F.when(n >= s, F.transform(spread(n - s, s, "noise", k, config), lambda x: x + 1)).otherwise(F.array_repeat(F.lit(1), s))
-    roomy = F.transform(spread(keep - s - 1, s + 1, "gap", k, config), lambda x: x + 1)
-    gaps = F.when(keep >= s + 1, roomy).otherwise(spread(keep, s + 1, "gap", k, config))
+    out = out.withColumn("_keep", F.greatest(F.lit(0), F.col(length) - F.col("noise_n")))
+    keep, n, s, k = F.col("_keep"), F.col("noise_n"), F.col("span_n"), F.col(key)
+    roomy, many = keep >= s + 1, n >= s
+    out = out.withColumn("_noise", spread(F.when(many, n - s).otherwise(F.lit(0)), s, "noise", k, config))
+    out = out.withColumn("_gap", spread(F.when(roomy, keep - s - 1).otherwise(keep), s + 1, "gap", k, config))
     none = F.array().cast("array<int>")
-    return out.withColumn("noise_lens", F.when(s > 0, lens).otherwise(none)).withColumn("gap_lens", F.when(s > 0, gaps).otherwise(F.array(F.col(length))))
+    lens = F.transform("_noise", lambda x: x + 1)
+    gaps = F.when(roomy, F.transform("_gap", lambda x: x + 1)).otherwise(F.col("_gap"))
+    return out.withColumn("noise_lens", F.when(s > 0, lens).otherwise(none)).withColumn("gap_lens", F.when(s > 0, gaps).otherwise(F.array(F.col(length)))).drop("_keep", "_noise", "_gap")
 
 
 def sentinel(i: Column, config: SpanConfig) -> Column:
@@ -66,9 +94,8 @@ def sentinel(i: Column, config: SpanConfig) -> Column:
 def corrupt(df: DataFrame, config: SpanConfig = SpanConfig(), ids: str = "input_ids", key: str = "example_id") -> DataFrame:
     """df with corrupted and target: each noise span is replaced by a sentinel, and spelt out in the target."""
     held = spans(df.withColumn("L", F.size(ids)), config, key)
-    before = lambda lens, i: F.aggregate(F.slice(lens, 1, i), F.lit(0), lambda a, x: a + x)
-    at = F.transform(upto(F.col("span_n")), lambda i: before(F.col("gap_lens"), i) + before(F.col("noise_lens"), i))
-    held = held.withColumn("_at", at)
+    held = held.withColumn("_g", _before(F.col("gap_lens"))).withColumn("_n", _before(F.col("noise_lens")))
+    held = held.withColumn("_at", F.transform(upto(F.col("span_n")), lambda i: F.get("_g", i) + F.get("_n", i)))
     index = upto(F.col("span_n"))
     gap = lambda i: F.slice(ids, F.get("_at", i) + 1, F.get("gap_lens", i))
     noise = lambda i: F.slice(ids, F.get("_at", i) + F.get("gap_lens", i) + 1, F.get("noise_lens", i))
@@ -79,7 +106,7 @@ def corrupt(df: DataFrame, config: SpanConfig = SpanConfig(), ids: str = "input_
     none = F.array().cast("array<int>")
     end = F.array(F.lit(config.eos)).cast("array<int>") if config.eos is not None else none
     some = F.col("span_n") > 0
-    return held.withColumn("corrupted", F.when(some, F.concat(body, tail)).otherwise(none)).withColumn("target", F.concat(F.when(some, target).otherwise(none), end)).drop("_at")
+    return held.withColumn("corrupted", F.when(some, F.concat(body, tail)).otherwise(none)).withColumn("target", F.concat(F.when(some, target).otherwise(none), end)).drop("_at", "_g", "_n")
 
 
 def collate_spans(df: DataFrame, by: list[str], config: SpanConfig = SpanConfig()) -> DataFrame:

@@ -90,5 +90,5 @@ SQL_EXAMPLES = f"""{SQL_PAIR_TEXTS}, examples AS (SELECT example_id, input_ids,
 SQL_PREDICTIONS = f"""{SQL_PAIR_TEXTS}, predictions AS (SELECT example_id, source, coalesce(array_to_string(list_filter(w, lambda x, i: ('0x' || md5(example_id::VARCHAR || '|' || (i - 1)::VARCHAR)[1:6])::BIGINT % 10 <> 0), ' '), '') AS pred, reference AS ref
   FROM (SELECT *, {SQL_WORDS.format('reference')} AS w FROM pair_texts))"""
 SQL_LOG = """log AS (SELECT user_id // 64 AS run, event_id AS step, (user_id % 8)::INT AS regime_key, CASE WHEN event_type = 'error' THEN 'oom' ELSE 'ok' END AS outcome, event_id % 2 = 0 AS shrink_b,
-  json_extract_string(props, '$.k')::DOUBLE AS util, coalesce(value, 0) * 10.0::DOUBLE + 1.0::DOUBLE AS exec_ms, epoch_ms(ts)::DOUBLE AS ts_ms, epoch_ms(ts)::DOUBLE + (coalesce(value, 0) * 10.0::DOUBLE + 1.0::DOUBLE) AS end_ms,
+  json_extract_string(props, '$.k')::DOUBLE AS util, coalesce(value, 0) * 10.0::DOUBLE + 1.0::DOUBLE AS exec_ms, (epoch_us(ts) // 1000)::DOUBLE AS ts_ms, (epoch_us(ts) // 1000)::DOUBLE + (coalesce(value, 0) * 10.0::DOUBLE + 1.0::DOUBLE) AS end_ms,
   floor(coalesce(value, 0) * 100)::BIGINT + 1 AS tokens, event_id % 16 + 1 AS examples FROM events)"""
