@@ -9,7 +9,7 @@
 4. A range over ``overfull`` times the target is subdivided: its records, in key
    order, are cut at each target's worth of bytes, so no shard exceeds the target
    by more than a record.  Records of one key can be cut, as ties are ordered by
-   the record's hash.
+   the hash of the whole record; repeated rows across a cut are dealt out in turn.
 5. Records move once, straight to their shard's partition, sorted by key.
 
 Shards are numbered from 0 in key order.  Sizes are bytes of UTF-8 text, at least
@@ -78,7 +78,7 @@ def range_of(key: Column, splitters: list[bytes]) -> Column:
 def assign(docs: DataFrame, keys: list[str], text: str, target_bytes: int = TARGET_BYTES, oversample: int = OVERSAMPLE, overfull: float = OVERFULL) -> tuple[DataFrame, int, tuple[str, str, str, str]]:
     """(the records with their key, hash, size and shard; the number of shards; the names of those four columns)."""
     k, h, s, r = fresh(docs, "_key", "_hash", "_size", "_range")
-    rows = docs.withColumn(s, F.greatest(F.lit(1), F.coalesce(F.octet_length(ref(docs, text)), F.lit(1))).cast("bigint")).withColumn(k, sort_key(docs, keys)).withColumn(h, F.xxhash64(*[ref(docs, c) for c in keys], ref(docs, text)))
+    rows = docs.withColumn(s, F.greatest(F.lit(1), F.coalesce(F.octet_length(ref(docs, text)), F.lit(1))).cast("bigint")).withColumn(k, sort_key(docs, keys)).withColumn(h, F.xxhash64(*[ref(docs, c) for c in docs.columns]))
     slim = checkpoint(rows.select(F.col(k).alias("k"), F.col(h).alias("h"), F.col(s).alias("s")))
     total = slim.agg(F.sum("s")).first()[0] or 0
     shards = max(1, -(-total // target_bytes))
@@ -103,13 +103,18 @@ def assign(docs: DataFrame, keys: list[str], text: str, target_bytes: int = TARG
 
     @F.arrow_udf("int")
     def shard_of(keys_: pa.Array, hashes: pa.Array) -> pa.Array:
-        from bisect import bisect_right
+        from bisect import bisect_left, bisect_right
 
         out = []
+        turn = 0
         for key, h_ in zip(keys_.cast(pa.binary()).to_pylist(), hashes.to_pylist()):
             rng = bisect_right(splitters, key)
             inside = inner_cuts.get(rng)
-            out.append(first[rng] + (bisect_right(inside, (key, h_)) if inside else 0))
+            part = bisect_right(inside, (key, h_)) if inside else 0
+            if part and (low := bisect_left(inside, (key, h_))) < part - 1:  # the same row on both sides of a cut
+                turn += 1
+                part = low + 1 + turn % (part - low)
+            out.append(first[rng] + part)
         return pa.array(out, pa.int32())
 
     return rows.withColumn(r, shard_of(F.col(k), F.col(h))), len(bounds), (k, h, s, r)
