@@ -9,7 +9,8 @@
 4. A range over ``overfull`` times the target is subdivided: its records, in key
    order, are cut at each target's worth of bytes, so no shard exceeds the target
    by more than a record.  Records of one key can be cut, as ties are ordered by
-   the hash of the whole record; repeated rows across a cut are dealt out in turn.
+   the hash of the whole record; repeated rows across a cut are dealt out
+   in turn, as their bytes fall to its sides.
 5. Records move once, straight to their shard's partition, sorted by key.
 
 Shards are numbered from 0 in key order.  Sizes are bytes of UTF-8 text, at least
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 
 from packframe.llm.common import checkpoint, fresh, joinable, ref
 
+PHI = 0.6180339887498949
 TARGET_BYTES, OVERSAMPLE, OVERFULL = 64 << 20, 64, 1.25
 
 
@@ -90,30 +92,37 @@ def assign(docs: DataFrame, keys: list[str], text: str, target_bytes: int = TARG
     # Subdivision: the overfull ranges' keys alone are sorted, each range on its own.
     over = joinable(checkpoint(sizes.filter(F.col("bytes") > overfull * target_bytes)), 24)
     inner = ranged.join(over, "r").withColumn("at", F.sum("s").over(Window.partitionBy("r").orderBy("k", "h").rowsBetween(Window.unboundedPreceding, 0)) - F.col("s"))
-    cuts = checkpoint(inner.withColumn("part", F.floor(F.col("at") / target_bytes)).groupBy("r", "part").agg(F.min(F.struct("k", "h")).alias("from")))
+    inner = checkpoint(inner.select("r", "k", "h", "s", "at").withColumn("part", F.floor(F.col("at") / target_bytes)))
+    # Rows alike on both sides of a cut: where they begin, and what they span.
+    alike = inner.groupBy("r", "k", "h").agg(F.min("at").alias("begin"), F.sum("s").alias("bytes"), F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high")
+    spans = {(row["r"], row["k"].encode(), row["h"]): (row["begin"], row["bytes"], row["high"]) for row in alike.collect()}
+    cuts = checkpoint(inner.groupBy("r", "part").agg(F.min(F.struct("k", "h")).alias("from")))
     # Shards in order: each range gives one, or one a part.
     table = sizes.select("r").join(cuts, "r", "left").select("r", F.coalesce("part", F.lit(0)).alias("part"), F.col("from"))
     bounds = table.toPandas().sort_values(["r", "part"])
     first = {}
     inner_cuts: dict[int, list[tuple[bytes, int]]] = {}
+    parts: dict[int, list[int]] = {}  # a record over the target leaves parts out
     for shard, (rng, part, start) in enumerate(zip(bounds["r"], bounds["part"], bounds["from"])):
         first.setdefault(int(rng), shard)
+        parts.setdefault(int(rng), []).append(int(part))
         if part > 0:
             inner_cuts.setdefault(int(rng), []).append((start["k"].encode(), int(start["h"])))
 
     @F.arrow_udf("int")
     def shard_of(keys_: pa.Array, hashes: pa.Array) -> pa.Array:
-        from bisect import bisect_left, bisect_right
+        from bisect import bisect_right
 
         out = []
         turn = 0
         for key, h_ in zip(keys_.cast(pa.binary()).to_pylist(), hashes.to_pylist()):
             rng = bisect_right(splitters, key)
             inside = inner_cuts.get(rng)
-            part = bisect_right(inside, (key, h_)) if inside else 0
-            if part and (low := bisect_left(inside, (key, h_))) < part - 1:  # the same row on both sides of a cut
+            if span := spans.get((rng, key, h_)):
                 turn += 1
-                part = low + 1 + turn % (part - low)
+                part = bisect_right(parts[rng], min(span[2], int((span[0] + turn * PHI % 1.0 * span[1]) // target_bytes))) - 1
+            else:
+                part = bisect_right(inside, (key, h_)) if inside else 0
             out.append(first[rng] + part)
         return pa.array(out, pa.int32())
 
