@@ -167,10 +167,11 @@ def counted(keys: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return keys[at], np.diff(np.append(at, len(keys))), np.searchsorted(doc[at], np.arange(len(offsets)))
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each piece has about ``most`` bytes of text, to bound a worker's memory.
 
-    A longer document is a piece of its own, whole.
+    A longer document is a piece of its own, whole.  The numpy passes over a piece take
+    some 40 bytes a byte of text.
     """
     for batch in batches:
         if not batch.num_rows:
@@ -183,6 +184,64 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20)
             start = end
 
 
+class Tally:
+    """Sums by key, in one or several columns; merged whenever what is pending outgrows half of what is merged."""
+
+    def __init__(self, least: int = 1 << 20):
+        self.least, self.pending, self.merged = least, 0, 0
+        self.keys: list[np.ndarray] = []
+        self.sums: list[np.ndarray] = []
+
+    def add(self, keys: np.ndarray, sums: np.ndarray) -> None:
+        self.keys.append(keys)
+        self.sums.append(sums)
+        self.pending += len(keys)
+        if self.pending > max(self.least, self.merged // 2):
+            self.fold()
+
+    def fold(self) -> tuple[np.ndarray, np.ndarray] | None:
+        """(distinct keys in ascending order, sums), None if nothing was added."""
+        if len(self.keys) > 1 or self.pending:
+            keys, sums = np.concatenate(self.keys), np.concatenate(self.sums)
+            order = np.argsort(keys, kind="stable")
+            keys, sums = keys[order], sums[order]
+            at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+            self.keys, self.sums = [keys[at]], [np.add.reduceat(sums, at, axis=0) if len(at) else sums]
+            self.pending, self.merged = 0, len(at)
+        return (self.keys[0], self.sums[0]) if self.keys else None
+
+
+def varint(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(whole numbers as bytes, seven bits each, the lowest first; where each number begins, and the end)."""
+    values = values.astype(np.uint64)
+    size = np.ones(len(values), np.int64)
+    for k in range(7, 64, 7):
+        more = values >= np.uint64(1 << k)
+        if not more.any():
+            break
+        size += more
+    begin = np.append(0, np.cumsum(size))
+    out = np.zeros(int(begin[-1]), np.uint8)
+    for k in range(int(size.max(initial=0))):
+        at = np.flatnonzero(size > k)
+        out[begin[at] + k] = ((values[at] >> np.uint64(7 * k)) & np.uint64(127)).astype(np.uint8) | np.where(size[at] > k + 1, 128, 0).astype(np.uint8)
+    return out, begin
+
+
+def unvarint(data: np.ndarray) -> np.ndarray:
+    """What :func:`varint` was given, of its bytes."""
+    if not len(data):
+        return np.zeros(0, np.int64)
+    ends = np.flatnonzero(data < 128)
+    begin = np.append(0, ends[:-1] + 1)
+    out = (data[begin] & 127).astype(np.int64)
+    size = ends - begin
+    for k in range(1, int(size.max()) + 1):
+        at = np.flatnonzero(size >= k)
+        out[at] |= (data[begin[at] + k] & 127).astype(np.int64) << (7 * k)
+    return out
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -65,7 +65,7 @@ def document_frequency(docs: DataFrame, shingle: int) -> tuple[np.ndarray, int]:
         for batch in pieces(batches, "t"):
             rows += batch.num_rows - batch.column("t").null_count
             keys, _, _ = counted(*shingles(batch.column("t"), shingle))
-            table += np.bincount(slot(keys), minlength=1 << COUNTERS).astype(np.int32)
+            np.add.at(table, slot(keys), np.int32(1))
         if rows:
             width = np.int32 if table.max() > 65535 else np.uint16 if table.max() > 255 else np.uint8
             parts = [table[i : i + chunk].astype(width).tobytes() for i in range(0, len(table), chunk)]

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packframe.llm.common import buffers, checkpoint, mix, pieces
+from packframe.llm.common import Tally, buffers, checkpoint, mix, pieces
 
 ORDER, MIN_RATE = 4, 2e-7
 
@@ -54,31 +54,20 @@ def grams(raw: np.ndarray, offsets: np.ndarray, order: int) -> np.ndarray:
     return key
 
 
-def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.concatenate([k for k, _ in parts])
-    counts = np.concatenate([c for _, c in parts])
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    return keys[at], np.add.reduceat(counts, at)
-
-
 def gram_counts(docs: DataFrame, text: str = "text", order: int = ORDER) -> DataFrame:
     """(gram, n) over all documents: each task counts what it reads, then sums are shuffled."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        held = Tally()
         for batch in pieces(batches, "t"):
             raw, offsets = buffers(batch.column("t"))
             if len(raw):
                 key = grams(raw, offsets, order)
                 key.sort()
                 at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-                parts.append((key[at], np.diff(np.append(at, len(key)))))
-            if len(parts) >= 8:
-                parts = [_merge(parts)]
-        if parts:
-            keys, counts = _merge(parts)
+                held.add(key[at], np.diff(np.append(at, len(key))))
+        if found := held.fold():
+            keys, counts = found
             for i in range(0, len(keys), 1 << 18):
                 yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + (1 << 18)].view(np.int64)), pa.array(counts[i : i + (1 << 18)], pa.int64())], names=["gram", "n"])
 

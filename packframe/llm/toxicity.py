@@ -14,8 +14,10 @@
    word two visiting rates; its polarity is their log ratio against the graph's
    average, cut at 0 and scaled to a seed's: 1 for a typical toxic seed.
 4. A document's score is the sum of its words' squared polarity over the square
-   root of its number of words; it is toxic above the threshold that best
-   separates the labelled sample.
+   root of its number of words, by the words of at least a least polarity, so that
+   many words of little polarity can't add up.  That cut, one of CUTS, and the
+   threshold above which a document is toxic are those that together best
+   separate the labelled sample (by F1).
 
 A word is a run of lower-case ASCII letters, digits and non-ASCII characters of
 the lower-cased text.  Null, empty and wordless texts score 0 and are not toxic.
@@ -36,9 +38,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packframe.llm.common import checkpoint, counted, owners, pieces, ref, words
+from packframe.llm.common import Tally, buffers, checkpoint, counted, owners, pieces, ref, unvarint, varint, words
 
 LABEL_ROWS, MIN_DF, MAX_DF, WINDOW = 50_000, 2e-3, 0.2, 5
+CUTS = tuple(i / 20 for i in range(20))
+CELLS = 1 << 14  # cells of the pair matrix in a block
 CLEAN_SEEDS, STEPS, RESTART, ALPHA = 200, 6, 0.3, 1e-3
 
 
@@ -74,17 +78,8 @@ def word_table(docs: DataFrame, known: tuple[np.ndarray, np.ndarray]) -> DataFra
     shared = sc.broadcast(known)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        sums: list[np.ndarray] = []
+        held = Tally()
         docs_of = np.zeros(3, np.int64)
-
-        def fold() -> None:
-            keys, total = np.concatenate(held), np.concatenate(sums)
-            order = np.argsort(keys, kind="stable")
-            keys, total = keys[order], total[order]
-            at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-            held[:], sums[:] = [keys[at]], [np.add.reduceat(total, at, axis=0)]
-
         for batch in pieces(batches, "t"):
             side = _side(batch.column("id"), shared.value)
             docs_of += [len(side), int((side == 1).sum()), int((side == 0).sum())]
@@ -94,15 +89,11 @@ def word_table(docs: DataFrame, known: tuple[np.ndarray, np.ndarray]) -> DataFra
                 order = np.argsort(keys, kind="stable")
                 keys, mine = keys[order], mine[order]
                 at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-                held.append(keys[at])
-                sums.append(np.stack([np.diff(np.append(at, len(keys))), np.add.reduceat((mine == 1).astype(np.int64), at), np.add.reduceat((mine == 0).astype(np.int64), at)], axis=1))
-            if len(held) >= 16:
-                fold()
-        if held:
-            fold()
-            for i in range(0, len(held[0]), 1 << 17):
-                part = sums[0][i : i + (1 << 17)]
-                yield pa.RecordBatch.from_arrays([pa.array(held[0][i : i + (1 << 17)].view(np.int64)), *[pa.array(np.ascontiguousarray(part[:, k])) for k in range(3)]], names=["word", "df", "toxic_df", "clean_df"])
+                held.add(keys[at], np.stack([np.diff(np.append(at, len(keys))), np.add.reduceat((mine == 1).astype(np.int64), at), np.add.reduceat((mine == 0).astype(np.int64), at)], axis=1))
+        if found := held.fold():
+            for i in range(0, len(found[0]), 1 << 17):
+                part = found[1][i : i + (1 << 17)]
+                yield pa.RecordBatch.from_arrays([pa.array(found[0][i : i + (1 << 17)].view(np.int64)), *[pa.array(np.ascontiguousarray(part[:, k])) for k in range(3)]], names=["word", "df", "toxic_df", "clean_df"])
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), *[pa.array([int(x)]) for x in docs_of]], names=["word", "df", "toxic_df", "clean_df"])
 
     part = docs.mapInArrow(count, "word long, df long, toxic_df long, clean_df long")
@@ -117,23 +108,42 @@ def binomial_tail(k: np.ndarray, n: np.ndarray, p: float) -> np.ndarray:
     return np.where(q > p, -n * d, 0.0)
 
 
+def blocks(cells: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    """(block, keys, counts) of ascending cells: a row a block, its cells as differences, and their counts, as varints."""
+    block = cells // CELLS
+    at = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(cells) else np.zeros(0, np.int64)
+    steps = np.diff(cells, prepend=0)
+    steps[at] = cells[at] - block[at] * CELLS
+    blobs = []
+    for values in (steps, counts):
+        data, begin = varint(values)
+        offsets = begin[np.append(at, len(cells))].astype(np.int32)
+        blobs.append(pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())]))
+    return pa.RecordBatch.from_arrays([pa.array(block[at], pa.int64()), *blobs], names=["block", "keys", "counts"])
+
+
+def cells_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """(cells, counts) of blocks, all rows at once."""
+    data, offsets = buffers(batch.column("keys"))
+    steps = unvarint(data)
+    first = np.append(0, np.cumsum(data < 128))[offsets]
+    sums = np.cumsum(steps)
+    begin = first[:-1]
+    base = batch.column("block").to_numpy(zero_copy_only=False) * CELLS - (sums[begin] - steps[begin])
+    return sums + np.repeat(base, np.diff(first)), unvarint(buffers(batch.column("counts"))[0])
+
+
 def pair_counts(docs: DataFrame, nodes: np.ndarray, window: int) -> DataFrame:
-    """(a, b, n): how often nodes a < b (or a = b) stand within ``window`` nodes of each other."""
+    """(block, keys, counts): how often nodes a <= b stand within ``window`` nodes of each other.
+
+    The cell ``a * nodes + b`` lies in block ``cell // CELLS``; packed so, a pair takes two or three bytes.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(nodes)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         size = len(known)
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def fold() -> None:
-            keys = np.concatenate([k for k, _ in held])
-            n = np.concatenate([c for _, c in held])
-            order = np.argsort(keys, kind="stable")
-            keys, n = keys[order], n[order]
-            at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-            held[:] = [(keys[at], np.add.reduceat(n, at))]
-
+        held = Tally()
         for batch in pieces(batches, "t"):
             keys, offsets = words(batch.column("t"))
             if not len(keys) or not size:
@@ -150,43 +160,79 @@ def pair_counts(docs: DataFrame, nodes: np.ndarray, window: int) -> DataFrame:
             if len(key):
                 key.sort()
                 at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-                held.append((key[at], np.diff(np.append(at, len(key)))))
-            if len(held) >= 8:
-                fold()
-        if held:
-            fold()
-            keys, n = held[0]
-            for i in range(0, len(keys), 1 << 18):
-                part = keys[i : i + (1 << 18)]
-                yield pa.RecordBatch.from_arrays([pa.array((part // size).astype(np.int32)), pa.array((part % size).astype(np.int32)), pa.array(n[i : i + (1 << 18)].astype(np.int64))], names=["a", "b", "n"])
-
-    return docs.mapInArrow(count, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
-
-
-def ppmi_edges(pairs: DataFrame) -> DataFrame:
-    """(src, dst, p): transition probabilities by positive pointwise mutual information."""
-    both = checkpoint(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"), "n").union(pairs.filter("a <> b").select("b", "a", "n")))
-    sums = checkpoint(both.groupBy("src").agg(F.sum("n").alias("s")))
-    total = sums.agg(F.sum("s")).first()[0] or 0
-    # one row a node: bounded as the nodes are
-    a, b = sums.withColumnRenamed("s", "s_src"), sums.select(F.col("src").alias("dst"), F.col("s").alias("s_dst"))
-    pmi = F.log(F.col("n").cast("double") * float(total) / (F.col("s_src").cast("double") * F.col("s_dst").cast("double")))
-    weighed = both.join(F.broadcast(a), "src").join(F.broadcast(b), "dst").select("src", "dst", pmi.alias("w")).filter("w > 0 AND src <> dst")
-    weighed = checkpoint(weighed)
-    rows = weighed.groupBy("src").agg(F.sum("w").alias("all"))
-    return checkpoint(weighed.join(F.broadcast(rows), "src").select("src", "dst", (F.col("w") / F.col("all")).alias("p")))
-
-
-def walk(edges: DataFrame, restart: pd.DataFrame, steps: int, back: float) -> pd.DataFrame:
-    """(node, toxic, clean): visiting rates of the walks; restart has the seeds' mass in the same columns."""
-    spark = edges.sparkSession
-    start = F.broadcast(spark.createDataFrame(restart, "node int, toxic double, clean double"))
-    now = start
+                held.add(key[at], np.diff(np.append(at, len(key))).astype(np.int32))
+        if found := held.fold():
+            for i in range(0, len(found[0]), 1 << 18):
+                yield blocks(found[0][i : i + (1 << 18)], found[1][i : i + (1 << 18)])
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come block by block, so blocks before the last are whole."""
+        held = Tally()
+        for batch in pieces(batches, "keys"):
+            cells, counts = cells_of(batch)
+            held.add(cells, counts)
+            if held.merged > 1 << 21:
+                cells, counts = held.fold()
+                whole = np.searchsorted(cells, cells[-1] // CELLS * CELLS)
+                yield blocks(cells[:whole], counts[:whole])
+                held = Tally()
+                held.add(cells[whole:], counts[whole:])
+        if found := held.fold():
+            yield blocks(*found)
+
+    kind = "block long, keys binary, counts binary"
+    return docs.mapInArrow(count, kind).repartition("block").sortWithinPartitions("block").mapInArrow(total, kind)
+
+
+class Graph:
+    """The word graph as a table of blocks; what is known of each node is an array, as bounded as the nodes are."""
+
+    def __init__(self, pairs: DataFrame, nodes: int):
+        self.pairs, self.nodes = checkpoint(pairs), nodes
+        # a pair of a node with itself counts once
+        self.seen = self._sums(1, lambda a, b, n: [(a, n), (b[a != b], n[a != b])])
+        self.total = float(self.seen.sum())
+        self.weight = np.maximum(self._sums(1, self._edges(lambda a, b, w: [(a, w), (b, w)])), 1e-300)
+
+    def _sums(self, columns: int, given) -> np.ndarray:
+        """(columns, nodes): the sums of what ``given(a, b, n)`` gives nodes, over all pairs; each task sends one array."""
+        size = self.nodes
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = np.zeros((columns, size))
+            for batch in pieces(batches, "keys"):
+                cell, n = cells_of(batch)
+                for node, value in given(cell // size, cell % size, n.astype(np.float64)):
+                    for k, v in enumerate(np.atleast_2d(value)):
+                        out[k] += np.bincount(node, v, size)
+            yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["sums"])
+
+        got = [np.frombuffer(r["sums"]).reshape(columns, size) for r in self.pairs.mapInArrow(run, "sums binary").collect()]
+        return np.sum(got, axis=0) if got else np.zeros((columns, size))
+
+    def _edges(self, then):
+        """Pairs of different nodes with positive pointwise mutual information, which is their weight."""
+        seen, total = self.seen[0], self.total
+
+        def given(a: np.ndarray, b: np.ndarray, n: np.ndarray):
+            w = np.log(n * total / (seen[a] * seen[b]))
+            keep = (w > 0) & (a != b)
+            return then(a[keep], b[keep], w[keep])
+
+        return given
+
+    def step(self, rates: np.ndarray) -> np.ndarray:
+        """(2, nodes): where walkers at these rates go, each along an edge in proportion to its weight."""
+        out = rates / self.weight
+        return self._sums(2, self._edges(lambda a, b, w: [(b, out[:, a] * w), (a, out[:, b] * w)]))
+
+
+def walk(graph: Graph, restart: np.ndarray, steps: int, back: float) -> np.ndarray:
+    """(2, nodes): visiting rates of the walks from the toxic and from the clean seeds; restart: the seeds' mass."""
+    now = restart
     for _ in range(steps):
-        moved = edges.join(F.broadcast(now), edges["src"] == now["node"]).groupBy("dst").agg(F.sum(F.col("p") * F.col("toxic")).alias("t"), F.sum(F.col("p") * F.col("clean")).alias("c"))
-        joined = start.join(moved, start["node"] == moved["dst"], "left")
-        now = checkpoint(joined.select("node", *[(back * F.col(x) + (1 - back) * F.coalesce(y, F.lit(0.0))).alias(x) for x, y in (("toxic", "t"), ("clean", "c"))]))
-    return now.toPandas()
+        now = back * restart + (1 - back) * graph.step(now)
+    return now
 
 
 def induce(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", label_rows: int = LABEL_ROWS, min_df: float = MIN_DF, max_df: float = MAX_DF, window: int = WINDOW, clean_seeds: int = CLEAN_SEEDS, steps: int = STEPS, restart: float = RESTART) -> Lexicon:
@@ -221,38 +267,69 @@ def induce(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     ranked = ranked[(clean_rate[ranked] <= rate) & (seen[ranked] > 0)][:clean_seeds]
     is_clean = np.zeros(len(frame), bool)
     is_clean[ranked] = True
-    edges = ppmi_edges(pair_counts(rows, frame["key"].to_numpy(np.uint64), window))
+    graph = Graph(pair_counts(rows, frame["key"].to_numpy(np.uint64), window), len(frame))
     # Seeds restart in proportion to their labelled documents, so that both walks cover the languages alike.
     mass = [np.where(side, frame[c].to_numpy(float), 0.0) for side, c in ((is_toxic, "toxic_df"), (is_clean, "clean_df"))]
-    start = pd.DataFrame({"node": np.arange(len(frame), dtype=np.int32), "toxic": mass[0] / mass[0].sum(), "clean": mass[1] / max(1.0, mass[1].sum())})
-    found = walk(edges, start, steps, restart).sort_values("node")
+    start = np.stack([mass[0] / mass[0].sum(), mass[1] / max(1.0, mass[1].sum())])
+    toxic_rate, clean_rate = walk(graph, start, steps, restart)
     smooth = 0.01 / len(frame)
-    ratio = np.log((found["toxic"].to_numpy() + smooth) / (found["clean"].to_numpy() + smooth))
+    ratio = np.log((toxic_rate + smooth) / (clean_rate + smooth))
     scale = np.median(ratio[is_toxic])
     weights = np.clip(ratio / scale, 0, 1) if scale > 0 else is_toxic.astype(float)
     kept = weights > 0
     lexicon = Lexicon(frame["key"].to_numpy(np.uint64)[kept], weights[kept].astype(np.float32))
-    # The threshold: labelled documents only, joined to the bounded sample.
+    # The cut and the threshold: labelled documents only, joined to the bounded sample.
     spark = docs.sparkSession
     sample = F.broadcast(spark.createDataFrame(pd.DataFrame({"lid": known[0], "y": known[1]}), "lid long, y boolean"))
-    tests_ = score_column(rows.join(sample, F.col("id") == F.col("lid")), lexicon, "t").select("y", "score").toPandas()
-    lexicon.threshold = best_threshold(tests_["score"].to_numpy(), tests_["y"].to_numpy(bool))
-    return lexicon
+    judged = scores_by_cut(rows.join(sample, F.col("id") == F.col("lid")).select("y", "t"), lexicon).toPandas()
+    scores = np.stack(judged["scores"].to_numpy()) if len(judged) else np.zeros((0, len(CUTS)))
+    found = [best_threshold(scores[:, i], judged["y"].to_numpy(bool)) for i in range(len(CUTS))]
+    best = max(range(len(CUTS)), key=lambda i: found[i][0])  # of equal cuts the lowest
+    strong = lexicon.weights >= CUTS[best]
+    return Lexicon(lexicon.keys[strong], lexicon.weights[strong], found[best][1])
 
 
-def best_threshold(scores: np.ndarray, toxic: np.ndarray) -> float:
-    """The middle between the two scores whose cut has the best F1; of equal cuts the highest."""
+def best_threshold(scores: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
+    """(F1, threshold): the middle between the two scores whose cut has the best F1; of equal cuts the highest."""
     if not toxic.any():
-        return math.inf
+        return 0.0, math.inf
     order = np.argsort(-scores, kind="stable")
     s, y = scores[order], toxic[order]
     hits = np.cumsum(y)
     f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
     cuts = np.append(s[1:] < s[:-1], True) & (s > 0)
     if not cuts.any():
-        return math.inf
+        return 0.0, math.inf
     i = int(np.flatnonzero(cuts)[np.argmax(f1[cuts])])
-    return float((s[i] + (s[i + 1] if i + 1 < len(s) else 0.0)) / 2)
+    return float(f1[i]), float((s[i] + (s[i + 1] if i + 1 < len(s) else 0.0)) / 2)
+
+
+def text_scores(texts: pa.Array, lexicon: Lexicon, cuts: tuple[float, ...] = (0.0,)) -> np.ndarray:
+    """(texts, cuts): each text's score by the words of at least each cut's weight."""
+    out = np.zeros((len(texts), len(cuts)))
+    keys, offsets = words(texts)
+    if len(keys) and len(lexicon.keys):
+        at = np.minimum(np.searchsorted(lexicon.keys, keys), len(lexicon.keys) - 1)
+        weight = np.where(lexicon.keys[at] == keys, lexicon.weights[at], 0).astype(np.float64)
+        size = np.diff(offsets)
+        full = np.flatnonzero(size)
+        for i, cut in enumerate(cuts):
+            value = np.where(weight >= cut, weight, 0.0) ** 2
+            out[full, i] = np.add.reduceat(value, offsets[:-1][full]) / np.sqrt(size[full])
+    return out
+
+
+def scores_by_cut(judged: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """(y, scores) of labelled texts (y, t), a score for each of CUTS."""
+    shared = judged.sparkSession.sparkContext.broadcast(lexicon)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "t"):
+            found = text_scores(batch.column("t"), shared.value, CUTS)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * len(CUTS)), pa.array(found.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([batch.column("y"), lists], names=["y", "scores"])
+
+    return judged.mapInArrow(run, "y boolean, scores array<double>")
 
 
 def score_column(docs: DataFrame, lexicon: Lexicon, lowered: str, name: str = "score") -> DataFrame:
@@ -261,19 +338,8 @@ def score_column(docs: DataFrame, lexicon: Lexicon, lowered: str, name: str = "s
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
-        known = shared.value
-        out = np.zeros(len(texts))
-        if len(known.keys):
-            for start in range(0, len(texts), 1024):
-                keys, offsets = words(texts.slice(start, 1024))
-                if not len(keys):
-                    continue
-                at = np.minimum(np.searchsorted(known.keys, keys), len(known.keys) - 1)
-                value = np.where(known.keys[at] == keys, known.weights[at], 0).astype(np.float64) ** 2
-                size = np.diff(offsets)
-                full = np.flatnonzero(size)
-                out[start + full] = np.add.reduceat(value, offsets[:-1][full]) / np.sqrt(size[full])
-        return pa.array(out)
+        out = [text_scores(texts.slice(start, 1024), shared.value)[:, 0] for start in range(0, len(texts), 1024)]
+        return pa.array(np.concatenate(out) if out else np.zeros(0))
 
     return docs.withColumn(name, score(F.col(lowered)))
 
