@@ -142,7 +142,7 @@ def distinct_words(texts: DataFrame) -> DataFrame:
     """(word, n) of all documents; texts: one column t, with the space before it."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.zeros(0, np.uint64)
+        known, place = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # hashes in ascending order, and their place in what follows
         sums = np.zeros(0, np.int64)
         spelt: list[bytes] = []
         for batch in pieces(batches, "t"):
@@ -153,14 +153,14 @@ def distinct_words(texts: DataFrame) -> DataFrame:
             kinds, first, n = np.unique(hashed, return_index=True, return_counts=True)
             at = np.minimum(np.searchsorted(known, kinds), max(0, len(known) - 1))
             old = known[at] == kinds if len(known) else np.zeros(len(kinds), bool)
-            sums[at[old]] += n[old]
+            sums[place[at[old]]] += n[old]
             fresh = np.flatnonzero(~old)
-            data = raw.tobytes()
-            said = [data[starts[i] : starts[i] + size[i]] for i in first[fresh]]
-            order = np.argsort(np.concatenate([known, kinds[fresh]]), kind="stable")
-            known = np.concatenate([known, kinds[fresh]])[order]
-            sums = np.concatenate([sums, n[fresh]])[order]
-            spelt = (np.array([*spelt, *said], dtype=object)[order]).tolist()
+            if len(fresh):
+                spelt.extend(raw[starts[i] : starts[i] + size[i]].tobytes() for i in first[fresh])
+                order = np.argsort(np.concatenate([known, kinds[fresh]]), kind="stable")
+                place = np.concatenate([place, np.arange(len(sums), len(spelt))])[order]
+                known = np.concatenate([known, kinds[fresh]])[order]
+                sums = np.concatenate([sums, n[fresh]])
         for i in range(0, len(spelt), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(spelt[i : i + (1 << 16)], pa.binary()).cast(pa.string()), pa.array(sums[i : i + (1 << 16)])], names=["word", "n"])
 
@@ -294,7 +294,7 @@ def encode(docs: DataFrame, known: Vocabulary | None = None, doc_id: str = "doc_
         piece_bytes = np.frombuffer(b"".join(said), np.uint8)
         piece_size = np.array([len(p) for p in said], np.int64)
         piece_begin = np.cumsum(piece_size) - piece_size
-        for batch in pieces(batches, "t", 4 << 20):
+        for batch in pieces(batches, "t"):
             raw, offsets = buffers(batch.column("t"))
             hashed, starts, _ = word_hashes(raw, offsets)
             at = held.find(hashed)
