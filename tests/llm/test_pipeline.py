@@ -9,7 +9,7 @@ import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 from test_dedup_and_mix import alike, brute_lines, groups_of
-from test_pieces_search_toxicity import best_path
+from test_pieces_search_toxicity import best_path, planted
 
 from packframe.llm import line_dedup, sentencepiece
 
@@ -34,12 +34,20 @@ def test_columns_pass_through(stages):
         assert made.dtypes == stages[0].dtypes
 
 
-def test_toxic_documents_go_and_clean_ones_stay(spark, sf_dir, stages):
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+def test_clean_documents_stay(spark, sf_dir, stages):
+    """11 toxic labels are too few for a seed to be beyond chance; no clean document goes."""
     kept = {r[0] for r in stages[1].select("doc_id").collect()}
-    known = {r["doc_id"]: r["toxic"] for r in labels.collect()}
-    assert sum(i in kept for i, t in known.items() if not t) >= 0.97 * sum(not t for t in known.values())
-    assert sum(i not in kept for i, t in known.items() if t) >= 0.6 * sum(t == 1 for t in known.values())  # 11 toxic labels, 200 documents
+    clean = {r["doc_id"] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").filter("toxic = 0").collect()}
+    assert len(clean - kept) <= 0.03 * len(clean)
+
+
+def test_toxic_documents_go(spark, tmp_path):
+    docs = planted(spark)
+    docs.select("doc_id", F.lit(1).alias("quality"), "toxic").filter("doc_id % 2 = 0 OR doc_id % 3 = 1").write.parquet(f"{tmp_path}/labels.parquet")
+    made = corpus_pipeline.STAGES[0][1](spark, docs.drop("toxic"), str(tmp_path))
+    kept = {r[0] for r in made.collect()}
+    toxic = {r["doc_id"]: r["toxic"] for r in docs.collect()}
+    assert sum((i in kept) != bool(t) for i, t in toxic.items()) >= 0.97 * len(toxic)
 
 
 def test_boilerplate_goes(stages):
