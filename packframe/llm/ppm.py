@@ -17,9 +17,12 @@ Two modes:
 * ``adaptive`` (:func:`adaptive_bits`): a trie per document that learns as it
   codes.
 
-The trie keeps an edge if it holds at least ``min_rate`` of all bytes, which
-bounds it to ``1 / min_rate`` edges an order whatever the corpus; that rule is
-the same at every size, and pruned edges cost escapes, never bytes.
+Every edge of the corpus is kept, unless a caller sets ``min_rate``: an edge of
+under that share of all bytes is then left out.  A trie of up to ``held`` edges
+is broadcast.  A larger one stays tables, by edge and by context: of it, only
+the most frequent deepest edges, at most ``held``, are broadcast, and a byte
+without one of these is looked up by a join of its gram.  Both give the same
+code lengths, so ``held`` is a matter of memory alone.
 
 Null text: null code length.  Empty text: 0 bits, 0 bits a byte.  Null ids and
 repeated rows are scored like any row.  An empty training corpus gives 8 bits a byte.
@@ -29,16 +32,20 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packframe.llm.common import Tally, buffers, checkpoint, mix, pieces
 
-ORDER, MIN_RATE = 4, 2e-7
+ORDER, MIN_RATE = 4, 0.0
+#: Edges that may be broadcast, some 100 bytes each in a worker.
+HELD = 1 << 18
 
 
 def grams(raw: np.ndarray, offsets: np.ndarray, order: int) -> np.ndarray:
@@ -75,8 +82,50 @@ def gram_counts(docs: DataFrame, text: str = "text", order: int = ORDER) -> Data
     return part.groupBy("gram").agg(F.sum("n").alias("n"))
 
 
+class Edges:
+    """An open-addressing table from deepest edges to their bits."""
+
+    def __init__(self, edges: np.ndarray, bits: np.ndarray):
+        self.log = max(4, int(math.ceil(math.log2(max(1, len(edges)) * 2.5))))
+        size = 1 << self.log
+        self.slot_key = np.full(size, np.iinfo(np.uint64).max, np.uint64)
+        self.slot_bits = np.zeros(size, np.float32)
+        left = np.arange(len(edges))
+        slot = (mix(edges) >> np.uint64(64 - self.log)).astype(np.int64)
+        while len(left):
+            free = self.slot_key[slot[left]] == np.iinfo(np.uint64).max
+            took, first = np.unique(slot[left[free]], return_index=True)
+            who = left[free][first]
+            self.slot_key[took], self.slot_bits[took] = edges[who], bits[who]
+            done = np.zeros(len(edges), bool)
+            done[who] = True
+            left = left[~done[left]]
+            slot[left] = (slot[left] + 1) % size
+
+    def find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bits of each key, the places of those that the table doesn't hold)."""
+        out = np.empty(len(key), np.float32)
+        size = len(self.slot_key)
+        slot = (mix(key) >> np.uint64(64 - self.log)).astype(np.int64)
+        held = self.slot_key[slot]
+        out[:] = self.slot_bits[slot]
+        rest = np.flatnonzero(held != key)
+        missing = [np.zeros(0, np.int64)]
+        slots = slot[rest]
+        held = held[rest]
+        while len(rest):
+            empty = held == np.iinfo(np.uint64).max
+            missing.append(rest[empty])
+            rest, slots = rest[~empty], (slots[~empty] + 1) % size
+            held = self.slot_key[slots]
+            hit = held == key[rest]
+            out[rest[hit]] = self.slot_bits[slots[hit]]
+            rest, slots, held = rest[~hit], slots[~hit], held[~hit]
+        return out, np.concatenate(missing)
+
+
 class Trie:
-    """Code lengths of a pruned trie; see the module's docstring."""
+    """Code lengths of a trie in memory; see the module's docstring."""
 
     def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]]):
         """levels: the kept edges (gram, n) of each order from 0."""
@@ -108,48 +157,12 @@ class Trie:
         top = nodes[order]
         owner = np.searchsorted(top["context"], top["edge"] >> np.uint64(8))
         self.bits = np.log2((top["total"][owner] + top["kinds"][owner]) / top["n"]).astype(np.float32) if len(owner) else np.zeros(0, np.float32)
-        self._hash(top["edge"])
-
-    def _hash(self, edges: np.ndarray) -> None:
-        """An open-addressing table from the deepest edges to their place."""
-        self.log = max(4, int(math.ceil(math.log2(max(1, len(edges)) * 2.5))))
-        size = 1 << self.log
-        self.slot_key = np.full(size, np.iinfo(np.uint64).max, np.uint64)
-        self.slot_bits = np.zeros(size, np.float32)
-        left = np.arange(len(edges))
-        slot = (mix(edges) >> np.uint64(64 - self.log)).astype(np.int64)
-        self.probes = 0
-        while len(left):
-            self.probes += 1
-            free = self.slot_key[slot[left]] == np.iinfo(np.uint64).max
-            took, first = np.unique(slot[left[free]], return_index=True)
-            who = left[free][first]
-            self.slot_key[took], self.slot_bits[took] = edges[who], self.bits[who]
-            done = np.zeros(len(edges), bool)
-            done[who] = True
-            left = left[~done[left]]
-            slot[left] = (slot[left] + 1) % size
+        self.edges = Edges(top["edge"], self.bits)
 
     def code_lengths(self, key: np.ndarray) -> np.ndarray:
         """Bits of each byte, from the keys of :func:`grams`."""
-        out = np.empty(len(key), np.float32)
-        size = len(self.slot_key)
-        slot = (mix(key) >> np.uint64(64 - self.log)).astype(np.int64)
-        held = self.slot_key[slot]
-        out[:] = self.slot_bits[slot]
-        rest = np.flatnonzero(held != key)
-        missing = []
-        slots = slot[rest]
-        held = held[rest]
-        while len(rest):
-            empty = held == np.iinfo(np.uint64).max
-            missing.append(rest[empty])
-            rest, slots = rest[~empty], (slots[~empty] + 1) % size
-            held = self.slot_key[slots]
-            hit = held == key[rest]
-            out[rest[hit]] = self.slot_bits[slots[hit]]
-            rest, slots, held = rest[~hit], slots[~hit], held[~hit]
-        if missing and len(at := np.concatenate(missing)):
+        out, at = self.edges.find(key)
+        if len(at):
             kinds, back = np.unique(key[at], return_inverse=True)
             out[at] = self._walk(kinds)[back]
         return out
@@ -186,41 +199,133 @@ class Trie:
         return bits.astype(np.float32)
 
 
-def train(docs: DataFrame, text: str = "text", order: int = ORDER, min_rate: float = MIN_RATE) -> Trie:
-    """The trie of all documents' counts; at most ``1 / min_rate`` edges reach the driver."""
+def _low(gram: Column | str, n_bytes: int) -> Column:
+    """The last ``n_bytes`` bytes of a gram."""
+    return F.col(gram).bitwiseAND(F.lit((1 << (8 * n_bytes)) - 1))
+
+
+class TrieTables:
+    """The same trie where it is too large for a broadcast: a table of edges an order, and what follows from it."""
+
+    def __init__(self, levels: list[DataFrame], held: int):
+        """levels: the edges (gram, n) of each order from 0, checkpointed; held: how many of the deepest are broadcast."""
+        self.order, self.levels = len(levels) - 1, levels
+        steps = levels[-1].groupBy(F.floor(F.log2("n") * 8).alias("step")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("step")).collect()
+        least, edges = None, 0
+        for row in steps:  # as many steps as bits in a count, times 8
+            edges += row["n"]
+            if edges > held:
+                break
+            least = row["step"]
+        near = levels[-1].filter(F.floor(F.log2("n") * 8) >= least if least is not None else F.lit(False)).withColumn("context", F.shiftrightunsigned("gram", 8))
+        near = near.join(self._sums(self.order), "context").select("gram", F.log2((F.col("total") + F.col("kinds")) / F.col("n")).cast("float").alias("bits")).toPandas()
+        self.near = Edges(near["gram"].to_numpy(np.int64).view(np.uint64), near["bits"].to_numpy(np.float32))
+
+    def _sums(self, k: int) -> DataFrame:
+        """(context, total, kinds) of the nodes of order k."""
+        return self.levels[k].groupBy(F.shiftrightunsigned("gram", 8).alias("context")).agg(F.sum("n").cast("double").alias("total"), F.count(F.lit(1)).cast("double").alias("kinds"))
+
+    @cached_property
+    def nodes(self) -> list[DataFrame]:
+        """(context, total, kinds, left, left_kinds) of each order: see :class:`Trie`."""
+        out = [self._sums(0).withColumns({"left": 256.0 - F.col("kinds"), "left_kinds": F.lit(0.0)})]
+        for k in range(1, self.order + 1):
+            parent_edge = self.levels[k - 1].select(F.col("gram").alias("up"), F.col("n").alias("up_n"))
+            excluded = self.levels[k].withColumn("up", _low("gram", k)).join(parent_edge, "up").groupBy(F.shiftrightunsigned("gram", 8).alias("context")).agg(F.sum("up_n").cast("double").alias("excluded"))
+            parent = self._sums(k - 1).select(F.col("context").alias("up"), F.col("total").alias("up_total"), F.col("kinds").alias("up_kinds"))
+            node = self._sums(k).join(excluded, "context").withColumn("up", _low("context", k - 1)).join(parent, "up")
+            out.append(node.select("context", "total", "kinds", (F.col("up_total") - F.col("excluded")).alias("left"), (F.col("up_kinds") - F.col("kinds")).alias("left_kinds")))
+        return [checkpoint(node) for node in out]
+
+    def bits(self, wanted: DataFrame) -> DataFrame:
+        """(gram, bits) of distinct grams: of a deepest edge at once, of others down the orders, as :meth:`Trie._walk` goes."""
+        top = self.levels[-1].join(self._sums(self.order), F.shiftrightunsigned("gram", 8) == F.col("context"))
+        first = checkpoint(wanted.join(top, "gram", "left").select("gram", F.log2((F.col("total") + F.col("kinds")) / F.col("n")).alias("bits")))
+        done = [first.filter("bits IS NOT NULL")]
+        rest = first.filter("bits IS NULL").select("gram", F.lit(0.0).alias("bits"), *[F.lit(None).cast("double").alias(c) for c in ("came", "came_kinds")])
+        if rest.isEmpty():
+            return done[0].withColumn("bits", F.col("bits").cast("float"))
+        for k in range(self.order, -1, -1):
+            edge = self.levels[k].select(F.col("gram").alias("mine"), "n")
+            at = rest.withColumn("mine", _low("gram", k + 1)).withColumn("context", F.shiftrightunsigned("mine", 8))
+            at = at.join(edge, "mine", "left").join(self.nodes[k], "context", "left")
+            at = at.withColumns({"of": F.coalesce("came", "total"), "of_kinds": F.coalesce("came_kinds", "kinds")})
+            found = F.col("n").isNotNull()
+            escaped = F.col("of_kinds") > 0  # null without a node
+            more = F.when(found, F.log2((F.col("of") + F.col("of_kinds")) / F.col("n"))).when(escaped, F.log2((F.col("of") + F.col("of_kinds")) / F.col("of_kinds"))).otherwise(0.0)
+            at = checkpoint(at.select("gram", (F.col("bits") + more).alias("bits"), F.col("left").alias("came"), F.col("left_kinds").alias("came_kinds"), found.alias("found")))
+            done.append(at.filter("found").select("gram", "bits"))
+            rest = at.filter("NOT found").drop("found")
+        root = self.nodes[0].first()
+        done.append(rest.select("gram", (F.col("bits") + F.lit(math.log2(max(1.0, root["left"] if root else 256.0)))).alias("bits")))
+        out = done[0]
+        for part in done[1:]:
+            out = out.union(part)
+        return out.withColumn("bits", F.col("bits").cast("float"))
+
+
+def train(docs: DataFrame, text: str = "text", order: int = ORDER, min_rate: float = MIN_RATE, held: int = HELD) -> Trie | TrieTables:
+    """The trie of all documents' counts; at most ``held`` edges reach the driver."""
     counts = checkpoint(gram_counts(docs, text, order))
     least = max(1.0, min_rate * (counts.agg(F.sum("n")).first()[0] or 0))
     levels = []
     for k in range(order, -1, -1):
-        kept = counts.filter(F.col("n") >= least).toPandas()
-        levels.append((kept["gram"].to_numpy(np.int64).view(np.uint64), kept["n"].to_numpy(np.int64)))
+        levels.append(counts.filter(F.col("n") >= least) if least > 1 else counts)
         if k:  # a shorter gram's count is the sum of those of which it is a suffix
-            counts = checkpoint(counts.groupBy(F.col("gram").bitwiseAND(F.lit((1 << (8 * k)) - 1)).alias("gram")).agg(F.sum("n").alias("n")))
-    return Trie(levels[::-1])
+            counts = checkpoint(counts.groupBy(_low("gram", k).alias("gram")).agg(F.sum("n").alias("n")))
+    levels = levels[::-1]
+    if sum(level.count() for level in levels) > held:
+        return TrieTables(levels, held)
+    kept = [level.toPandas() for level in levels]
+    return Trie([(rows["gram"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64)) for rows in kept])
 
 
-def score(docs: DataFrame, trie: Trie, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, trie: Trie | TrieTables, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_bytes, bits, bits_per_byte) under a pretrained trie."""
     spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(trie)
+    whole = isinstance(trie, Trie)
+    model = spark.sparkContext.broadcast(trie if whole else trie.near)
     order = trie.order
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = model.value
+        row = TaskContext.get().partitionId() << 40
         for batch in pieces(batches, "t"):
             raw, offsets = buffers(batch.column("t"))
-            sums = np.zeros(len(offsets) - 1)
+            size = np.diff(offsets)
+            sums = np.zeros(len(size))
+            rest, begin = np.zeros(0, np.int64), np.zeros(len(offsets), np.int32)
             if len(raw):
-                bits = known.code_lengths(grams(raw, offsets, order))
-                full = np.flatnonzero(np.diff(offsets))
+                key = grams(raw, offsets, order)
+                if whole:
+                    bits = known.code_lengths(key)
+                else:
+                    bits, at = known.find(key)
+                    at.sort()
+                    bits[at] = 0
+                    rest, begin = key[at].view(np.int64), np.searchsorted(at, offsets).astype(np.int32)
+                full = np.flatnonzero(size)
                 sums[full] = np.add.reduceat(bits.astype(np.float64), offsets[:-1][full])
-            size = np.diff(offsets)
             null = batch.column("t").is_null().to_numpy(zero_copy_only=False)
-            rate = np.divide(sums, size, out=np.zeros(len(size)), where=size > 0)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64(), mask=null), pa.array(sums, mask=null), pa.array(rate, mask=null)], names=["doc_id", "n_bytes", "bits", "bits_per_byte"])
+            columns = [batch.column("doc_id"), pa.array(size, pa.int64(), mask=null), pa.array(sums, mask=null)]
+            if whole:
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "bits"])
+            else:
+                rows = pa.array(np.arange(row, row + len(size)))
+                row += len(size)
+                yield pa.RecordBatch.from_arrays([*columns, rows, pa.ListArray.from_arrays(pa.array(begin), pa.array(rest))], names=["doc_id", "n_bytes", "bits", "row", "rest"])
 
     kind = docs.select(F.col(doc_id)).schema[0].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("t")).mapInArrow(run, f"doc_id {kind}, n_bytes long, bits double, bits_per_byte double")
+    kind = f"doc_id {kind}, n_bytes long, bits double" + ("" if whole else ", row long, rest array<long>")
+    out = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("t")).mapInArrow(run, kind)
+    if not whole:
+        part = checkpoint(out)  # so that rows keep their numbers
+        rest = part.select("row", F.explode("rest").alias("gram"))
+        bits = trie.bits(rest.select("gram").distinct())
+        more = rest.join(bits, "gram").groupBy("row").agg(F.sum(F.col("bits").cast("double")).alias("more"))
+        out = part.drop("rest").join(more, "row", "left").withColumn("bits", F.col("bits") + F.coalesce("more", F.lit(0.0)))
+    rate = F.when(F.col("n_bytes") > 0, F.col("bits") / F.col("n_bytes")).when(F.col("n_bytes") == 0, 0.0)
+    return out.select("doc_id", "n_bytes", "bits", rate.alias("bits_per_byte"))
 
 
 def lm_score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: int = ORDER, min_rate: float = MIN_RATE) -> DataFrame:

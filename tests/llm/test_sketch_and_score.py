@@ -94,6 +94,30 @@ def test_pretrained_scores_by_brute_force(spark):
     assert found[3]["bits_per_byte"] == 0.0
 
 
+@pytest.mark.parametrize("settings", [{}, {"held": 40}, {"held": 0}])
+def test_production_scores_keep_every_edge(spark, settings):
+    """As registered, and with most or all edges in tables: an edge seen once in 6 MB counts as the unpruned trie, tested above, has it."""
+    corpus = ["abracadabra abracadabra", "the cat sat on the mat", None, "", "zzz theé"]
+    docs = spark.createDataFrame([*enumerate(corpus), *[(9, "ab" * 3000)] * 1000], "doc_id long, text string")
+    probes = docs.filter("doc_id < 9")
+    want = {r["doc_id"]: r for r in ppm.score(probes, ppm.train(docs, min_rate=0.0)).collect()}
+    found = {r["doc_id"]: r for r in ppm.score(probes, ppm.train(docs, **settings)).collect()}
+    assert found[2]["bits"] is None and found[2]["bits_per_byte"] is None and found[3]["bits_per_byte"] == 0.0
+    for i in (0, 1, 3, 4):
+        assert found[i]["bits"] == pytest.approx(want[i]["bits"], rel=1e-5)
+
+
+@pytest.mark.parametrize("held", [40, 0])
+def test_scores_of_other_texts_from_tables(spark, held):
+    corpus = ["abracadabra abracadabra", "the cat sat on the mat", None, "", "zzz theé"]
+    tables = ppm.train(spark.createDataFrame(list(enumerate(corpus)), "doc_id long, text string"), order=3, held=held)
+    assert isinstance(tables, ppm.TrieTables)
+    probes = [*corpus, "abra the hat xyz", "中", "abra the hat xyz"]
+    rows = ppm.score(spark.createDataFrame([(i % 7, t) for i, t in enumerate(probes)], "doc_id long, text string"), tables).collect()
+    want = [(i % 7, None if t is None else round(brute_bits(corpus, t, 3), 3)) for i, t in enumerate(probes)]
+    assert sorted(((r["doc_id"], r["bits"] if r["bits"] is None else round(r["bits"], 3)) for r in rows), key=repr) == sorted(want, key=repr)
+
+
 def test_scores_tell_prose_from_noise(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     trie = ppm.train(docs.filter("doc_id % 2 = 0"))
