@@ -16,18 +16,24 @@ A word is a run without ASCII white space of the lower-cased text, and a text of
 fewer than ``n`` words is one shingle.  Null, empty and blank texts have an empty
 sketch, 0 distinct shingles, resemblance and containment 0.  Repeated rows give
 repeated results; null ids stay null.  Only the named columns of the input are used.
+
+A sketch of a whole corpus says next to nothing of one of its items in one
+document, and a document's bottom-k little of a short item in it.  So
+:func:`overlaps` compares each document with each item by all their shingles.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packframe.llm.common import counted, owners, ref
+from packframe.llm.common import BROADCAST_BYTES, checkpoint, counted, owners, pieces, ref
 
 N, K = 5, 128
 WORD_RANGE, RANGE = (1 << 30) - 35, (1 << 59) - 55
@@ -134,6 +140,56 @@ def fingerprints(docs: DataFrame, against: DataFrame, doc_id: str = "doc_id", te
     )
 
 
+def shingle_rows(docs: DataFrame, doc_id: str, text: str, n: int, known: np.ndarray | None = None) -> DataFrame:
+    """(row, id, size, shingles): each row's number, how many distinct shingles it has, and these, or those among ``known`` (ascending)."""
+    shared = docs.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row, md5s, among = TaskContext.get().partitionId() << 40, _Hashes(), shared.value
+        for batch in pieces(batches, "t"):
+            if len(md5s) > 1 << 18:
+                md5s.clear()
+            keys, offsets = hash_shingles(batch.column("t").fill_null("").cast(pa.binary()).to_pylist(), n, md5s)
+            keys, _, offsets = counted(keys, offsets)
+            size = np.diff(offsets)
+            if among is not None:
+                hit = np.zeros(len(keys), bool) if not len(among) else among[np.minimum(np.searchsorted(among, keys), len(among) - 1)] == keys
+                keys, offsets = keys[hit], np.append(0, np.cumsum(hit))[offsets]
+            rows = pa.array(np.arange(row, row + len(size)))
+            row += len(size)
+            yield pa.RecordBatch.from_arrays([rows, batch.column("id"), pa.array(size), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(keys.astype(np.int64)))], names=["row", "id", "size", "shingles"])
+
+    rows = docs.select(ref(docs, doc_id).alias("id"), F.lower(ref(docs, text).cast("string")).alias("t"))
+    return rows.mapInArrow(run, f"row long, id {rows.schema['id'].dataType.simpleString()}, size long, shingles array<long>")
+
+
+def overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", n: int = N, most: int = BROADCAST_BYTES) -> DataFrame:
+    """(doc_id, item_id, shared, doc_shingles, item_shingles, resemblance, doc_in_item, item_in_doc) of each document and item that share a shingle.
+
+    Counts are of all distinct shingles, so the shares are exact.  The items' hashes
+    thin the documents' out where they fit ``most`` bytes; beyond it all are joined.
+    Each row is a document or an item of its own, also with a null or a repeated id.
+    """
+    listed = checkpoint(shingle_rows(items, item_id, text, n))
+    theirs = listed.select(F.col("row").alias("item_row"), F.col("id").alias("item_id"), F.col("size").alias("item_shingles"), F.explode("shingles").alias("h"))
+    hashes = checkpoint(theirs.select("h").distinct())
+    known = np.sort(hashes.toPandas()["h"].to_numpy(np.int64)) if hashes.count() * 8 <= most else None
+    mine = checkpoint(shingle_rows(docs, doc_id, text, n, known).filter(F.size("shingles") > 0))  # so that rows keep their numbers
+    mine = mine.select("row", F.col("id").alias("doc_id"), F.col("size").alias("doc_shingles"), F.explode("shingles").alias("h"))
+    pairs = mine.join(theirs, "h").groupBy("row", "item_row").agg(*[F.first(c).alias(c) for c in ("doc_id", "item_id", "doc_shingles", "item_shingles")], F.count(F.lit(1)).alias("shared"))
+    share = lambda of: F.round(F.col("shared") / of, 6)
+    return pairs.select(
+        "doc_id",
+        "item_id",
+        "shared",
+        "doc_shingles",
+        "item_shingles",
+        share(F.col("doc_shingles") + F.col("item_shingles") - F.col("shared")).alias("resemblance"),
+        share(F.col("doc_shingles")).alias("doc_in_item"),
+        share(F.col("item_shingles")).alias("item_in_doc"),
+    )
+
+
 _SHINGLE = " + ".join(f"coalesce(w[i + {j}] * {FACTORS[j]}, 0)" for j in range(N))
 SQL = f"""
 WITH t AS (

@@ -14,6 +14,10 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op1_item_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op2_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.lm_score(read(spark, sf_dir, "documents"))
 
@@ -51,7 +55,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_fingerprints, op2_ppm_score, op3_chat_preferences, op4_near_dedup, op5_mix_sources, op6_line_dedup, op7_sentencepiece, op8_bm25_top_k, op9_shard, op10_toxicity)
+    made = (op1_fingerprints, op1_item_overlaps, op2_ppm_score, op3_chat_preferences, op4_near_dedup, op5_mix_sources, op6_line_dedup, op7_sentencepiece, op8_bm25_top_k, op9_shard, op10_toxicity)
     return {f.__name__: f for f in made}
 
 

@@ -41,6 +41,26 @@ def test_sketches_by_brute_force(spark):
     assert tuple(alone) == (0.0, 0.0)
 
 
+@pytest.mark.parametrize("most", [fingerprints.BROADCAST_BYTES, 0])
+def test_item_overlaps_by_brute_force(spark, most):
+    """A short item in a long document, among many other items, is found whole."""
+    items = [*[(i, cases.prose(i + 50, 60)) for i in range(6)], (6, None), (7, "one"), (None, cases.prose(1, 30)), (0, cases.prose(50, 60))]
+    docs = [*[r[:2] for r in cases.messy_rows()], (20, f"{cases.prose(9, 2000)} {cases.prose(52, 60)} {cases.prose(8, 2000)}"), (21, cases.prose(53, 40))]
+    found = fingerprints.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), most=most).collect()
+    want = []
+    for (doc_id, text), (item_id, other) in ((d, i) for d in docs for i in items):
+        a, b = {*shingle_hashes(text)}, {*shingle_hashes(other)}
+        if both := len(a & b):
+            want.append((doc_id, item_id, both, len(a), len(b), round(both / len(a | b), 6), round(both / len(a), 6), round(both / len(b), 6)))
+    assert sorted(map(tuple, found), key=repr) == sorted(want, key=repr)
+    assert any(r["doc_id"] == 20 and r["item_id"] == 2 and r["item_in_doc"] == 1.0 for r in found)
+
+
+def test_item_overlaps_are_registered(spark, sf_dir):
+    assert registry.queries()["op1_item_overlaps"](spark, sf_dir).filter("item_in_doc >= 0.8").count() > 0
+    assert fingerprints.overlaps(cases.messy(spark), spark.createDataFrame([], "item_id long, text string")).count() == 0
+
+
 def test_sketches_merge_and_estimate(spark):
     texts = [cases.prose(i, 3000) for i in range(4)] + [cases.prose(0, 3000)]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
