@@ -12,6 +12,8 @@
    buffers.  The dictionary is broadcast as flat arrays up to
    ``dictionary_bytes``, most frequent words first; documents with other words
    are encoded by a shuffle join with the whole dictionary.
+5. A word of over ``MAX_WORD`` bytes is in no dictionary, as such words hardly
+   repeat: it is segmented where it stands, by the same Viterbi over all of it.
 
 The score of a piece is the model's for a unigram model.  A BPE model has merge
 ranks in place of scores; a piece of rank r then scores ``-ln(1 + r)`` (Zipf's law
@@ -27,6 +29,7 @@ ids.  Null document ids and repeated rows are encoded like any row.
 from __future__ import annotations
 
 import math
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -42,8 +45,8 @@ from packframe.llm.common import _BYTE, _ODD, buffers, checkpoint, mix, pieces,
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 DICTIONARY_BYTES = 128 << 20
-MAX_WORD = 256  # a longer run is cut into words of this many bytes or a little more; no piece spans a cut
-_POWERS = np.cumprod(np.full(2 * MAX_WORD, _ODD, dtype=np.uint64))
+MAX_WORD = 256  # a word of more bytes is in no dictionary
+_POWERS = np.cumprod(np.full(MAX_WORD, _ODD, dtype=np.uint64))
 
 _KIND = np.full(256, 2, np.uint8)  # 0 space, 1 letter, 2 other
 _KIND[0x20] = 0
@@ -106,27 +109,18 @@ def _starts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     first = np.zeros(len(raw), bool)
     first[1:] = (kind[1:] != kind[:-1]) & (kind[:-1] != 0)
     first[offsets[:-1][np.diff(offsets) > 0]] = True
-    starts = np.flatnonzero(first)
-    size = np.diff(np.append(starts, len(raw)))
-    if len(size) and size.max() > MAX_WORD:  # cut long runs, at characters
-        extra = []
-        for s, n in zip(starts[size > MAX_WORD], size[size > MAX_WORD]):
-            for at in range(s + MAX_WORD, s + n, MAX_WORD):
-                while at < s + n and not lead[at]:
-                    at += 1
-                if at < s + n:
-                    extra.append(at)
-        starts = np.unique(np.append(starts, np.array(extra, np.int64)))
-    return starts
+    return np.flatnonzero(first)
 
 
 def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, begin, length) of each word."""
+    """(hash, begin, length) of each word; the hash of a word of over MAX_WORD bytes means nothing."""
     if not len(raw):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     starts = _starts(raw, offsets)
     size = np.diff(np.append(starts, len(raw)))
     place = np.arange(len(raw)) - np.repeat(starts, size)
+    if size.max() > MAX_WORD:
+        place %= MAX_WORD
     hashed = np.add.reduceat(_BYTE[raw] * _POWERS[place], starts)
     return mix(hashed + size.astype(np.uint64)), starts, size
 
@@ -139,7 +133,7 @@ def cut(text: str) -> list[str]:
 
 
 def distinct_words(texts: DataFrame) -> DataFrame:
-    """(word, n) of all documents; texts: one column t, with the space before it."""
+    """(word, n) of all documents, of words of up to MAX_WORD bytes; texts: one column t, with the space before it."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, place = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # hashes in ascending order, and their place in what follows
@@ -148,6 +142,8 @@ def distinct_words(texts: DataFrame) -> DataFrame:
         for batch in pieces(batches, "t"):
             raw, offsets = buffers(batch.column("t"))
             hashed, starts, size = word_hashes(raw, offsets)
+            if len(size) and size.max() > MAX_WORD:
+                hashed, starts, size = (x[size <= MAX_WORD] for x in (hashed, starts, size))
             if not len(hashed):
                 continue
             kinds, first, n = np.unique(hashed, return_index=True, return_counts=True)
@@ -198,6 +194,41 @@ def viterbi(edges: Column, word: Column, known: Vocabulary) -> Column:
     return F.when(F.forall(path, lambda x: x >= 0), path).otherwise(F.flatten(F.transform(path, ids)))
 
 
+class LongWords:
+    """The best path of a long word: :func:`viterbi` with its ties, but with pointers back in place of paths."""
+
+    def __init__(self, known: Vocabulary):
+        self.known, self.longest, self.penalty = known, known.longest, known.penalty
+        self.table = {p.replace(SPACE, " "): (i, s) for p, i, s in known.table}
+
+    def ids(self, word: str) -> list[int]:
+        known, table, longest, penalty = self.known, self.table, self.longest, self.penalty
+        n = len(word)
+        best = array("d", [-math.inf]) * (n + 1)
+        best[0] = 0.0
+        came, piece = array("i", [0]) * (n + 1), array("i", [-1]) * (n + 1)
+        for start in range(n):
+            base = best[start]
+            for end in range(start + 1, min(n, start + longest) + 1):
+                edge = table.get(word[start:end])
+                if edge is None:
+                    if end > start + 1:
+                        continue
+                    edge = (-1, penalty)
+                if base + edge[1] > best[end]:
+                    best[end], came[end], piece[end] = base + edge[1], start, edge[0]
+        out, at = [], n
+        while at:
+            if piece[at] >= 0:
+                out.append(piece[at])
+            elif min(known.byte_ids) < 0:
+                out.append(known.unknown)
+            else:
+                out.extend(known.byte_ids[b] for b in reversed(word[came[at] : at].encode()))
+            at = came[at]
+        return out[::-1]
+
+
 def segment(words: DataFrame, known: Vocabulary) -> DataFrame:
     """(word, n, ids): the best path through each word's lattice."""
     spark = words.sparkSession
@@ -286,6 +317,7 @@ def encode(docs: DataFrame, known: Vocabulary | None = None, doc_id: str = "doc_
     table = checkpoint(segment(distinct_words(rows.select("t")), known))
     dictionary, whole = gather(spark, table, dictionary_bytes)
     shared = spark.sparkContext.broadcast((dictionary, known.pieces))
+    vocabulary_ = spark.sparkContext.broadcast(known)  # read only where a long word stands
     kind = docs.select(ref(docs, doc_id).alias("doc_id")).schema[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,15 +326,25 @@ def encode(docs: DataFrame, known: Vocabulary | None = None, doc_id: str = "doc_
         piece_bytes = np.frombuffer(b"".join(said), np.uint8)
         piece_size = np.array([len(p) for p in said], np.int64)
         piece_begin = np.cumsum(piece_size) - piece_size
+        long_words = None
         for batch in pieces(batches, "t"):
             raw, offsets = buffers(batch.column("t"))
-            hashed, starts, _ = word_hashes(raw, offsets)
+            hashed, starts, n_bytes = word_hashes(raw, offsets)
             at = held.find(hashed)
+            long = n_bytes > MAX_WORD
+            at[long] = -1
             in_doc = np.searchsorted(starts, offsets)
             lost = np.zeros(batch.num_rows, bool)
-            lost[np.searchsorted(offsets, starts[at < 0], "right") - 1] = True
+            lost[np.searchsorted(offsets, starts[(at < 0) & ~long], "right") - 1] = True
             size = np.where(at >= 0, held.offsets[at + 1] - held.offsets[at], 0) if len(held.keys) else np.zeros(len(at), np.int64)
             ids = held.ids[spread(held.offsets[at], size)].astype(np.int32) if len(held.keys) else np.zeros(0, np.int32)
+            if long.any():
+                long_words = long_words or LongWords(vocabulary_.value)
+                paths = [np.array(long_words.ids(raw[starts[i] : starts[i] + n_bytes[i]].tobytes().decode()), np.int32) for i in np.flatnonzero(long)]
+                short, size[long] = ids, [len(p) for p in paths]
+                theirs = np.repeat(long, size)
+                ids = np.empty(len(theirs), np.int32)
+                ids[~theirs], ids[theirs] = short, np.concatenate(paths)
             ends = np.append(0, np.cumsum(size))[in_doc]
             spelt = np.append(0, np.cumsum(piece_size[ids]))[ends]
             back = piece_bytes[spread(piece_begin[ids], piece_size[ids])]
@@ -324,7 +366,15 @@ def encode(docs: DataFrame, known: Vocabulary | None = None, doc_id: str = "doc_
     # Documents with words beyond the broadcast part: their words are joined to the whole dictionary.
     left = checkpoint(made.filter("lost").select("doc_id", "t").withColumn("row", F.monotonically_increasing_id()))
     split = F.udf(cut, "array<string>")
-    said = left.select("row", F.posexplode(split("t")).alias("pos", "word")).join(table, "word")
+
+    @F.arrow_udf("array<int>")
+    def long_ids(long: pa.Array) -> pa.Array:
+        held = LongWords(vocabulary_.value) if long.null_count < len(long) else None
+        return pa.array([None if w is None else held.ids(w) for w in long.to_pylist()], pa.list_(pa.int32()))
+
+    said = left.select("row", F.posexplode(split("t")).alias("pos", "word"))
+    is_long = F.octet_length("word") > MAX_WORD
+    said = said.filter(~is_long).join(table.select("word", "ids"), "word").select("row", "pos", "ids").union(said.filter(is_long).select("row", "pos", long_ids("word").alias("ids")))
     paths = said.groupBy("row").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("pos", "ids"))), lambda x: x["ids"])).alias("ids"))
     rest = left.join(paths, "row").withColumn("back", decode(F.col("ids"), known, False))
     return done.unionByName(rest.select("doc_id", F.size("ids").alias("n_pieces"), (F.col("back") == F.col("t")).alias("round_trip"), "ids"))

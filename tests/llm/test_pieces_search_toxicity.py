@@ -109,6 +109,19 @@ def test_words_beyond_the_broadcast_dictionary(spark, known):
     assert key(sentencepiece.encode(docs, known, dictionary_bytes=2000)) == key(sentencepiece.encode(docs, known))
 
 
+@pytest.mark.parametrize("most", [sentencepiece.DICTIONARY_BYTES, 0])
+def test_long_runs_by_brute_force(spark, known, most):
+    """Runs without a space or change of kind: the best path of the whole run, beside short words and other documents."""
+    draw = random.Random(4)
+    letters = ["".join(draw.choice(["the", "ation", "er", "in", "qu", "str", "zx", "ou", "ing", "pre", "k"]) for _ in range(350)) for _ in range(4)]
+    texts = [*[t[:1000] for t in letters], "short words " + letters[0][:700] + " and more " + letters[1][:600], "中文字符" * 200, "=-" * 400, "plain", "a" * 255, "a" * 256, "a" * 257]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in sentencepiece.encode(docs, known, dictionary_bytes=most).collect()}
+    assert len(rows) == len(texts)
+    for i, text in enumerate(texts):
+        assert rows[i]["round_trip"] and rows[i]["ids"] == best_path(text, known)[0], text[:20]
+
+
 def test_library_words_agree(known):
     assert sentencepiece.cut(" a  b1 --c") == [" a", "  b", "1 --", "c"] or "".join(sentencepiece.cut(" a  b1 --c")) == " a  b1 --c"
     long = "x" * 2000 + "é" * 900
