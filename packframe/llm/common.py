@@ -8,6 +8,7 @@ other ASCII characters separate words.  Callers lower-case the text in the JVM.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -184,6 +185,15 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20)
             start = end
 
 
+def release() -> None:
+    """Give freed memory back to the system: a Python worker outlives its task, and what it keeps is its executor's loss."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 class Tally:
     """Sums by key, in one or several columns; merged whenever what is pending outgrows half of what is merged."""
 

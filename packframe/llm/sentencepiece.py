@@ -10,8 +10,8 @@
    higher-order function ``aggregate``.
 4. Documents are encoded by looking their words up, in numpy over Arrow's
    buffers.  The dictionary is broadcast as flat arrays up to
-   ``dictionary_bytes``, most frequent words first; documents with other words
-   are encoded by a shuffle join with the whole dictionary.
+   ``dictionary_bytes``, most frequent words first.  Of other words each occurrence
+   is joined to the whole dictionary, and its ids are put in their place.
 5. A word of over ``MAX_WORD`` bytes is in no dictionary, as such words hardly
    repeat: it is segmented where it stands, by the same Viterbi over all of it.
 
@@ -36,16 +36,18 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from packframe.llm.common import _BYTE, _ODD, buffers, checkpoint, mix, pieces, ref
+from packframe.llm.common import _BYTE, _ODD, buffers, checkpoint, mix, pieces, ref, release
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 DICTIONARY_BYTES = 128 << 20
 MAX_WORD = 256  # a word of more bytes is in no dictionary
+HELD_WORDS = 1 << 19  # distinct words that a task counts before it passes them on
 _POWERS = np.cumprod(np.full(MAX_WORD, _ODD, dtype=np.uint64))
 
 _KIND = np.full(256, 2, np.uint8)  # 0 space, 1 letter, 2 other
@@ -136,9 +138,21 @@ def distinct_words(texts: DataFrame) -> DataFrame:
     """(word, n) of all documents, of words of up to MAX_WORD bytes; texts: one column t, with the space before it."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, place = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # hashes in ascending order, and their place in what follows
-        sums = np.zeros(0, np.int64)
+        known = place = sums = np.zeros(0, np.int64)
         spelt: list[bytes] = []
+
+        def clear() -> None:
+            nonlocal known, place, sums
+            known, place = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # hashes in ascending order, and their place in what follows
+            sums = np.zeros(0, np.int64)
+            spelt.clear()
+
+        def counts() -> Iterator[pa.RecordBatch]:
+            for i in range(0, len(spelt), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(spelt[i : i + (1 << 16)], pa.binary()).cast(pa.string()), pa.array(sums[i : i + (1 << 16)])], names=["word", "n"])
+            clear()
+
+        clear()
         for batch in pieces(batches, "t"):
             raw, offsets = buffers(batch.column("t"))
             hashed, starts, size = word_hashes(raw, offsets)
@@ -157,10 +171,14 @@ def distinct_words(texts: DataFrame) -> DataFrame:
                 place = np.concatenate([place, np.arange(len(sums), len(spelt))])[order]
                 known = np.concatenate([known, kinds[fresh]])[order]
                 sums = np.concatenate([sums, n[fresh]])
-        for i in range(0, len(spelt), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(spelt[i : i + (1 << 16)], pa.binary()).cast(pa.string()), pa.array(sums[i : i + (1 << 16)])], names=["word", "n"])
+            if len(spelt) > HELD_WORDS:
+                yield from counts()
+        yield from counts()
+        release()
 
-    return texts.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    # The lattice has some 25 edges a word, which are sorted by word: smaller parts than a shuffle of words would want.
+    parts = 4 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return texts.mapInArrow(count, "word string, n long").repartition(parts, "word").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def piece_table(spark: SparkSession, known: Vocabulary) -> DataFrame:
@@ -277,7 +295,7 @@ def spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(begin - (ends - size), size)
 
 
-def gather(spark: SparkSession, table: DataFrame, most_bytes: int) -> tuple[Dictionary, bool]:
+def gather(table: DataFrame, most_bytes: int) -> tuple[Dictionary, bool]:
     """The dictionary of the most frequent words within the limit, and whether it is whole."""
     row = 24 + 2 * 8
     rows = table.count()
@@ -287,25 +305,27 @@ def gather(spark: SparkSession, table: DataFrame, most_bytes: int) -> tuple[Dict
         fits = by_n["n"][np.cumsum(by_n["count"].to_numpy()) * row <= most_bytes]
         table = table.filter(F.col("n") >= (int(fits.min()) if len(fits) else (1 << 62)))
 
-    @F.arrow_udf("long")
-    def hash_of(word: pa.Array) -> pa.Array:
-        raw, offsets = buffers(word)
-        hashed, starts, _ = word_hashes(raw, offsets)
-        if not np.array_equal(starts, offsets[:-1]):
-            raise ValueError("a row must hold one word")
-        return pa.array(hashed.view(np.int64))
-
-    got = table.select(hash_of("word").alias("h"), "ids").toArrow()
-    keys = got.column("h").to_numpy().view(np.uint64)
-    lists = got.column("ids").combine_chunks()
-    if isinstance(lists, pa.ChunkedArray):
-        lists = pa.concat_arrays(lists.chunks) if lists.num_chunks else pa.array([], pa.list_(pa.int32()))
-    size = np.diff(lists.offsets.to_numpy()).astype(np.int64)
-    flat = lists.values.to_numpy(zero_copy_only=False)
-    begin = lists.offsets.to_numpy()[:-1].astype(np.int64)
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            raw, offsets = buffers(batch.column("word"))
+            hashed, starts, _ = word_hashes(raw, offsets)
+            if not np.array_equal(starts, offsets[:-1]):
+                raise ValueError("a row must hold one word")
+            ids = batch.column("ids")
+            packed = [hashed, np.diff(ids.offsets.to_numpy()).astype(np.uint16), ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32)]
+            packed[2] = packed[2].astype(np.uint16) if packed[2].max() < 1 << 16 else packed[2]
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in packed] + [pa.array([packed[2].itemsize], pa.int32())], names=["keys", "sizes", "ids", "width"])
+
+    got = table.select("word", "ids").mapInArrow(pack, "keys binary, sizes binary, ids binary, width int").collect()
+    keys, size = (np.concatenate([np.zeros(0, kind), *(np.frombuffer(r[c], kind) for r in got)]) for c, kind in (("keys", np.uint64), ("sizes", np.uint16)))
+    kind = np.int32 if any(r["width"] == 4 for r in got) else np.uint16
+    flat = np.concatenate([np.zeros(0, kind), *(np.frombuffer(r["ids"], {2: np.uint16, 4: np.int32}[r["width"]]).astype(kind, copy=False) for r in got)])
+    begin = np.cumsum(size, dtype=np.int64) - size
     order = np.argsort(keys)
-    ids = flat[spread(begin[order], size[order])].astype(np.int32)
-    return Dictionary(keys[order], np.append(0, np.cumsum(size[order])), ids.astype(np.uint16) if len(ids) == 0 or ids.max() < 1 << 16 else ids), whole
+    size = size[order].astype(np.int64)
+    return Dictionary(keys[order], np.append(0, np.cumsum(size)).astype(np.uint32 if len(flat) < 1 << 32 else np.int64), flat[spread(begin[order], size)]), whole
 
 
 def encode(docs: DataFrame, known: Vocabulary | None = None, doc_id: str = "doc_id", text: str = "text", dictionary_bytes: int = DICTIONARY_BYTES) -> DataFrame:
@@ -315,7 +335,7 @@ def encode(docs: DataFrame, known: Vocabulary | None = None, doc_id: str = "doc_
     raw_text = ref(docs, text).cast("string")
     rows = docs.select(ref(docs, doc_id).alias("doc_id"), F.when(raw_text == "", F.lit("")).otherwise(F.concat(F.lit(" "), raw_text)).alias("t"))
     table = checkpoint(segment(distinct_words(rows.select("t")), known))
-    dictionary, whole = gather(spark, table, dictionary_bytes)
+    dictionary, whole = gather(table, dictionary_bytes)
     shared = spark.sparkContext.broadcast((dictionary, known.pieces))
     vocabulary_ = spark.sparkContext.broadcast(known)  # read only where a long word stands
     kind = docs.select(ref(docs, doc_id).alias("doc_id")).schema[0]
@@ -327,17 +347,16 @@ def encode(docs: DataFrame, known: Vocabulary | None = None, doc_id: str = "doc_
         piece_size = np.array([len(p) for p in said], np.int64)
         piece_begin = np.cumsum(piece_size) - piece_size
         long_words = None
-        for batch in pieces(batches, "t"):
+        row = TaskContext.get().partitionId() << 40
+        for batch in pieces(batches, "t", 1 << 19):
             raw, offsets = buffers(batch.column("t"))
             hashed, starts, n_bytes = word_hashes(raw, offsets)
             at = held.find(hashed)
             long = n_bytes > MAX_WORD
             at[long] = -1
             in_doc = np.searchsorted(starts, offsets)
-            lost = np.zeros(batch.num_rows, bool)
-            lost[np.searchsorted(offsets, starts[(at < 0) & ~long], "right") - 1] = True
-            size = np.where(at >= 0, held.offsets[at + 1] - held.offsets[at], 0) if len(held.keys) else np.zeros(len(at), np.int64)
-            ids = held.ids[spread(held.offsets[at], size)].astype(np.int32) if len(held.keys) else np.zeros(0, np.int32)
+            size = np.where(at >= 0, held.offsets[at + 1].astype(np.int64) - held.offsets[at], 0) if len(held.keys) else np.zeros(len(at), np.int64)
+            ids = held.ids[spread(held.offsets[at].astype(np.int64), size)].astype(np.int32) if len(held.keys) else np.zeros(0, np.int32)
             if long.any():
                 long_words = long_words or LongWords(vocabulary_.value)
                 paths = [np.array(long_words.ids(raw[starts[i] : starts[i] + n_bytes[i]].tobytes().decode()), np.int32) for i in np.flatnonzero(long)]
@@ -345,39 +364,60 @@ def encode(docs: DataFrame, known: Vocabulary | None = None, doc_id: str = "doc_
                 theirs = np.repeat(long, size)
                 ids = np.empty(len(theirs), np.int32)
                 ids[~theirs], ids[theirs] = short, np.concatenate(paths)
-            ends = np.append(0, np.cumsum(size))[in_doc]
+            sums = np.append(0, np.cumsum(size))
+            ends = sums[in_doc]
+            # Decoding: the texts without the words that have no ids yet.
+            lost = np.flatnonzero((at < 0) & ~long)
+            there = np.delete(raw, spread(starts[lost], n_bytes[lost])) if len(lost) else raw
+            gone = np.append(0, np.cumsum(n_bytes[lost]))[np.searchsorted(lost, in_doc)]
+            texts = offsets - gone
             spelt = np.append(0, np.cumsum(piece_size[ids]))[ends]
             back = piece_bytes[spread(piece_begin[ids], piece_size[ids])]
-            same = np.diff(spelt) == np.diff(offsets)
-            if len(back) == len(raw):
-                wrong = np.append(0, np.cumsum(back != raw))[offsets]
-                same &= np.diff(wrong) == 0
+            same = np.diff(spelt) == np.diff(texts)
+            if len(back) == len(there):
+                same &= np.diff(np.append(0, np.cumsum(back != there))[texts]) == 0
             else:
-                same &= [bool(s) and np.array_equal(back[spelt[i] : spelt[i + 1]], raw[offsets[i] : offsets[i + 1]]) for i, s in enumerate(same)]
-            null = batch.column("t").is_null().to_numpy(zero_copy_only=False) | lost
+                same &= [bool(s) and np.array_equal(back[spelt[i] : spelt[i + 1]], there[texts[i] : texts[i + 1]]) for i, s in enumerate(same)]
+            null = batch.column("t").is_null().to_numpy(zero_copy_only=False)
             lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids), mask=pa.array(null))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(ends).astype(np.int32), mask=null), pa.array(same, mask=null), lists, pa.array(lost), batch.column("t").cast(pa.string()) if lost.any() else pa.nulls(batch.num_rows, pa.string())], names=["doc_id", "n_pieces", "round_trip", "ids", "lost", "t"])
+            columns = [batch.column("doc_id"), pa.array(np.diff(ends).astype(np.int32), mask=null), pa.array(same, mask=null), lists]
+            if not whole:
+                owner = np.searchsorted(in_doc, lost, "right") - 1
+                letters = pa.py_buffer(raw[spread(starts[lost], n_bytes[lost])].tobytes())
+                spelt_out = pa.StringArray.from_buffers(len(lost), pa.py_buffer(np.append(0, np.cumsum(n_bytes[lost])).astype(np.int32).tobytes()), letters)
+                rare = pa.StructArray.from_arrays([pa.array((sums[lost] - ends[owner]).astype(np.int32)), spelt_out], ["at", "word"])
+                columns += [pa.array(np.arange(row, row + batch.num_rows)), pa.ListArray.from_arrays(pa.array(np.searchsorted(lost, in_doc).astype(np.int32)), rare)]
+                row += batch.num_rows
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_pieces", "round_trip", "ids", "row", "rare"][: len(columns)])
+        del held
+        release()
 
     fields = [kind, T.StructField("n_pieces", T.IntegerType()), T.StructField("round_trip", T.BooleanType()), T.StructField("ids", T.ArrayType(T.IntegerType()))]
-    made = rows.mapInArrow(run, T.StructType([*fields, T.StructField("lost", T.BooleanType()), T.StructField("t", T.StringType())]))
-    done = made.filter("NOT lost").select("doc_id", "n_pieces", "round_trip", "ids")
     if whole:
-        return done
-    # Documents with words beyond the broadcast part: their words are joined to the whole dictionary.
-    left = checkpoint(made.filter("lost").select("doc_id", "t").withColumn("row", F.monotonically_increasing_id()))
-    split = F.udf(cut, "array<string>")
-
-    @F.arrow_udf("array<int>")
-    def long_ids(long: pa.Array) -> pa.Array:
-        held = LongWords(vocabulary_.value) if long.null_count < len(long) else None
-        return pa.array([None if w is None else held.ids(w) for w in long.to_pylist()], pa.list_(pa.int32()))
-
-    said = left.select("row", F.posexplode(split("t")).alias("pos", "word"))
-    is_long = F.octet_length("word") > MAX_WORD
-    said = said.filter(~is_long).join(table.select("word", "ids"), "word").select("row", "pos", "ids").union(said.filter(is_long).select("row", "pos", long_ids("word").alias("ids")))
-    paths = said.groupBy("row").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("pos", "ids"))), lambda x: x["ids"])).alias("ids"))
-    rest = left.join(paths, "row").withColumn("back", decode(F.col("ids"), known, False))
-    return done.unionByName(rest.select("doc_id", F.size("ids").alias("n_pieces"), (F.col("back") == F.col("t")).alias("round_trip"), "ids"))
+        return rows.mapInArrow(run, T.StructType(fields))
+    rare = T.ArrayType(T.StructType([T.StructField("at", T.IntegerType()), T.StructField("word", T.StringType())]))
+    made = checkpoint(rows.mapInArrow(run, T.StructType([*fields, T.StructField("row", T.LongType()), T.StructField("rare", rare)])))  # so that rows keep their numbers
+    # Each occurrence of a word beyond the broadcast part is joined to the whole dictionary; ids alone go back to its row.
+    said = made.select("row", F.posexplode("rare").alias("pos", "x")).select("row", "pos", "x.at", "x.word")
+    found = said.join(table.select("word", "ids"), "word").withColumn("fine", decode(F.col("ids"), known, False) == F.col("word"))
+    found = found.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("pos", "at", "ids"))).alias("more"), F.every("fine").alias("fine"))
+    joined = made.drop("rare").join(found, "row", "left").withColumn("ids", F.when(F.col("more").isNull(), F.col("ids")).otherwise(spliced(F.col("ids"), F.col("more.at"), F.col("more.ids"))))
+    return joined.select("doc_id", F.when(F.col("ids").isNotNull(), F.size("ids")).alias("n_pieces"), (F.col("round_trip") & F.coalesce("fine", F.lit(True))).alias("round_trip"), "ids")
+
+
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def spliced(ids: pa.Array, at: pa.Array, parts: pa.Array) -> pa.Array:
+    """ids with each of the row's parts put in before the id at its place, in turn."""
+    length = lambda x: x.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    kept, runs = length(ids), length(at)
+    inner = parts.flatten()
+    sizes = length(inner)
+    begin = np.repeat(np.cumsum(kept) - kept, runs)
+    place = np.repeat(begin + at.flatten().to_numpy(zero_copy_only=False), sizes)
+    out = np.insert(ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32), place.astype(np.int64), inner.flatten().to_numpy(zero_copy_only=False).astype(np.int32))
+    added = np.diff(np.append(0, np.cumsum(sizes))[np.append(0, np.cumsum(runs))])
+    ends = np.append(0, np.cumsum(kept + added)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(out), mask=ids.is_null())
 
 
 def decode(ids: Column, known: Vocabulary | None = None, strip: bool = True) -> Column:
