@@ -45,15 +45,29 @@ def shared_folder(spark: SparkSession) -> str:
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage: write the rows as a table in the shared folder and read it again.
 
-    The table outlives any executor, is compressed, and goes when the session ends.
+    The table outlives any executor, is compressed, and goes when the session ends,
+    or before with :func:`discard`.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/packframe-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    fs, where = _place(spark, path)
+    fs.deleteOnExit(where)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.packframe_path = path
+    return out
+
+
+def _place(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete checkpointed tables that nothing will read again."""
+    for df in frames:
+        fs, where = _place(df.sparkSession, df.packframe_path)
+        fs.delete(where, True)
 
 
 def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:

@@ -13,17 +13,20 @@ of the pairs at or above ``threshold``; the least id of a group stays.
   what is broadcast (16 MB) never grows.
 * The three random numbers of ICWS come from a table of 2**16 draws per sample,
   indexed by the shingle's hash, so that equal shingles draw alike everywhere.
-* Exact copies are one candidate.  Candidates are linked to the least id of each
-  shared band, and labels spread over these links (iteratively, as tables) until
-  each linked set lies in one task.  That task compares *every* pair of the set
-  that shares a band, except pairs already known to be connected, so there is
-  no cap on partners and a set of thousands of copies costs about one comparison
-  a copy.
+* Exact copies are one candidate.  Each candidate is compared with the least id of
+  each of its bands; what is alike is linked, and labels spread over the links
+  (iteratively, as tables).  Of a band that still holds several labels the other
+  pairs of different labels are compared too: one by one where the band is small,
+  else block by block of ``BLOCK`` candidates, where blocks of one label are left out.
+  So each pair that shares a band is compared, except pairs already known to be
+  connected: there is no cap on partners, thousands of copies cost about one
+  comparison a copy, and no task holds more than two blocks.
 
 Documents without any word (null, empty, punctuation): null texts are never
 grouped; equal texts without words are exact copies.  Rows with a null id are
-not grouped and always stay.  Repeated rows of one id are one document (the
-greatest text counts).  Only the named columns are used.
+not grouped and always stay.  Repeated rows of one id are one document: of its
+texts the one with the greatest md5 counts, and the others are not compared.
+Only the named columns are used.
 """
 
 from __future__ import annotations
@@ -33,14 +36,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from packframe.llm.common import checkpoint, counted, fresh, joinable, mix, pieces, ref, shingles
+from packframe.llm.common import checkpoint, counted, discard, fresh, joinable, mix, pieces, ref, release, shingles
 
 SHINGLE, BANDS, ROWS, THRESHOLD, FLOOR = 3, 16, 3, 0.5, 1e-3
 COUNTERS = 22
+STAR, SMALL, BLOCK = 256, 8, 64  # candidates to one centre in a group; in a small band, less its centre; in a block
 _DRAWS = 16
 
 
@@ -135,9 +141,8 @@ def band_hashes(samples: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-def sketches(docs: DataFrame, idf: np.ndarray, shingle: int, bands: int, rows: int) -> DataFrame:
-    """(id, same, bands) of each document with text; ``same`` is a 128-bit hash of the text."""
-    shared = docs.sparkSession.sparkContext.broadcast(idf)
+def sketches(docs: DataFrame, shared: Broadcast, shingle: int, bands: int, rows: int) -> DataFrame:
+    """(id, same, bands) of each document with text; ``same`` is a 128-bit hash of the text; shared: the idf."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = draws(bands * rows)
@@ -152,6 +157,8 @@ def sketches(docs: DataFrame, idf: np.ndarray, shingle: int, bands: int, rows: i
             sizes[filled + 1] = bands
             column = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes).astype(np.int32)), pa.array(found.reshape(-1) if len(filled) else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("same"), column], names=["id", "same", "bands"])
+        del table
+        release()
 
     return docs.select("id", F.md5("t0").alias("same"), "t").mapInArrow(run, T.StructType([docs.schema["id"], T.StructField("same", T.StringType()), T.StructField("bands", T.ArrayType(T.LongType()))]))
 
@@ -159,16 +166,19 @@ def sketches(docs: DataFrame, idf: np.ndarray, shingle: int, bands: int, rows: i
 def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
     """(id, label): the least id connected to each id of the links (a, b)."""
     both = checkpoint(links.select(F.col("a").alias("a"), F.col("b").alias("b")).union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = checkpoint(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("a")).alias("label")))
+    held = checkpoint(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("a")).alias("label")))
     for _ in range(most_rounds):
+        labels = held.select("id", "label")
         near = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("label").alias("near"))
         # the label of one's label: paths halve each round
         step = labels.join(near, labels["id"] == near["a"]).select("id", "label", F.least("label", "near").alias("to"))
         far = labels.select(F.col("id").alias("to_id"), F.col("label").alias("of_to"))
         new = checkpoint(step.join(far, step["to"] == far["to_id"], "left").select("id", F.col("label").alias("was"), F.least("to", F.coalesce("of_to", "to")).alias("label")))
-        labels = new.select("id", "label")
+        discard(held)
+        held = new
         if new.filter(F.col("was") != F.col("label")).isEmpty():
-            return labels
+            discard(both)
+            return new.select("id", "label")
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
@@ -183,82 +193,130 @@ def jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return float(least / whole) if whole else 0.0
 
 
-def verify(ids: list, sets: list[tuple[np.ndarray, np.ndarray]], bands: list, threshold: float) -> list:
-    """The least id of each document's verified group, within one linked set."""
-    order = sorted(range(len(ids)), key=lambda i: ids[i])
-    parent = list(range(len(ids)))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    rank = {i: p for p, i in enumerate(order)}
-    buckets: dict[int, list[int]] = {}
-    for i in order:
-        for b in bands[i]:
-            buckets.setdefault(int(b), []).append(i)
-    failed: set[tuple[int, int]] = set()
-
-    def alike(i: int, j: int) -> bool:
-        pair = (i, j) if i < j else (j, i)
-        if pair in failed:
-            return False
-        if jaccard(sets[i], sets[j]) >= threshold:
-            return True
-        failed.add(pair)
-        return False
-
-    for members in buckets.values():
-        groups: dict[int, list[int]] = {}  # the members so far, by their group
-        for i in members:
-            for other in [g for g in groups if g != root(i)]:
-                if any(alike(i, j) for j in groups[other]):
-                    a, b = sorted((root(i), other), key=rank.__getitem__)
-                    parent[b] = a
-                    if moved := groups.pop(b, None):
-                        groups.setdefault(a, []).extend(moved)
-            groups.setdefault(root(i), []).append(i)
-    return [ids[root(i)] for i in range(len(ids))]
+def across(held: list[tuple], threshold: float) -> list[tuple]:
+    """(a, b) of the pairs of different labels that are alike, less those already connected; held: (id, label, set)."""
+    parent: dict = {label: label for _, label, _ in held}
+
+    def root(label):
+        while parent[label] != label:
+            parent[label] = label = parent[parent[label]]
+        return label
+
+    out = []
+    for j, (b, of_b, theirs) in enumerate(held):
+        for a, of_a, ours in held[:j]:
+            if root(of_a) != root(of_b) and jaccard(ours, theirs) >= threshold:
+                parent[root(of_b)] = root(of_a)
+                out.append((a, b))
+    return out
+
+
+def alike(rows: DataFrame, heads: DataFrame, texts: DataFrame, shared: Broadcast, shingle: int, threshold: float) -> DataFrame:
+    """(a, b): the links within the groups of rows (g, part, id, label).
+
+    A group with a centre (part 0) compares it with each other row, a group
+    without one compares all rows of different labels.  heads: (id, same) says which of
+    an id's texts counts; texts: (id, same, t); shared: the idf.
+    """
+    wanted = joinable(checkpoint(rows.join(heads.select("id", "same"), "id")), 256)
+    # Only these documents' texts move; all are shuffled only where the rows are too many to broadcast.
+    full = texts.join(wanted, ["id", "same"]).select("g", "part", "id", "label", "t")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, last, centre, held, out = None, None, None, [], []
+        for batch in pieces(batches, "t"):
+            keys, weights, offsets = weighted(batch.column("t"), shingle, shared.value)
+            columns = [batch.column(c).to_pylist() for c in ("g", "part", "id", "label")]
+            for i, (g, part, doc, label) in enumerate(zip(*columns)):
+                if g != group:
+                    out += across(held, threshold)
+                    group, last, centre, held = g, None, None, []
+                if doc == last:
+                    continue  # a repeated row
+                last = doc
+                own = keys[offsets[i] : offsets[i + 1]], weights[offsets[i] : offsets[i + 1]]
+                if part == 0:
+                    centre = doc, tuple(x.copy() for x in own)
+                elif centre is None:
+                    held.append((doc, label, tuple(x.copy() for x in own)))
+                elif jaccard(centre[1], own) >= threshold:
+                    out.append((centre[0], doc))
+            yield links_of(out)
+            out = []
+        yield links_of(across(held, threshold))
+        release()
+
+    id_type = rows.schema["id"].dataType
+    arrow = to_arrow_type(id_type)
+
+    def links_of(found: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], arrow) for k in (0, 1)], names=["a", "b"])
+
+    ordered = full.repartition("g").sortWithinPartitions("g", "part", "id")
+    return ordered.mapInArrow(run, T.StructType([T.StructField("a", id_type), T.StructField("b", id_type)]))
+
+
+def stars(pairs: DataFrame) -> DataFrame:
+    """Rows for :func:`alike` of pairs (a, b): a is the centre of groups of some STAR others each, so that none grows with the data."""
+    size = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    salted = pairs.join(size, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / STAR)).alias("salt"))
+    g = F.concat_ws("|", F.col("a").cast("string"), F.col("salt").cast("string")).alias("g")
+    others = salted.select(g, F.lit(1).alias("part"), F.col("b").alias("id"), F.col("b").alias("label"))
+    return others.union(salted.select("a", "salt").distinct().select(g, F.lit(0).alias("part"), F.col("a").alias("id"), F.col("a").alias("label")))
+
+
+def blocks(rest: DataFrame) -> DataFrame:
+    """Rows for :func:`alike` of large bands (band, id, label): a group is two blocks of a band, unless all of both have one label."""
+    sizes = rest.groupBy("band", "label").agg(F.count(F.lit(1)).alias("c"))
+    loose = sizes.filter(F.col("c") < BLOCK).groupBy("band").agg(F.sum("c").alias("loose"))
+    wide = F.col("c") >= BLOCK
+    hashed = lambda c, n: F.pmod(F.xxhash64(c), F.ceil(n / BLOCK)).cast("string")
+    own = F.concat_ws("|", F.lit("of"), F.col("label").cast("string"), hashed("id", F.col("c")))
+    block = F.when(wide, own).otherwise(F.concat_ws("|", F.lit("some"), hashed("label", F.col("loose"))))
+    placed = checkpoint(rest.join(sizes, ["band", "label"]).join(loose, "band", "left").select("band", "id", "label", block.alias("block"), F.when(wide, F.col("label")).alias("pure")))
+    each = placed.select("band", "block", "pure").distinct()
+    x, y = (each.select("band", F.col("block").alias(f"block_{k}"), F.col("pure").alias(f"pure_{k}")) for k in "xy")
+    two = x.join(y, "band").filter((F.col("block_x") <= F.col("block_y")) & ~F.coalesce(F.col("pure_x") == F.col("pure_y"), F.lit(False)))
+    two = two.select("band", F.concat_ws("||", F.col("band").cast("string"), "block_x", "block_y").alias("g"), F.explode(F.array_distinct(F.array("block_x", "block_y"))).alias("block"))
+    return placed.join(two, ["band", "block"]).select("g", F.lit(1).alias("part"), "id", "label")
 
 
 def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD, floor: float = FLOOR) -> DataFrame:
     """(doc_id, group_id, group_size, keep) of each document with an id: the group's least id stays."""
-    spark = docs.sparkSession
-    table = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("t0")).filter("id IS NOT NULL")
+    table = docs.select(ref(docs, doc_id).alias("id"), ref(docs, text).cast("string").alias("t0")).filter("id IS NOT NULL")
     table = table.withColumn("t", F.lower("t0"))
     counts, n = document_frequency(table.select("t"), shingle)
-    idf = inverse_frequency(counts, n, floor)
+    idf = docs.sparkSession.sparkContext.broadcast(inverse_frequency(counts, n, floor))
     made = checkpoint(sketches(table.filter("t0 IS NOT NULL"), idf, shingle, bands, rows))
-    # Repeated rows of an id: one row. Exact copies: the least id stands for them.
-    same = checkpoint(made.groupBy("id").agg(F.max_by("same", "same").alias("same")))
-    heads = checkpoint(made.groupBy("same").agg(F.min("id").alias("id"), F.first("bands").alias("bands")))
+    # Repeated rows of an id: one row. Exact copies: the least id stands for them. Equal texts have equal bands.
+    one = checkpoint(made.groupBy("id").agg(F.max(F.struct("same", "bands")).alias("x")).select("id", "x.same", "x.bands"))
+    same = one.select("id", "same")
+    heads = checkpoint(one.groupBy("same").agg(F.min("id").alias("id"), F.first("bands").alias("bands")))
     in_band = heads.select("id", F.explode("bands").alias("band"))
-    shared = in_band.groupBy("band").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "a")
-    links = in_band.join(shared, "band").filter(F.col("id") != F.col("a")).select("a", F.col("id").alias("b")).distinct()
-    linked = components(links)
-    texts = table.filter("t0 IS NOT NULL").select("id", "t", F.md5("t0").alias("same"))
-    known = linked.join(heads, "id").select("id", "label", "same", "bands")
-    # Only linked documents' texts move; all are shuffled only where the links are too many to broadcast.
-    known = joinable(checkpoint(known), 256)
-    full = texts.join(known, ["id", "same"]).dropDuplicates(["id"]).select("id", "label", "bands", "t")
-    shared_idf = spark.sparkContext.broadcast(idf)
-
-    def group(frame: pd.DataFrame) -> pd.DataFrame:
-        keys, weights, offsets = weighted(pa.array(frame["t"], pa.large_string()), shingle, shared_idf.value)
-        sets = [(keys[a:b], weights[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
-        ids = frame["id"].tolist()
-        return pd.DataFrame({"id": ids, "head": verify(ids, sets, frame["bands"].tolist(), threshold)})
-
-    kind = docs.select(F.col(doc_id)).schema[0].dataType
-    grouped = checkpoint(full.groupBy("label").applyInPandas(group, T.StructType([T.StructField("id", kind), T.StructField("head", kind)])))
+    shared = in_band.groupBy("band").agg(F.min("id").alias("a"), (F.count(F.lit(1)) - 1).alias("others")).filter("others > 0")
+    members = checkpoint(in_band.join(shared, "band").filter(F.col("id") != F.col("a")))  # (band, id, a, others)
+    texts = table.filter("t0 IS NOT NULL").select("id", F.md5("t0").alias("same"), "t")
+    compare = lambda rows: alike(rows, heads, texts, idf, shingle, threshold)
+    pairs = checkpoint(members.select("a", F.col("id").alias("b")).distinct())
+    links = checkpoint(compare(stars(pairs)))
+    labels = components(links)
+    # What is left: bands whose members, less the one that all were compared with, have several labels.
+    several = members.filter("others > 1").join(labels, "id", "left").select("band", "id", "others", F.coalesce("label", "id").alias("label"))
+    mixed = several.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("band")
+    rest = checkpoint(several.join(mixed, "band"))
+    few, many = rest.filter(F.col("others") <= SMALL), rest.filter(F.col("others") > SMALL)
+    x, y = (few.select("band", F.col("id").alias(i), F.col("label").alias(f"label_{i}")) for i in "ab")
+    others = x.join(y, "band").filter("a < b AND label_a <> label_b").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
+    more = checkpoint(compare(stars(others).union(blocks(many))))
+    if not more.isEmpty():
+        labels = components(links.union(more))
+    grouped = labels.select("id", F.col("label").alias("head"))
     # Every document: by its text to the head of its copies, by that to its group.
-    heads = heads.select("same", F.col("id").alias("first"))
-    joined = same.join(heads, "same").join(grouped.select(F.col("id").alias("first"), "head"), "first", "left")
+    joined = same.join(heads.select("same", F.col("id").alias("first")), "same").join(grouped.select(F.col("id").alias("first"), "head"), "first", "left")
     placed = joined.select("id", F.coalesce("head", "first").alias("group_id"))
     empty = table.filter("t0 IS NULL").select("id").distinct().join(placed.select("id"), "id", "left_anti").select("id", F.col("id").alias("group_id"))
     placed = checkpoint(placed.union(empty))
+    discard(made, one, heads, members, pairs, links, rest, more)
     sizes = placed.groupBy("group_id").agg(F.count(F.lit(1)).alias("group_size"))
     return placed.join(sizes, "group_id").select(F.col("id").alias("doc_id"), "group_id", "group_size", (F.col("id") == F.col("group_id")).alias("keep"))
 

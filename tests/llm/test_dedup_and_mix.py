@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import datetime
 import hashlib
 import random
 import re
 from collections import Counter, defaultdict
+from decimal import Decimal
 
 import cases
 import numpy as np
@@ -50,6 +52,39 @@ def test_near_dedup_by_brute_force(spark, sf_dir):
     assert all(want[i] == want[g] for i, g in got.items())  # nothing grouped that isn't connected
 
 
+@pytest.mark.parametrize("limits", [{}, {"STAR": 2, "SMALL": 1, "BLOCK": 2}])
+def test_no_candidate_link_is_lost(spark, monkeypatch, limits):
+    """The groups are those of all pairs that share a band and are alike, whether bands are compared pair by pair or in blocks."""
+    for name, value in limits.items():
+        monkeypatch.setattr(near_dedup, name, value)
+    draw = random.Random(2)
+    bases = [cases.prose(i, 60).split() for i in range(6)]
+    rows = []
+    for i in range(160):  # chains of texts that drift apart
+        words = list(draw.choice(bases))
+        for _ in range(draw.randint(0, 14)):
+            words[draw.randrange(len(words))] = f"w{draw.randint(0, 50)}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    ids, pairs = alike(docs)
+    counts, n = near_dedup.document_frequency(docs.select(F.lower("text").alias("t")), near_dedup.SHINGLE)
+    shared = spark.sparkContext.broadcast(near_dedup.inverse_frequency(counts, n, near_dedup.FLOOR))
+    table = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("t0"), F.lower("text").alias("t"))
+    bands = {r["id"]: set(r["bands"]) for r in near_dedup.sketches(table, shared, near_dedup.SHINGLE, near_dedup.BANDS, near_dedup.ROWS).collect()}
+    want = groups_of(ids, {(a, b) for a, b in pairs if bands[a] & bands[b]})
+    got = {r["doc_id"]: r["group_id"] for r in near_dedup.near_dedup(docs).collect()}
+    assert got == want and len(set(want.values())) > 6
+
+
+def test_repeated_ids_are_one_document(spark):
+    """Of an id's texts only one counts, so that its other texts link nothing."""
+    a, b = cases.prose(1, 80), cases.prose(2, 80)
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    rows = [(1, a), (1, b), (2, a), (3, b), (4, b + " x")]
+    found = {r["doc_id"]: r["group_id"] for r in near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == ({1: 1, 2: 1, 3: 3, 4: 3} if md5(a) > md5(b) else {1: 1, 2: 2, 3: 1, 4: 1})
+
+
 def test_one_document_of_each_group_stays(spark):
     base = cases.prose(9, 200).split()
     rows = [(i, " ".join(base[:-1] + [f"end{i}"])) for i in range(40)] + [(100 + i, cases.prose(50 + i, 200)) for i in range(20)] + [(200, " ".join(base))]
@@ -169,6 +204,24 @@ def test_mix_reaches_the_weights(spark, sequence):
     assert mixing.mix(docs, {"a": 1.0}).select("source").distinct().count() == 1
 
 
+def test_van_der_corput_points(spark):
+    """The radical inverse, also beyond 2**32 slots."""
+    slots = [1, 2, 3, 6, (1 << 32) + 1, (1 << 40) + 3, (1 << 52) + 5]
+    want = [sum(0.5 ** (k + 1) for k in range(53) if i >> k & 1) for i in slots]
+    rows = spark.createDataFrame([(i,) for i in slots], "i long").select("i", mixing.van_der_corput(F.col("i")).alias("x")).collect()
+    assert [r["x"] for r in sorted(rows)] == pytest.approx(want, abs=1e-15)
+
+
+def test_mixed_documents_keep_the_schedule(spark):
+    """Each row, also of a repeated or null id, is there as often as its own slots take it, in their order."""
+    draw = random.Random(3)
+    rows = [(draw.choice([None, 1, 2, 3 + i]), cases.prose(i, 30 + i), draw.choice("aaab")) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({c: F.lit(1) for c in ("_row", "_slot", "_position", "_of", "slot", "by", "t")})
+    found = [r["text"] for r in mixing.mixed_documents(docs, block_tokens=200).collect()]
+    plan = mixing.mix(docs.withColumn("row", F.monotonically_increasing_id()), None, "row", block_tokens=200, order_id="doc_id").join(docs.select(F.monotonically_increasing_id().alias("doc_id"), "text"), "doc_id")
+    assert found == [r["text"] for r in plan.orderBy("slot", "position").collect()] and set(found) == {t for _, t, _ in rows}
+
+
 def test_mix_of_messy_rows(spark):
     for frame in (cases.messy(spark), cases.clashing(spark)):
         made = mixing.mixed_documents(frame)
@@ -204,6 +257,40 @@ def test_shards(spark):
     checked_shards(spark, [(None, None, None), (1, "", "a"), (2, "x" * 50_000, "a"), (3, "b", None)], 1000)
 
 
+def test_equal_rows_are_dealt_out_whatever_the_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        size = checked_shards(spark, [(1, "y" * 100, "a")] * 400, 5_000)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(size) == 8
+
+
+@pytest.mark.parametrize(
+    ("kind", "values"),
+    [
+        ("double", [-50.5, -5.0, -0.0, 0.0, 2.0, 9.0, 10.0, 100.0, 1e300, -1e300, float("inf"), float("-inf")]),
+        ("decimal(20,3)", [Decimal(x) for x in ("-12.5", "-1.001", "0", "0.001", "2", "9", "10", "100.25")]),
+        ("date", [datetime.date(y, 5, 4) for y in (1800, 1969, 1970, 1999, 2024)]),
+        ("timestamp", [datetime.datetime(y, 5, 4, 3, 2, 1, 7) for y in (1950, 1970, 1999, 2024)]),
+        ("string", ["", "a", "a\x00", "a\x00b", "a\x01", "a\x01b", "ab", "é", "中"]),
+        ("binary", [b"", b"\x00", b"\x00\x01", b"a", b"\xff"]),
+        ("int", [-(1 << 31), -10, -9, 0, 9, 10, 100]),
+        ("boolean", [False, True]),
+    ],
+)
+def test_keys_sort_as_their_values(spark, kind, values):
+    rows = [(x, y) for x in [*values, None] for y in (2, 10)]
+    frame = spark.createDataFrame(rows, f"x {kind}, y long")
+    made = frame.select("x", "y", sharding.sort_key(frame, ["x", "y"]).alias("k")).collect()
+    rank = {x: i for i, x in enumerate(sorted(set(values)))}
+    order = sorted(made, key=lambda r: (-1 if r["x"] is None else rank[bytes(r["x"]) if kind == "binary" else r["x"]], r["y"]))
+    keys = [r["k"].encode() for r in order]
+    assert keys == sorted(keys)
+    with pytest.raises(ValueError, match="order of keys"):
+        sharding.sort_key(frame.withColumn("z", F.array("y")), ["z"])
+
+
 def test_shards_of_messy_rows(spark):
     for frame in (cases.messy(spark), cases.clashing(spark)):
         made = sharding.shard(frame, ["source", "doc_id"])
