@@ -7,7 +7,7 @@
    most ``label_rows`` labelled rows by hash (a bounded, documented parameter).
 2. Graph: words in ``min_df`` to ``max_df`` of all documents, and the seeds, are
    nodes; the rule bounds their number by (words per document) / ``min_df``
-   whatever the corpus.  Words within ``window`` nodes of each other co-occur;
+   whatever the corpus.  Other words get no polarity.  Words within ``window`` nodes of each other co-occur;
    an edge weighs the pair's positive pointwise mutual information over all
    documents.
 3. Random walks with restart from the toxic and from the clean seeds give each
@@ -35,10 +35,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packframe.llm.common import Tally, buffers, checkpoint, counted, owners, pieces, ref, unvarint, varint, words
+from packframe.llm.common import Tally, buffers, checkpoint, counted, discard, fresh, owners, pieces, ref, release, unvarint, varint, words
 
 LABEL_ROWS, MIN_DF, MAX_DF, WINDOW = 50_000, 2e-3, 0.2, 5
 CUTS = tuple(i / 20 for i in range(20))
@@ -78,7 +79,7 @@ def word_table(docs: DataFrame, known: tuple[np.ndarray, np.ndarray]) -> DataFra
     shared = sc.broadcast(known)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = Tally()
+        held = Tally(1 << 18)
         docs_of = np.zeros(3, np.int64)
         for batch in pieces(batches, "t"):
             side = _side(batch.column("id"), shared.value)
@@ -89,11 +90,14 @@ def word_table(docs: DataFrame, known: tuple[np.ndarray, np.ndarray]) -> DataFra
                 order = np.argsort(keys, kind="stable")
                 keys, mine = keys[order], mine[order]
                 at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-                held.add(keys[at], np.stack([np.diff(np.append(at, len(keys))), np.add.reduceat((mine == 1).astype(np.int64), at), np.add.reduceat((mine == 0).astype(np.int64), at)], axis=1))
+                held.add(keys[at], np.stack([np.diff(np.append(at, len(keys))), np.add.reduceat((mine == 1).astype(np.int32), at), np.add.reduceat((mine == 0).astype(np.int32), at)], axis=1).astype(np.int32))
         if found := held.fold():
             for i in range(0, len(found[0]), 1 << 17):
                 part = found[1][i : i + (1 << 17)]
-                yield pa.RecordBatch.from_arrays([pa.array(found[0][i : i + (1 << 17)].view(np.int64)), *[pa.array(np.ascontiguousarray(part[:, k])) for k in range(3)]], names=["word", "df", "toxic_df", "clean_df"])
+                yield pa.RecordBatch.from_arrays([pa.array(found[0][i : i + (1 << 17)].view(np.int64)), *[pa.array(part[:, k].astype(np.int64)) for k in range(3)]], names=["word", "df", "toxic_df", "clean_df"])
+            del found, part
+        del held
+        release()
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), *[pa.array([int(x)]) for x in docs_of]], names=["word", "df", "toxic_df", "clean_df"])
 
     part = docs.mapInArrow(count, "word long, df long, toxic_df long, clean_df long")
@@ -143,7 +147,7 @@ def pair_counts(docs: DataFrame, nodes: np.ndarray, window: int) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         size = len(known)
-        held = Tally()
+        held = Tally(1 << 19)
         for batch in pieces(batches, "t"):
             keys, offsets = words(batch.column("t"))
             if not len(keys) or not size:
@@ -164,14 +168,17 @@ def pair_counts(docs: DataFrame, nodes: np.ndarray, window: int) -> DataFrame:
         if found := held.fold():
             for i in range(0, len(found[0]), 1 << 18):
                 yield blocks(found[0][i : i + (1 << 18)], found[1][i : i + (1 << 18)])
+            del found
+        del held
+        release()
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come block by block, so blocks before the last are whole."""
-        held = Tally()
+        held = Tally(1 << 19)
         for batch in pieces(batches, "keys"):
             cells, counts = cells_of(batch)
             held.add(cells, counts)
-            if held.merged > 1 << 21:
+            if held.merged > 1 << 20:
                 cells, counts = held.fold()
                 whole = np.searchsorted(cells, cells[-1] // CELLS * CELLS)
                 yield blocks(cells[:whole], counts[:whole])
@@ -179,6 +186,9 @@ def pair_counts(docs: DataFrame, nodes: np.ndarray, window: int) -> DataFrame:
                 held.add(cells[whole:], counts[whole:])
         if found := held.fold():
             yield blocks(*found)
+            del found
+        del held
+        release()
 
     kind = "block long, keys binary, counts binary"
     return docs.mapInArrow(count, kind).repartition("block").sortWithinPartitions("block").mapInArrow(total, kind)
@@ -195,8 +205,8 @@ class Graph:
         self.weight = np.maximum(self._sums(1, self._edges(lambda a, b, w: [(a, w), (b, w)])), 1e-300)
 
     def _sums(self, columns: int, given) -> np.ndarray:
-        """(columns, nodes): the sums of what ``given(a, b, n)`` gives nodes, over all pairs; each task sends one array."""
-        size = self.nodes
+        """(columns, nodes): the sums of what ``given(a, b, n)`` gives nodes, over all pairs, added up slice by slice of nodes."""
+        size, width = self.nodes, 1 << 12
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = np.zeros((columns, size))
@@ -205,10 +215,21 @@ class Graph:
                 for node, value in given(cell // size, cell % size, n.astype(np.float64)):
                     for k, v in enumerate(np.atleast_2d(value)):
                         out[k] += np.bincount(node, v, size)
-            yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["sums"])
-
-        got = [np.frombuffer(r["sums"]).reshape(columns, size) for r in self.pairs.mapInArrow(run, "sums binary").collect()]
-        return np.sum(got, axis=0) if got else np.zeros((columns, size))
+            if out.any():
+                parts = [np.ascontiguousarray(out[:, i : i + width]).tobytes() for i in range(0, size, width)]
+                task = TaskContext.get().partitionId()
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([task] * len(parts), pa.int32()), pa.array(parts, pa.binary())], names=["part", "task", "sums"])
+
+        def add(frame: pd.DataFrame) -> pd.DataFrame:
+            each = frame.sort_values("task")["sums"]  # in one order, so that results repeat to the last bit
+            out = np.zeros(len(each.iloc[0]) // 8)
+            for raw in each:
+                out += np.frombuffer(raw)
+            return pd.DataFrame({"part": [int(frame["part"].iloc[0])], "task": [0], "sums": [out.tobytes()]})
+
+        kind = "part int, task int, sums binary"
+        got = sorted((r["part"], r["sums"]) for r in self.pairs.mapInArrow(run, kind).groupBy("part").applyInPandas(add, kind).collect())
+        return np.concatenate([np.frombuffer(raw).reshape(columns, -1) for _, raw in got], axis=1) if got else np.zeros((columns, size))
 
     def _edges(self, then):
         """Pairs of different nodes with positive pointwise mutual information, which is their weight."""
@@ -251,6 +272,7 @@ def induce(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     lean = tried.filter((F.col("toxic_df") >= 3) & (F.col("toxic_df") > F.lit(rate) * (F.col("toxic_df") + F.col("clean_df"))))
     frame = tried.filter((F.col("df") >= max(2.0, min_df * n_docs)) & (F.col("df") <= max_df * n_docs)).union(lean).distinct().toPandas()
     tests = tried.filter("toxic_df + clean_df >= 3").count()
+    discard(table)
     if not len(frame):
         return nothing
     frame["key"] = frame["word"].to_numpy(np.int64).view(np.uint64)
@@ -272,6 +294,7 @@ def induce(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     mass = [np.where(side, frame[c].to_numpy(float), 0.0) for side, c in ((is_toxic, "toxic_df"), (is_clean, "clean_df"))]
     start = np.stack([mass[0] / mass[0].sum(), mass[1] / max(1.0, mass[1].sum())])
     toxic_rate, clean_rate = walk(graph, start, steps, restart)
+    discard(graph.pairs)
     smooth = 0.01 / len(frame)
     ratio = np.log((toxic_rate + smooth) / (clean_rate + smooth))
     scale = np.median(ratio[is_toxic])
@@ -353,8 +376,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", **settings) -> DataFrame:
     """The rows that are not toxic, every column as it was."""
-    from packframe.llm.common import fresh
-
     lexicon = induce(docs, labels, doc_id, text, **settings)
     low, score = fresh(docs, "_low", "_score")
     scored = score_column(docs.withColumn(low, F.lower(ref(docs, text).cast("string"))), lexicon, low, score)
