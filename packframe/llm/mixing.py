@@ -37,10 +37,10 @@ def token_count(text: Column) -> Column:
     return F.greatest(F.lit(1), F.coalesce(F.regexp_count(text, F.lit(r"[^ \t\r\n]+")), F.lit(1))).cast("bigint")
 
 
-def blocks(docs: DataFrame, doc_id: str, text: str, source: str, block_tokens: int, seed: str) -> DataFrame:
-    """(doc_id, source, tokens, begin, block) of each row."""
-    order = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.md5("t"))))
-    rows = docs.select(ref(docs, doc_id).alias("doc_id"), F.coalesce(ref(docs, source).cast("string"), F.lit("")).alias("source"), ref(docs, text).alias("t"))
+def blocks(docs: DataFrame, doc_id: str, text: str, source: str, block_tokens: int, seed: str, order_id: str | None = None) -> DataFrame:
+    """(doc_id, source, tokens, begin, block) of each row; order_id: the column by which rows are shuffled, doc_id unless given."""
+    order = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("by").cast("string"), F.md5("t"))))
+    rows = docs.select(ref(docs, doc_id).alias("doc_id"), ref(docs, order_id or doc_id).alias("by"), F.coalesce(ref(docs, source).cast("string"), F.lit("")).alias("source"), ref(docs, text).cast("string").alias("t"))
     rows = checkpoint(rows.select("doc_id", "source", token_count(F.col("t")).alias("tokens"), order.alias("o")).withColumn("bucket", F.substring("o", 1, 2)))
     sums = rows.groupBy("source", "bucket").agg(F.sum("tokens").alias("s"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -52,7 +52,8 @@ def blocks(docs: DataFrame, doc_id: str, text: str, source: str, block_tokens: i
 
 
 def van_der_corput(i: Column) -> Column:
-    return F.conv(F.reverse(F.lpad(F.conv(i.cast("string"), 10, 2), 32, "0")), 2, 10).cast("double") / float(1 << 32)
+    """The base-2 radical inverse of a whole number below 2**53."""
+    return F.conv(F.reverse(F.lpad(F.conv(i.cast("string"), 10, 2), 53, "0")), 2, 10).cast("double") / float(1 << 53)
 
 
 def point(i: Column, sequence: str) -> Column:
@@ -91,7 +92,7 @@ def slots(parts: DataFrame, sequence: str) -> DataFrame:
     cells = 1024
     grid = parts.withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") * cells), F.floor(F.least(F.col("high"), F.lit(1.0 - 1e-12)) * cells))))
     at = spark.range(n).select(F.col("id").alias("slot"), point(F.col("id"), sequence).alias("x")).withColumn("cell", F.floor(F.col("x") * cells))
-    taken = at.join(joinable(checkpoint(grid), 96), "cell").filter("x >= low AND x < high").select("slot", "source", "n_blocks", F.floor(F.col("slot") / CHUNK).alias("chunk"))
+    taken = checkpoint(at.join(joinable(checkpoint(grid), 96), "cell").filter("x >= low AND x < high").select("slot", "source", "n_blocks", F.floor(F.col("slot") / CHUNK).alias("chunk")))
     counts = taken.groupBy("source", "chunk").agg(F.count(F.lit(1)).alias("c"))
     before = Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = checkpoint(counts.select("source", "chunk", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("offset")))
@@ -102,23 +103,27 @@ def slots(parts: DataFrame, sequence: str) -> DataFrame:
     return ranked.filter(F.col("slot") <= F.lit(-1 if end is None else end))
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, doc_id: str = "doc_id", text: str = "text", source: str = "source", block_tokens: int = BLOCK_TOKENS, even: float = EVEN, seed: str = SEED, sequence: str = "golden") -> DataFrame:
-    """(slot, position, source, epoch, block, doc_id, tokens): the mixed corpus, in order of slot and position."""
-    placed = checkpoint(blocks(docs, doc_id, text, source, block_tokens, seed))
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, doc_id: str = "doc_id", text: str = "text", source: str = "source", block_tokens: int = BLOCK_TOKENS, even: float = EVEN, seed: str = SEED, sequence: str = "golden", order_id: str | None = None) -> DataFrame:
+    """(slot, position, source, epoch, block, doc_id, tokens): the mixed corpus, its order that of slot and position."""
+    placed = checkpoint(blocks(docs, doc_id, text, source, block_tokens, seed, order_id))
     plan = slots(shares(placed, weights, even), sequence)
     plan = plan.select("slot", "source", F.floor(F.col("rank") / F.col("n_blocks")).cast("bigint").alias("epoch"), (F.col("rank") % F.col("n_blocks")).alias("block"))
     return plan.join(placed, ["source", "block"]).select("slot", F.col("begin").alias("position"), "source", "epoch", "block", "doc_id", "tokens")
 
 
 def mixed_documents(docs: DataFrame, weights: dict[str, float] | None = None, doc_id: str = "doc_id", text: str = "text", source: str = "source", **settings) -> DataFrame:
-    """The rows of ``docs``, each as often as the schedule takes it, with its columns as they were.
+    """The rows of ``docs`` in the schedule's order, each as often as the schedule takes it, with its columns as they were.
 
-    Rows with a null id, or repeated rows of one id, are matched by their id's slots
-    once: a row is repeated as often as its id is scheduled per row.
+    Partitions are runs of slots, sorted by slot and position, so that a reader who goes
+    through the files in order reads the mixed corpus.  Rows are numbered once, so each
+    row, also of a null or repeated id, has its own slots.
     """
-    copies, at = fresh(docs, "_copies", "_id")
-    times = mix(docs, weights, doc_id, text, source, **settings).groupBy(F.col("doc_id").alias(at), F.col("source").alias("_s")).agg(F.count(F.lit(1)).alias(copies))
-    rows = docs.groupBy(ref(docs, doc_id).alias("_i")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    times = times.groupBy(at).agg(F.sum(copies).alias(copies)).join(rows, F.col(at).eqNullSafe(F.col("_i")), "left")
-    times = joinable(checkpoint(times.select(at, F.ceil(F.col(copies) / F.coalesce("_n", F.lit(1))).cast("int").alias(copies))), 24)
-    return docs.join(times, ref(docs, doc_id).eqNullSafe(F.col(at))).withColumn(copies, F.explode(F.array_repeat(F.lit(1), F.col(copies)))).select(*[ref(docs, c) for c in docs.columns])
+    row, slot, position, of = fresh(docs, "_row", "_slot", "_position", "_of")
+    spark = docs.sparkSession
+    numbered = checkpoint(docs.withColumn(row, F.monotonically_increasing_id()))
+    plan = checkpoint(mix(numbered, weights, row, text, source, order_id=doc_id, **settings).select(F.col("slot").alias(slot), F.col("position").alias(position), F.col("doc_id").alias(of)))
+    slots_ = (plan.agg(F.max(slot)).first()[0] or 0) + 1
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    joined = numbered.join(joinable(plan, 48), F.col(row) == F.col(of))
+    moved = joined.repartitionById(parts, F.floor(F.col(slot) * parts / slots_).cast("int")).sortWithinPartitions(slot, position)
+    return moved.select(*[ref(moved, c) for c in docs.columns])
