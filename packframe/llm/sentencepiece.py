@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from packframe.llm.common import _BYTE, _ODD, buffers, checkpoint, mix, pieces, ref, release
+from packframe.llm.common import _BYTE, _ODD, buffers, checkpoint, discard, mix, pieces, ref, release
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -270,8 +270,11 @@ class Dictionary:
 
     def index(self) -> None:
         """Where each range of hashes begins: one gather in place of a binary search."""
-        self.log = max(4, int(math.ceil(math.log2(max(2, len(self.keys))))) + 1)
-        self.first = np.searchsorted(self.keys >> np.uint64(64 - self.log), np.arange((1 << self.log) + 1, dtype=np.uint64)).astype(np.int32)
+        self.log = max(4, int(math.ceil(math.log2(max(2, len(self.keys))))))
+        self.first = np.full((1 << self.log) + 1, len(self.keys), np.int32)
+        for i in range(0, 1 << self.log, 1 << 16):  # in slices, to hold little besides
+            cells = np.arange(i, min(i + (1 << 16), 1 << self.log), dtype=np.uint64)
+            self.first[i : i + len(cells)] = np.searchsorted(self.keys, cells << np.uint64(64 - self.log))
 
     def find(self, hashed: np.ndarray) -> np.ndarray:
         """The place of each hash, -1 if it isn't held."""
@@ -322,10 +325,16 @@ def gather(table: DataFrame, most_bytes: int) -> tuple[Dictionary, bool]:
     keys, size = (np.concatenate([np.zeros(0, kind), *(np.frombuffer(r[c], kind) for r in got)]) for c, kind in (("keys", np.uint64), ("sizes", np.uint16)))
     kind = np.int32 if any(r["width"] == 4 for r in got) else np.uint16
     flat = np.concatenate([np.zeros(0, kind), *(np.frombuffer(r["ids"], {2: np.uint16, 4: np.int32}[r["width"]]).astype(kind, copy=False) for r in got)])
+    del got
     begin = np.cumsum(size, dtype=np.int64) - size
-    order = np.argsort(keys)
-    size = size[order].astype(np.int64)
-    return Dictionary(keys[order], np.append(0, np.cumsum(size)).astype(np.uint32 if len(flat) < 1 << 32 else np.int64), flat[spread(begin[order], size)]), whole
+    order = np.argsort(keys).astype(np.int32 if len(keys) < 1 << 31 else np.int64)
+    keys, begin, size = keys[order], begin[order], size[order]
+    offsets = np.append(0, np.cumsum(size, dtype=np.int64))
+    ids = np.empty(len(flat), kind)
+    for i in range(0, len(size), 1 << 16):  # in slices, to hold little besides
+        part = size[i : i + (1 << 16)].astype(np.int64)
+        ids[offsets[i] : offsets[i + len(part)]] = flat[spread(begin[i : i + len(part)], part)]
+    return Dictionary(keys, offsets.astype(np.uint32) if len(flat) < 1 << 32 else offsets, ids), whole
 
 
 def encode(docs: DataFrame, known: Vocabulary | None = None, doc_id: str = "doc_id", text: str = "text", dictionary_bytes: int = DICTIONARY_BYTES) -> DataFrame:
@@ -337,6 +346,8 @@ def encode(docs: DataFrame, known: Vocabulary | None = None, doc_id: str = "doc_
     table = checkpoint(segment(distinct_words(rows.select("t")), known))
     dictionary, whole = gather(table, dictionary_bytes)
     shared = spark.sparkContext.broadcast((dictionary, known.pieces))
+    del dictionary
+    release()
     vocabulary_ = spark.sparkContext.broadcast(known)  # read only where a long word stands
     kind = docs.select(ref(docs, doc_id).alias("doc_id")).schema[0]
 
@@ -394,6 +405,7 @@ def encode(docs: DataFrame, known: Vocabulary | None = None, doc_id: str = "doc_
 
     fields = [kind, T.StructField("n_pieces", T.IntegerType()), T.StructField("round_trip", T.BooleanType()), T.StructField("ids", T.ArrayType(T.IntegerType()))]
     if whole:
+        discard(table)
         return rows.mapInArrow(run, T.StructType(fields))
     rare = T.ArrayType(T.StructType([T.StructField("at", T.IntegerType()), T.StructField("word", T.StringType())]))
     made = checkpoint(rows.mapInArrow(run, T.StructType([*fields, T.StructField("row", T.LongType()), T.StructField("rare", rare)])))  # so that rows keep their numbers
