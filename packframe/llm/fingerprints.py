@@ -124,11 +124,11 @@ def fingerprints(docs: DataFrame, against: DataFrame, doc_id: str = "doc_id", te
     resemblance and containment compare the document with one corpus, the merged
     sketch of ``against`` (a sketch of k hashes whatever its size).
     """
-    whole = merge(sketch(against.select(F.col(text).alias("text")), [], "text", n, k).withColumn("all", F.lit(1)), ["all"], k)
+    whole = merge(sketch(against.select(ref(against, text).alias("text")), [], "text", n, k).withColumn("all", F.lit(1)), ["all"], k)
     whole = whole.select(F.col("sketch").alias("whole"))
     empty = docs.sparkSession.range(1).select(F.array().cast("array<bigint>").alias("none"))
     whole = empty.join(whole, how="left").select(F.coalesce("whole", "none").alias("whole"))
-    mine = sketch(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), ["doc_id"], "text", n, k)
+    mine = sketch(docs.select(ref(docs, doc_id).alias("doc_id"), ref(docs, text).alias("text")), ["doc_id"], "text", n, k)
     out = mine.crossJoin(F.broadcast(whole))
     return out.select(
         "doc_id",

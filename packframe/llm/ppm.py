@@ -41,9 +41,9 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packframe.llm.common import Tally, buffers, checkpoint, mix, pieces
+from packframe.llm.common import Tally, buffers, checkpoint, mix, pieces, ref, release
 
-ORDER, MIN_RATE = 4, 0.0
+ORDER, MIN_RATE, MOST_ORDER = 4, 0.0, 6
 #: Edges that may be broadcast, some 100 bytes each in a worker.
 HELD = 1 << 18
 
@@ -77,8 +77,11 @@ def gram_counts(docs: DataFrame, text: str = "text", order: int = ORDER) -> Data
             keys, counts = found
             for i in range(0, len(keys), 1 << 18):
                 yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + (1 << 18)].view(np.int64)), pa.array(counts[i : i + (1 << 18)], pa.int64())], names=["gram", "n"])
+            del found, keys, counts
+        del held
+        release()
 
-    part = docs.select(F.col(text).cast("string").alias("t")).mapInArrow(count, "gram long, n long")
+    part = docs.select(ref(docs, text).cast("string").alias("t")).mapInArrow(count, "gram long, n long")
     return part.groupBy("gram").agg(F.sum("n").alias("n"))
 
 
@@ -266,6 +269,8 @@ class TrieTables:
 
 def train(docs: DataFrame, text: str = "text", order: int = ORDER, min_rate: float = MIN_RATE, held: int = HELD) -> Trie | TrieTables:
     """The trie of all documents' counts; at most ``held`` edges reach the driver."""
+    if not 0 <= order <= MOST_ORDER:
+        raise ValueError(f"order must be 0 to {MOST_ORDER}: a context and its byte are a key of 63 bits")
     counts = checkpoint(gram_counts(docs, text, order))
     least = max(1.0, min_rate * (counts.agg(F.sum("n")).first()[0] or 0))
     levels = []
@@ -315,9 +320,9 @@ def score(docs: DataFrame, trie: Trie | TrieTables, doc_id: str = "doc_id", text
                 row += len(size)
                 yield pa.RecordBatch.from_arrays([*columns, rows, pa.ListArray.from_arrays(pa.array(begin), pa.array(rest))], names=["doc_id", "n_bytes", "bits", "row", "rest"])
 
-    kind = docs.select(F.col(doc_id)).schema[0].dataType.simpleString()
-    kind = f"doc_id {kind}, n_bytes long, bits double" + ("" if whole else ", row long, rest array<long>")
-    out = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("t")).mapInArrow(run, kind)
+    rows = docs.select(ref(docs, doc_id).alias("doc_id"), ref(docs, text).cast("string").alias("t"))
+    kind = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, bits double" + ("" if whole else ", row long, rest array<long>")
+    out = rows.mapInArrow(run, kind)
     if not whole:
         part = checkpoint(out)  # so that rows keep their numbers
         rest = part.select("row", F.explode("rest").alias("gram"))
@@ -370,5 +375,5 @@ def score_adaptive(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             size = [None if r is None else len(r) for r in raw]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "n_bytes": pd.array(size, "Int64"), "bits": bits, "bits_per_byte": [None if b is None else b / max(1, n) for b, n in zip(bits, size)]})
 
-    kind = docs.select(F.col(doc_id)).schema[0].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("t")).mapInPandas(run, f"doc_id {kind}, n_bytes long, bits double, bits_per_byte double")
+    rows = docs.select(ref(docs, doc_id).alias("doc_id"), ref(docs, text).cast("string").alias("t"))
+    return rows.mapInPandas(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, bits double, bits_per_byte double")

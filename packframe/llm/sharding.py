@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from packframe.llm.common import checkpoint, fresh, joinable, mix, ref
+from packframe.llm.common import checkpoint, discard, fresh, joinable, mix, ref
 
 PHI = 0.6180339887498949
 TARGET_BYTES, OVERSAMPLE, OVERFULL = 64 << 20, 64, 1.25
@@ -162,6 +162,7 @@ def assign(docs: DataFrame, keys: list[str], text: str, target_bytes: int = TARG
     if n > MOST_SHARDS:
         raise ValueError(f"{n} shards of {target_bytes} bytes: choose a target of at least {-(-total // MOST_SHARDS)}")
     places = Places(splitters, table.toPandas().sort_values(["r", "part"]), alike.collect(), target_bytes)
+    discard(slim, ranged, inner, table)
     shared = docs.sparkSession.sparkContext.broadcast(places)
 
     @F.arrow_udf("int")
