@@ -2,9 +2,12 @@
 
 1. Seeds: words whose document frequency differs between documents labelled
    toxic and clean beyond chance (a binomial tail, corrected for the number of
-   words tried) are toxic seeds; the most frequent words whose share of toxic
-   documents is at most the average are clean seeds.  Labels are a sample of at
-   most ``label_rows`` labelled rows by hash (a bounded, documented parameter).
+   words tried) may be toxic seeds; of these stay the words whose share of toxic
+   documents reaches the bar at which "holds a seed" fits the labels best (by F1).
+   The most frequent words whose share is at most the average are clean seeds.
+   Labels are a sample of at most ``label_rows`` labelled rows by hash (a bounded,
+   documented parameter); equal texts with equal labels count once in it, as copies
+   are no evidence of their own.
 2. Graph: words in ``min_df`` to ``max_df`` of all documents, and the seeds, are
    nodes; the rule bounds their number by (words per document) / ``min_df``
    whatever the corpus.  Other words get no polarity.  Words within ``window`` nodes of each other co-occur;
@@ -44,6 +47,7 @@ from packframe.llm.common import Tally, buffers, checkpoint, counted, discard, f
 LABEL_ROWS, MIN_DF, MAX_DF, WINDOW = 50_000, 2e-3, 0.2, 5
 CUTS = tuple(i / 20 for i in range(20))
 CELLS = 1 << 14  # cells of the pair matrix in a block
+RANGES = 8
 CLEAN_SEEDS, STEPS, RESTART, ALPHA = 200, 6, 0.3, 1e-3
 
 
@@ -147,8 +151,10 @@ def pair_counts(docs: DataFrame, nodes: np.ndarray, window: int) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         size = len(known)
-        held = Tally(1 << 19)
-        for batch in pieces(batches, "t"):
+        # Sums by range of cells, about equal ones as the lesser node falls in them: what is sorted at once is one range.
+        held = [Tally(1 << 16) for _ in range(RANGES)]
+        cuts = (size * (1 - np.sqrt(1 - np.arange(1, RANGES) / RANGES))).astype(np.int64) * size
+        for batch in pieces(batches, "t", 1 << 19):
             keys, offsets = words(batch.column("t"))
             if not len(keys) or not size:
                 continue
@@ -164,12 +170,15 @@ def pair_counts(docs: DataFrame, nodes: np.ndarray, window: int) -> DataFrame:
             if len(key):
                 key.sort()
                 at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-                held.add(key[at], np.diff(np.append(at, len(key))).astype(np.int32))
-        if found := held.fold():
-            for i in range(0, len(found[0]), 1 << 18):
-                yield blocks(found[0][i : i + (1 << 18)], found[1][i : i + (1 << 18)])
-            del found
-        del held
+                key, n = key[at], np.diff(np.append(at, len(key))).astype(np.int32)
+                for tally, a, b in zip(held, np.append(0, np.searchsorted(key, cuts)), np.append(np.searchsorted(key, cuts), len(key))):
+                    if a < b:
+                        tally.add(key[a:b].copy(), n[a:b].copy())
+        while held:
+            if found := held.pop(0).fold():
+                for i in range(0, len(found[0]), 1 << 18):
+                    yield blocks(found[0][i : i + (1 << 18)], found[1][i : i + (1 << 18)])
+                del found
         release()
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,6 +269,12 @@ def induce(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     """The lexicon and the threshold of a corpus and its labels."""
     known = label_sample(labels, doc_id, toxic, label_rows)
     rows = docs.select(ref(docs, doc_id).cast("long").alias("id"), F.lower(ref(docs, text).cast("string")).alias("t"))
+    # The labelled texts, as bounded as the sample: each once for each label.
+    sample = F.broadcast(docs.sparkSession.createDataFrame(pd.DataFrame({"lid": known[0], "y": known[1]}), "lid long, y boolean"))
+    judged = rows.join(sample, F.col("id") == F.col("lid")).groupBy(F.md5("t"), "y").agg(F.min(F.struct("id", "t")).alias("x"))
+    judged = checkpoint(judged.select("x.id", "y", "x.t"))
+    once = judged.select("id", "y").toPandas().sort_values("id").drop_duplicates("id")
+    known = once["id"].to_numpy(np.int64), once["y"].to_numpy(bool)
     table = checkpoint(word_table(rows, known))
     whole = table.filter("word IS NULL").first()
     n_docs, n_toxic, n_clean = (int(whole[c]) for c in ("df", "toxic_df", "clean_df")) if whole else (0, 0, 0)
@@ -284,6 +299,11 @@ def induce(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     frame, is_toxic, seen = frame[inside | is_toxic].reset_index(drop=True), is_toxic[inside | is_toxic], seen[inside | is_toxic]
     if not is_toxic.any():
         return nothing
+    share = frame["toxic_df"].to_numpy() / (seen + 2.0)
+    seeds = Lexicon(frame["key"].to_numpy(np.uint64)[is_toxic], share[is_toxic].astype(np.float32))
+    best = labelled_scores(judged, seeds, lambda texts, lexicon: text_most(texts, lexicon)[:, None])
+    _, bar = best_threshold(best[1][:, 0], best[0])
+    is_toxic &= (share >= bar) | (share >= share[is_toxic].max())
     clean_rate = frame["toxic_df"].to_numpy() / np.maximum(seen, 1)
     ranked = np.lexsort((frame["key"], -frame["clean_df"].to_numpy()))
     ranked = ranked[(clean_rate[ranked] <= rate) & (seen[ranked] > 0)][:clean_seeds]
@@ -301,12 +321,10 @@ def induce(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     weights = np.clip(ratio / scale, 0, 1) if scale > 0 else is_toxic.astype(float)
     kept = weights > 0
     lexicon = Lexicon(frame["key"].to_numpy(np.uint64)[kept], weights[kept].astype(np.float32))
-    # The cut and the threshold: labelled documents only, joined to the bounded sample.
-    spark = docs.sparkSession
-    sample = F.broadcast(spark.createDataFrame(pd.DataFrame({"lid": known[0], "y": known[1]}), "lid long, y boolean"))
-    judged = scores_by_cut(rows.join(sample, F.col("id") == F.col("lid")).select("y", "t"), lexicon).toPandas()
-    scores = np.stack(judged["scores"].to_numpy()) if len(judged) else np.zeros((0, len(CUTS)))
-    found = [best_threshold(scores[:, i], judged["y"].to_numpy(bool)) for i in range(len(CUTS))]
+    # The cut and the threshold, by labelled documents only.
+    is_bad, scores = labelled_scores(judged, lexicon, lambda texts, lexicon: text_scores(texts, lexicon, CUTS))
+    discard(judged)
+    found = [best_threshold(scores[:, i], is_bad) for i in range(len(CUTS))]
     best = max(range(len(CUTS)), key=lambda i: found[i][0])  # of equal cuts the lowest
     strong = lexicon.weights >= CUTS[best]
     return Lexicon(lexicon.keys[strong], lexicon.weights[strong], found[best][1])
@@ -342,17 +360,30 @@ def text_scores(texts: pa.Array, lexicon: Lexicon, cuts: tuple[float, ...] = (0.
     return out
 
 
-def scores_by_cut(judged: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """(y, scores) of labelled texts (y, t), a score for each of CUTS."""
+def text_most(texts: pa.Array, lexicon: Lexicon) -> np.ndarray:
+    """Each text's greatest weight, 0 without a word of the lexicon."""
+    out = np.zeros(len(texts))
+    keys, offsets = words(texts)
+    if len(keys) and len(lexicon.keys):
+        at = np.minimum(np.searchsorted(lexicon.keys, keys), len(lexicon.keys) - 1)
+        weight = np.where(lexicon.keys[at] == keys, lexicon.weights[at], 0).astype(np.float64)
+        full = np.flatnonzero(np.diff(offsets))
+        out[full] = np.maximum.reduceat(weight, offsets[:-1][full])
+    return out
+
+
+def labelled_scores(judged: DataFrame, lexicon: Lexicon, scores) -> tuple[np.ndarray, np.ndarray]:
+    """(toxic or not, scores) of the labelled texts (y, t), a row a text, as bounded as the sample; scores: of texts, by a lexicon."""
     shared = judged.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "t"):
-            found = text_scores(batch.column("t"), shared.value, CUTS)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * len(CUTS)), pa.array(found.reshape(-1)))
+            found = scores(batch.column("t"), shared.value)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * found.shape[1]), pa.array(found.reshape(-1)))
             yield pa.RecordBatch.from_arrays([batch.column("y"), lists], names=["y", "scores"])
 
-    return judged.mapInArrow(run, "y boolean, scores array<double>")
+    got = judged.select("y", "t").mapInArrow(run, "y boolean, scores array<double>").toPandas()
+    return got["y"].to_numpy(bool), np.stack(got["scores"].to_numpy()) if len(got) else np.zeros((0, 1))
 
 
 def score_column(docs: DataFrame, lexicon: Lexicon, lowered: str, name: str = "score") -> DataFrame:
