@@ -119,11 +119,24 @@ def contains_any(text: Column, needles: list[str]) -> Column:
     return F.coalesce(reduce(lambda a, b: a | b, [text.contains(n) for n in needles]), F.lit(False))
 
 
+#: What a device that ran out of memory says, and what failures worth saving state for say; letters' case counts.
+MEMORY = ("CUDA out of memory", "CUBLAS_STATUS_ALLOC_FAILED", "cudaMalloc")
+SAVED = ("CUDA out of memory", "CUBLAS_STATUS_ALLOC_FAILED", "cudaErrorLaunchTimeout", "the launch timed out and was terminated", "CUDA error")
+
+
+def memory_failure(message: Column) -> Column:
+    """Whether a step is tried again under smaller limits."""
+    return contains_any(message, list(MEMORY))
+
+
+def worth_saving(message: Column) -> Column:
+    """Whether state is saved before the failure is raised."""
+    return contains_any(message, list(SAVED))
+
+
 def oom_class(message: Column) -> Column:
     """memory: a device ran out; device: another failure worth saving state for; other."""
-    memory = contains_any(message, ["CUDA out of memory", "CUBLAS_STATUS_ALLOC_FAILED", "cudaMalloc"])
-    device = contains_any(F.lower(message), ["out of memory", "launch timed out", "cuda error", "accelerator error"])
-    return F.when(memory, F.lit("memory")).when(device, F.lit("device")).otherwise(F.lit("other"))
+    return F.when(memory_failure(message), F.lit("memory")).when(worth_saving(message), F.lit("device")).otherwise(F.lit("other"))
 
 
 def english_target(prompt: Column) -> Column:

@@ -1,7 +1,7 @@
 """Span corruption with deterministic spans.
 
-Counts follow in closed form from a row's length.  Lengths are multinomial:
-item j of a row goes to the cell ``hash(seed, id, side, j) mod cells``.
+Counts follow in closed form from a row's length.  Lengths are multinomial: item j
+of a row goes to the cell ``mix(md5(seed, id, side) + (j + 1) * STEP) mod cells``.
 """
 
 from __future__ import annotations
@@ -17,8 +17,14 @@ from pyspark.sql import types as T
 from packframe.functions.scalar import IGNORE, hash32, pad_width, padded
 
 
+#: Factors of the hash of an item: sums and products stay below 2**63 in any engine.
+STEP, TIMES, MASK = 2654435761, 73244475, (1 << 32) - 1
+
+
 @dataclass(frozen=True)
 class SpanConfig:
+    """vocab: the tokenizer's size, where it is known; sentinels must lie below it."""
+
     density: float = 0.15
     mean: float = 3.0
     input_cap: int = 64
@@ -29,6 +35,12 @@ class SpanConfig:
     pad: int = 0
     sentinels: tuple[int, ...] = tuple(range(31999, 31899, -1))
     seed: str = "0"
+    vocab: int | None = None
+
+    def __post_init__(self) -> None:
+        outside = [(i, s) for i, s in enumerate(self.sentinels) if s < 0 or (self.vocab is not None and s >= self.vocab)]
+        if outside:
+            raise ValueError(f"sentinels outside the vocabulary of {self.vocab}, as (place, id): {outside[:5]}")
 
 
 def span_counts(length: Column, config: SpanConfig) -> tuple[Column, Column]:
@@ -43,32 +55,29 @@ def upto(n: Column) -> Column:
 
 
 @F.arrow_udf(T.ArrayType(T.IntegerType()))
-def _tally(hits: pa.Array, cells: pa.Array) -> pa.Array:
-    """How often each of 0 .. cells - 1 is hit: linear in a row's hits, where a filter a cell would be quadratic."""
-    size = np.maximum(cells.fill_null(0).to_numpy(zero_copy_only=False), 0).astype(np.int64)
-    ends = np.append(0, np.cumsum(size))
-    offsets = hits.offsets.to_numpy()
-    owner = np.repeat(np.arange(len(size)), np.diff(offsets))
-    flat = hits.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]] if len(offsets) else np.zeros(0, np.int64)
-    counts = np.bincount((ends[owner] + flat).astype(np.int64), minlength=int(ends[-1]))
+def _dealt(seeds: pa.Array, items: pa.Array, cells: pa.Array) -> pa.Array:
+    """How many of a row's items fall in each of its cells, by a hash of its seed and the item's number."""
+    whole = lambda x: np.maximum(x.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), 0)
+    seed, many, size = whole(seeds), whole(items), whole(cells)
+    many[size == 0] = 0
+    ends, last = np.append(0, np.cumsum(size)), np.append(0, np.cumsum(many))
+    counts = np.zeros(int(ends[-1]), np.int64)
+    start = 0
+    while start < len(seed):  # about a million items at once
+        end = max(start + 1, int(np.searchsorted(last, last[start] + (1 << 20), "right")) - 1)
+        owner = np.repeat(np.arange(start, end), many[start:end])
+        x = seed[owner] + (np.arange(last[start], last[end]) - last[owner] + 1) * STEP & MASK
+        x ^= x >> 16
+        x = x * TIMES & MASK
+        x ^= x >> 16
+        counts[ends[start] : ends[end]] += np.bincount(ends[owner] - ends[start] + x % size[owner], minlength=int(ends[end] - ends[start]))
+        start = end
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(counts.astype(np.int32)))
 
 
-@F.arrow_udf(T.ArrayType(T.IntegerType()))
-def _before(lens: pa.Array) -> pa.Array:
-    """The sum of the elements before each element."""
-    offsets = lens.offsets.to_numpy().astype(np.int64)
-    flat = lens.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]].astype(np.int64)
-    sums = np.append(0, np.cumsum(flat))[:-1]
-    offsets = offsets - offsets[0]
-    first = np.append(sums, 0)[np.minimum(offsets[:-1], len(sums))]
-    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array((sums - np.repeat(first, np.diff(offsets))).astype(np.int32)))
-
-
 def spread(items: Column, cells: Column, side: str, key: Column, config: SpanConfig) -> Column:
-    """How many of the items fall in each cell."""
-    hit = F.transform(upto(items), lambda j: F.pmod(hash32(F.lit(config.seed), key, F.lit(side), j), cells.cast("bigint")).cast("int"))
-    return _tally(F.coalesce(hit, F.array().cast("array<int>")), cells)
+    """How many of the items fall in each cell; one md5 a row seeds the arithmetic that places them."""
+    return _dealt(hash32(F.lit(config.seed), key, F.lit(side)), items, cells)
 
 
 def spans(df: DataFrame, config: SpanConfig = SpanConfig(), key: str = "example_id", length: str = "L") -> DataFrame:
@@ -86,27 +95,73 @@ def spans(df: DataFrame, config: SpanConfig = SpanConfig(), key: str = "example_
     return out.withColumn("noise_lens", F.when(s > 0, lens).otherwise(none)).withColumn("gap_lens", F.when(s > 0, gaps).otherwise(F.array(F.col(length)))).drop("_keep", "_noise", "_gap")
 
 
-def sentinel(i: Column, config: SpanConfig) -> Column:
-    """The i-th sentinel; the last serves for all beyond."""
-    return F.element_at(F.array(*[F.lit(x) for x in config.sentinels]), F.least(i + 1, F.lit(len(config.sentinels))))
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(values of all rows, where each row begins, and the end)."""
+    size = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.append(0, np.cumsum(size))
+
+
+def _replaced(config: SpanConfig):
+    """(ids, gap_lens, noise_lens) -> struct(corrupted, target), a batch of rows in a few numpy passes."""
+    sentinels = np.array(config.sentinels, np.int64)
+    lists = T.ArrayType(T.IntegerType())
+
+    @F.arrow_udf(T.StructType([T.StructField("corrupted", lists), T.StructField("target", lists)]))
+    def run(ids: pa.Array, gaps: pa.Array, noise: pa.Array) -> pa.Array:
+        (token, rows), (gap, gap_at), (cut, cut_at) = _flat(ids), _flat(gaps), _flat(noise)
+        n_spans = np.diff(cut_at)
+        has = n_spans > 0
+        if not has.all():  # a row without spans gives nothing
+            gap = gap[np.repeat(has, np.diff(gap_at))]
+            gap_at = np.append(0, np.cumsum(np.where(has, np.diff(gap_at), 0)))
+        # Pieces in turn: a row's gaps and noise spans, gap first, one more gap than spans.
+        n_pieces = np.where(has, 2 * n_spans + 1, 0)
+        first = np.append(0, np.cumsum(n_pieces))
+        size = np.zeros(first[-1], np.int64)
+        inner = lambda at: np.arange(at[-1]) - np.repeat(at[:-1], np.diff(at))
+        of_gap, of_cut = np.repeat(np.arange(len(has)), np.diff(gap_at)), np.repeat(np.arange(len(has)), n_spans)
+        size[first[of_gap] + 2 * inner(gap_at)] = gap
+        size[first[of_cut] + 2 * inner(cut_at) + 1] = cut
+        owner = np.repeat(np.arange(len(has)), n_pieces)
+        ends = np.cumsum(size)
+        base = np.append(0, ends)[first[:-1]]
+        length = np.diff(rows)
+        begin, end = (np.minimum(x - base[owner], length[owner]) for x in (ends - size, ends))  # within the row's tokens
+        size = end - begin
+        is_cut = (np.arange(len(size)) - first[owner]) % 2 == 1
+        mark = sentinels[np.minimum((np.arange(len(size)) - first[owner]) // 2, len(sentinels) - 1)]
+
+        def built(kept: np.ndarray, lead: bool, tail: list[int]) -> pa.Array:
+            """The kept pieces' tokens, each noise span's sentinel before them (lead) or in their place, and the tail."""
+            width = np.where(kept, size, 0) + is_cut
+            total = np.zeros(len(has), np.int64)
+            np.add.at(total, owner, width)
+            out_at = np.append(0, np.cumsum(total + len(tail)))
+            before = np.cumsum(width) - width
+            at = out_at[owner] + before - np.append(0, np.cumsum(total))[owner]
+            out = np.empty(out_at[-1], np.int64)
+            out[at[is_cut]] = mark[is_cut]
+            chosen = np.flatnonzero(kept & (size > 0))
+            many = size[chosen]
+            step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            out[np.repeat(at[chosen] + (is_cut[chosen] if lead else 0), many) + step] = token[np.repeat(rows[:-1][owner[chosen]] + begin[chosen], many) + step]
+            for i, x in enumerate(tail):
+                out[out_at[1:] - len(tail) + i] = x
+            return pa.ListArray.from_arrays(pa.array(out_at.astype(np.int32)), pa.array(out.astype(np.int32)))
+
+        return pa.StructArray.from_arrays([built(~is_cut, False, []), built(is_cut, True, [] if config.eos is None else [config.eos])], ["corrupted", "target"])
+
+    return run
 
 
 def corrupt(df: DataFrame, config: SpanConfig = SpanConfig(), ids: str = "input_ids", key: str = "example_id") -> DataFrame:
-    """df with corrupted and target: each noise span is replaced by a sentinel, and spelt out in the target."""
-    held = spans(df.withColumn("L", F.size(ids)), config, key)
-    held = held.withColumn("_g", _before(F.col("gap_lens"))).withColumn("_n", _before(F.col("noise_lens")))
-    held = held.withColumn("_at", F.transform(upto(F.col("span_n")), lambda i: F.get("_g", i) + F.get("_n", i)))
-    index = upto(F.col("span_n"))
-    gap = lambda i: F.slice(ids, F.get("_at", i) + 1, F.get("gap_lens", i))
-    noise = lambda i: F.slice(ids, F.get("_at", i) + F.get("gap_lens", i) + 1, F.get("noise_lens", i))
-    done = F.aggregate(F.col("gap_lens"), F.lit(0), lambda a, x: a + x) - F.element_at("gap_lens", -1) + F.aggregate(F.col("noise_lens"), F.lit(0), lambda a, x: a + x)
-    tail = F.slice(ids, done + 1, F.element_at("gap_lens", -1))
-    body = F.flatten(F.transform(index, lambda i: F.concat(gap(i), F.array(sentinel(i, config)))))
-    target = F.flatten(F.transform(index, lambda i: F.concat(F.array(sentinel(i, config)), noise(i))))
-    none = F.array().cast("array<int>")
-    end = F.array(F.lit(config.eos)).cast("array<int>") if config.eos is not None else none
-    some = F.col("span_n") > 0
-    return held.withColumn("corrupted", F.when(some, F.concat(body, tail)).otherwise(none)).withColumn("target", F.concat(F.when(some, target).otherwise(none), end)).drop("_at", "_g", "_n")
+    """df with corrupted and target: each noise span is replaced by a sentinel, and spelt out in the target.
+
+    The i-th span takes the i-th sentinel; the last serves for all beyond.
+    """
+    held = spans(df.withColumn("L", F.coalesce(F.size(ids), F.lit(0))), config, key)
+    made = held.withColumn("_made", _replaced(config)(F.col(ids).cast("array<int>"), F.col("gap_lens"), F.col("noise_lens")))
+    return made.withColumn("corrupted", F.col("_made.corrupted")).withColumn("target", F.col("_made.target")).drop("_made")
 
 
 def collate_spans(df: DataFrame, by: list[str], config: SpanConfig = SpanConfig()) -> DataFrame:

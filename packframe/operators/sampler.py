@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from packframe.config import PackConfig
 from packframe.functions.scalar import bucket, hash32
-from packframe.operators.fold import ordered_fold
+from packframe.operators.nextfit import chunks, next_fit
 
 
 def bucketed(lengths: DataFrame, width: int, length: str = "L") -> DataFrame:
@@ -24,43 +23,36 @@ def too_long(length: Column, config: PackConfig) -> Column:
     return length > most
 
 
-def pack(lengths: DataFrame, config: PackConfig) -> DataFrame:
+def pack(lengths: DataFrame, config: PackConfig, n_chunks: int | None = None) -> DataFrame:
     """(example_id, L, bucket_id, batch_no) of the packed examples; lengths: (example_id, L).
 
     Next-fit: within a bucket an example joins the open batch if neither the
     token budget nor the longest allowed length is exceeded, else it opens the
     next.  ``long`` says what happens to an example beyond either limit: it is
-    skipped, is a batch of its own, or (truncate) is packed like others.
+    skipped, is a batch of its own, or (truncate) is packed like others.  A bucket
+    is packed in ``n_chunks`` parts at once, as many as there are shuffle
+    partitions unless given.
     """
     rows = bucketed(lengths.select("example_id", "L"), config.width)
     if config.long == "skip":
         rows = rows.filter(~too_long(F.col("L"), config))
-    order = ["example_id"]
+    n = n_chunks or int(lengths.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order, chunk = ["example_id"], None
     if config.shuffle:
         rows = rows.withColumn("_key", F.md5(F.concat_ws("|", F.lit(config.seed), F.col("example_id").cast("string"))))
         order = ["_key", "example_id"]
-    budget, most, alone = config.budget, config.max_length, config.long == "single"
-    cap = budget if most is None else min(budget, most)
-
-    def start() -> tuple:
-        return -1, 0, 0, True  # batch number, its tokens, its longest, whether it is closed
-
-    def step(state: tuple, length: int) -> tuple[tuple, tuple]:
-        number, tokens, longest, closed = state
-        length = int(length)
-        if alone and length > cap:
-            return (number + 1, 0, 0, True), (number + 1, True)
-        top = max(longest, length)
-        if closed or tokens + length > budget or (most is not None and top > most):
-            return (number + 1, length, length, False), (number + 1, False)
-        return (number, tokens + length, top, False), (number, False)
-
-    out = ordered_fold(rows, ["bucket_id"], order, ["L"], start, step, [("batch_no", T.IntegerType()), ("alone", T.BooleanType())])
+        chunk = F.floor(F.conv(F.substring("_key", 1, 7), 16, 10).cast("bigint") * n / (1 << 28))
+    else:
+        chunk = chunks(lengths, "example_id", n)
+    alone = config.long == "single" and too_long(F.col("L"), config)
+    closed = F.lit(False) if config.max_length is None else F.col("L") > config.max_length  # no other example fits beside it
+    out = next_fit(rows, "bucket_id", chunk, order, "L", config.budget, closed | alone if config.long == "single" else closed, "batch_no")
+    out = out.withColumn("alone", alone if config.long == "single" else F.lit(False))
     if config.drop_last and config.strict_drop_last:
         out = out.filter("alone")
     elif config.drop_last:  # a bucket's last batch is incomplete, unless it is one long example
-        last = F.max("batch_no").over(Window.partitionBy("bucket_id"))
-        out = out.withColumn("_last", last).filter("alone OR batch_no < _last")
+        last = out.groupBy("bucket_id").agg(F.max("batch_no").alias("_last"))
+        out = out.join(last, "bucket_id").filter("alone OR batch_no < _last")
     return out.select("example_id", "L", "bucket_id", "batch_no")
 
 

@@ -65,12 +65,20 @@ def autotune_target(spark, sf_dir):
     return _memory(spark, sf_dir).filter("peak > 0 AND tokens > 0").select("id", tuned.alias("tokens"))
 
 
-MESSAGES = {"error": "RuntimeError: CUDA out of memory. Tried to allocate", "click": "cuda error: the launch timed out", "view": "Accelerator Error 7", "signup": "CUBLAS_STATUS_ALLOC_FAILED when calling", "purchase": "ValueError: bad shape"}
+#: What a step said, and by hand its class and whether state is saved.
+MESSAGES = {
+    "error": ("RuntimeError: CUDA out of memory. Tried to allocate", "memory", True),
+    "click": ("cudaErrorLaunchTimeout in a kernel", "device", True),
+    "view": ("RuntimeError: CUDA error: device-side assert", "device", True),
+    "signup": ("cudaMalloc failed", "memory", False),
+    "purchase": ("the host ran out of memory; cuda error; launch timed out", "other", False),
+}
 
 
 def oom_classify(spark, sf_dir):
-    table = F.create_map(*[F.lit(x) for pair in MESSAGES.items() for x in pair])
-    return D.table(spark, sf_dir, "events").select("event_id", S.oom_class(F.try_element_at(table, F.col("event_type"))).alias("kind"))
+    table = F.create_map(*[F.lit(x) for event, (said, _, _) in MESSAGES.items() for x in (event, said)])
+    said = D.table(spark, sf_dir, "events").select("event_id", F.try_element_at(table, F.col("event_type")).alias("said"))
+    return said.select("event_id", S.oom_class(F.col("said")).alias("kind"), S.worth_saving(F.col("said")).alias("save"))
 
 
 def eval_mode(spark, sf_dir):
@@ -137,7 +145,7 @@ SQL = {
     "safe_floor": f"WITH {SQL_MEMORY} SELECT id, CASE WHEN cost > 0 THEN greatest(64, trunc(0.66::DOUBLE * room / cost::DOUBLE)::BIGINT) ELSE 64 END::BIGINT AS floor_tokens FROM h",
     "bytes_per_token": f"WITH {SQL_MEMORY} SELECT id, CASE WHEN peak > 0 AND tokens > 0 THEN round({_COST}, 3) END AS cost FROM h",
     "autotune_target": f"WITH {SQL_MEMORY} SELECT id, greatest(64, least(1000000, trunc(0.75::DOUBLE * room / greatest({_COST}, 1e-9::DOUBLE))::BIGINT))::BIGINT AS tokens FROM h WHERE peak > 0 AND tokens > 0",
-    "oom_classify": "SELECT event_id, CASE event_type WHEN 'error' THEN 'memory' WHEN 'signup' THEN 'memory' WHEN 'click' THEN 'device' WHEN 'view' THEN 'device' ELSE 'other' END AS kind FROM events",
+    "oom_classify": f"SELECT event_id, CASE event_type {' '.join(f"WHEN '{e}' THEN '{kind}'" for e, (_, kind, _) in MESSAGES.items())} ELSE 'other' END AS kind, coalesce(event_type IN ({', '.join(f"'{e}'" for e, (_, _, save) in MESSAGES.items() if save)}), false) AS save FROM events",
     "eval_mode": f"SELECT n_nationkey, CASE WHEN lower(trim({_MODE})) IN ('hf', 'auto', 'token_aware_loss', 'token_aware_metrics') THEN lower(trim({_MODE})) END AS mode FROM nation",
     "metric_alias": f"SELECT n_nationkey, CASE WHEN {_NAME} IN ('sacrebleu', 'bleu1', 'bleu-1') THEN 'bleu' WHEN {_NAME} IN ('chr_f', 'chrf++', 'chrfpp') THEN 'chrf' ELSE {_NAME} END AS metric FROM nation",
     "postprocess": "SELECT conv_id, turn, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') AS stripped, CASE WHEN turn % 3 = 0 THEN '' ELSE regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') END AS label FROM conversations",

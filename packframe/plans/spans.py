@@ -43,7 +43,9 @@ s AS (SELECT *, CASE WHEN L > 0 THEN greatest(1, round_even(noise_n / {CONFIG.me
 LENS = f"""n AS (SELECT *, greatest(0, L - noise_n) AS keep FROM s),
 k AS (SELECT example_id, 'noise' AS side, span_n AS cells, CASE WHEN noise_n >= span_n THEN noise_n - span_n ELSE 0 END AS items, 1 AS base FROM n WHERE span_n > 0 UNION ALL
   SELECT example_id, 'gap', span_n + 1, CASE WHEN keep >= span_n + 1 THEN keep - span_n - 1 ELSE keep END, CASE WHEN keep >= span_n + 1 THEN 1 ELSE 0 END FROM n WHERE span_n > 0),
-hits AS (SELECT example_id, side, ('0x' || md5('{CONFIG.seed}|' || example_id::VARCHAR || '|' || side || '|' || j::VARCHAR)[1:8])::BIGINT % cells AS cell, count(*) AS c FROM (SELECT *, unnest(range(0, items)) AS j FROM k) GROUP BY ALL),
+x0 AS (SELECT example_id, side, cells, (h + (j + 1) * {corrupt.STEP}) % {corrupt.MASK + 1} AS x FROM (SELECT *, unnest(range(0, items)) AS j FROM (SELECT *, ('0x' || md5('{CONFIG.seed}|' || example_id::VARCHAR || '|' || side)[1:8])::BIGINT AS h FROM k))),
+x1 AS (SELECT example_id, side, cells, (xor(x, x >> 16) * {corrupt.TIMES}) % {corrupt.MASK + 1} AS x FROM x0),
+hits AS (SELECT example_id, side, xor(x, x >> 16) % cells AS cell, count(*) AS c FROM x1 GROUP BY ALL),
 cells AS (SELECT example_id, side, base, unnest(range(0, cells)) AS cell FROM k),
 lens AS (SELECT example_id, side, list((base + coalesce(c, 0))::INT ORDER BY cell) AS lens FROM cells LEFT JOIN hits USING (example_id, side, cell) GROUP BY example_id, side),
 w AS (SELECT n.*, coalesce(a.lens, []::INT[]) AS noise_lens, coalesce(b.lens, [L::INT]) AS gap_lens FROM n LEFT JOIN lens AS a ON n.example_id = a.example_id AND a.side = 'noise' LEFT JOIN lens AS b ON n.example_id = b.example_id AND b.side = 'gap')"""
