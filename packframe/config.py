@@ -98,3 +98,20 @@ def tier_value(name: str, gigabytes: float, given=None):
     if given not in (None, "auto"):
         return given
     return TIERS[name][next((i for i, edge in enumerate(EDGES) if gigabytes >= edge), 3)]
+
+
+def device_memory(gigabytes: list[float], default: float = 24.0) -> float:
+    """The least memory of all devices, as limits must fit each; without devices the default."""
+    return min(gigabytes, default=default)
+
+
+def generation_arguments(settings: dict, stored: dict | None = None) -> dict:
+    """Arguments of a generation: stored ones, over which explicit settings go; top_k and top_p count only for sampling."""
+    out = dict(stored or {})
+    for name, key, kind in (("generation_max_length", "max_length", int), ("generation_num_beams", "num_beams", int)):
+        if settings.get(name) is not None:
+            out[key] = kind(settings[name])
+    if settings.get("do_sample"):
+        out["do_sample"] = True
+        out |= {key: kind(settings[key]) for key, kind in (("top_k", int), ("top_p", float)) if settings.get(key) is not None}
+    return out

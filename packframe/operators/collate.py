@@ -16,6 +16,17 @@ def keep_columns(df: DataFrame, length: str = "input_length", ids: tuple[str, ..
     return df.select(*[c for c in df.columns if c in (*ids, *KEEP, length)])
 
 
+def without_length(df: DataFrame, length: str = "input_length") -> DataFrame:
+    """What a model's forward step takes."""
+    return df.drop(length)
+
+
+def require_labels(df: DataFrame) -> DataFrame:
+    if "labels" not in df.columns:
+        raise ValueError("examples must have labels")
+    return df
+
+
 def generate_columns(df: DataFrame, forward: list[str], allow: list[str] = GENERATE, ignore: tuple[str, ...] = ("labels",), ids: tuple[str, ...] = ("example_id",)) -> DataFrame:
     """The array columns that generation accepts."""
     wanted = (set(forward) | set(allow)) - set(ignore)

@@ -3,8 +3,10 @@
 A regime is a class of batches of like length.  Its limits (T tokens and B
 examples a microbatch) grow with success and shrink with memory failures, around
 high-water marks that have proven stable.  The same function drives a batch
-replay of a step log (an ordered fold by regime) and a stream
-(:mod:`packframe.streaming.regimes`).
+replay of a step log (an ordered fold by run) and a stream
+(:mod:`packframe.streaming.regimes`).  The regimes of a run share one thing: a
+failure never shrinks T below what the memory left by the model safely holds, at
+the highest cost of a token that any of them has measured.
 
 A log row is one attempt: outcome ok, partial (memory failed after some
 microbatches had run) or oom; ``shrink_b`` says whether a failure shrinks B
@@ -15,7 +17,8 @@ microbatches had run) or oom; ``shrink_b`` says whether a failure shrinks B
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass, fields
+from collections.abc import Callable, Iterable
+from dataclasses import asdict, dataclass, fields, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -98,7 +101,16 @@ def ladder(now: int, proven: int | None, fraction: float, least: int) -> int:
     return max(least, int(now * fraction))
 
 
-def fail(s: Regime, c: RegimeConfig, shrink_b: bool) -> None:
+def safe_tokens(costs: Iterable[float | None], total: int | None, baseline: int | None, c: RegimeConfig) -> int:
+    """The least T worth having: two thirds of the memory beyond the baseline, at the highest cost known."""
+    cost = max((b for b in costs if b), default=0.0)
+    if cost <= 0 or total is None or baseline is None:
+        return c.min_tokens
+    return max(c.min_tokens, int(0.66 * max(total - baseline, total * 0.05) / max(cost, 1e-9)))
+
+
+def fail(s: Regime, c: RegimeConfig, shrink_b: bool, safe: Callable[[], int] | None = None) -> None:
+    """safe: gives the floor of T, asked once this regime's own cost is forgotten."""
     mark(s, 3)
     s.stable = s.adaptive_ramps = s.util_attempts = 0
     s.bytes_per_token = None
@@ -107,7 +119,7 @@ def fail(s: Regime, c: RegimeConfig, shrink_b: bool) -> None:
     if shrink_b:
         s.B = c.top_examples if s.B is None else ladder(s.B, s.hwm_B, 0.7, c.min_examples)
     else:
-        floor = max(c.safe_floor, c.min_tokens)
+        floor = max(c.safe_floor, c.min_tokens, safe() if safe else 0)
         s.T = max(floor, ladder(s.T, s.hwm_T, 0.85, floor))
 
 
@@ -124,7 +136,7 @@ def tune(s: Regime, c: RegimeConfig, peak: int, baseline: int, total: int, token
     s.tuned = True
 
 
-def advance(s: Regime, c: RegimeConfig, outcome: str, attempt: int, shrink_b: bool, util20: float | None, memory: tuple | None) -> None:
+def advance(s: Regime, c: RegimeConfig, outcome: str, attempt: int, shrink_b: bool, util20: float | None, memory: tuple | None, safe: Callable[[], int] | None = None) -> None:
     """One log row: success precedes tuning, and a partial step shrinks B without counting as either."""
     if outcome == "ok":
         succeed(s, c, util20)
@@ -133,9 +145,9 @@ def advance(s: Regime, c: RegimeConfig, outcome: str, attempt: int, shrink_b: bo
             if not (s.oom_count and tokens < 0.1 * (s.hwm_T or 0)):  # too small a step to judge after a failure
                 tune(s, c, peak, baseline, total, tokens)
     elif outcome == "partial":
-        fail(s, c, True)
+        fail(s, c, True, safe)
     elif outcome == "oom":
-        fail(s, c, shrink_b)
+        fail(s, c, shrink_b, safe)
     else:
         raise ValueError(f"no such outcome: {outcome}")
 
@@ -148,9 +160,16 @@ def row_memory(peak, baseline, total, tokens) -> tuple | None:
     return None if any(x is None or x != x for x in given) else tuple(int(x) for x in given)
 
 
-def apply_row(s: Regime, c: RegimeConfig, outcome, attempt, shrink_b, util20, peak, baseline, total, tokens) -> None:
+def apply_row(regimes: dict, key, c: RegimeConfig, start: Regime, outcome, attempt, shrink_b, util20, peak, baseline, total, tokens) -> Regime:
+    """One log row of a run, of whose regimes' states one changes; it is returned."""
+    s = regimes.get(key)
+    if s is None:
+        s = regimes[key] = replace(start)
     util = None if util20 is None or util20 != util20 else float(util20)
-    advance(s, c, outcome, int(attempt), bool(shrink_b), util, row_memory(peak, baseline, total, tokens))
+    whole = lambda x: None if x is None or x != x else int(x)
+    safe = lambda: safe_tokens((r.bytes_per_token for r in regimes.values()), whole(total), whole(baseline), c)
+    advance(s, c, outcome, int(attempt), bool(shrink_b), util, row_memory(peak, baseline, total, tokens), safe)
+    return s
 
 
 def with_log_columns(log: DataFrame) -> DataFrame:
@@ -160,28 +179,34 @@ def with_log_columns(log: DataFrame) -> DataFrame:
     return log.withColumns({k: v for k, v in missing.items() if k not in log.columns})
 
 
-def replay(log: DataFrame, config: RegimeConfig = RegimeConfig(), key: str = "regime_key", order: tuple[str, ...] = ("step", "attempt")) -> DataFrame:
-    """The log with each regime's state after each row, in STATE's columns."""
+def replay(log: DataFrame, config: RegimeConfig = RegimeConfig(), key: str = "regime_key", order: tuple[str, ...] = ("step", "attempt"), run: tuple[str, ...] = (), start: Regime | None = None) -> DataFrame:
+    """The log with the state of each row's regime after it, in STATE's columns.
+
+    run: the columns that name a run, each of which is folded in its order on its
+    own; without them the log is one run.  start: the state that regimes begin in.
+    """
     full = with_log_columns(log)
+    first = start or Regime.fresh(config)
 
-    def step(s: Regime, *row) -> tuple[Regime, tuple]:
-        apply_row(s, config, *[None if x is None or (isinstance(x, float) and x != x) else x for x in row])
-        return s, tuple(asdict(s).values())
+    def step(regimes: dict, regime_key, *row) -> tuple[dict, tuple]:
+        s = apply_row(regimes, regime_key, config, first, *[None if x is None or (isinstance(x, float) and x != x) else x for x in row])
+        return regimes, tuple(asdict(s).values())
 
     names = [(f.name, f.dataType) for f in STATE]
-    return ordered_fold(full.select(key, *order, *[c for c in LOG if c not in order]), [key], list(order), LOG, lambda: Regime.fresh(config), step, names)
+    wanted = list(dict.fromkeys([*run, key, *order, *LOG]))
+    return ordered_fold(full.select(*wanted), list(run), list(order), [key, *LOG], dict, step, names)
 
 
-def final_states(replayed: DataFrame, key: str = "regime_key", order: tuple[str, ...] = ("step", "attempt")) -> DataFrame:
-    """(key, state columns) after each regime's last row."""
-    last = replayed.groupBy(key).agg(F.max_by(F.struct(*[f.name for f in STATE]), F.struct(*order)).alias("s"))
-    return last.select(key, "s.*")
+def final_states(replayed: DataFrame, key: str = "regime_key", order: tuple[str, ...] = ("step", "attempt"), run: tuple[str, ...] = ()) -> DataFrame:
+    """(run, key, state columns) after each regime's last row."""
+    last = replayed.groupBy(*run, key).agg(F.max_by(F.struct(*[f.name for f in STATE]), F.struct(*order)).alias("s"))
+    return last.select(*run, key, "s.*")
 
 
 def limits(batches: DataFrame, states: DataFrame, config: RegimeConfig, key: str = "regime_key") -> DataFrame:
     """Batches with limit_T and limit_B of their regime, or the defaults; T is capped."""
     known = states.select(F.col(key).alias("_k"), F.col("T").alias("_T"), F.col("B").alias("_B"), F.lit(True).alias("_known"))
-    joined = batches.join(known, F.col(key) == F.col("_k"), "left")
+    joined = batches.join(F.broadcast(known), F.col(key) == F.col("_k"), "left")  # a row a class of lengths
     default = F.lit(400 if config.tokens is None else config.tokens).cast("bigint")
     cap = F.least(F.coalesce("_T", default), F.lit(config.top_tokens).cast("bigint"))
     b = F.when(F.col("_known"), F.col("_B")).otherwise(F.lit(config.examples).cast("bigint"))

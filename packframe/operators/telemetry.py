@@ -13,10 +13,19 @@ def _ordered(run: list[str], order: list[str]):
     return Window.partitionBy(*run).orderBy(*order)
 
 
+def recent_utilisation(log: DataFrame, run: list[str], order: list[str], n: int = 20) -> DataFrame:
+    """log with recent_util and recent_n: the mean and number of the last n samples, however many steps had none."""
+    samples = Window.partitionBy(*run, F.col("util").isNull()).orderBy(*order).rowsBetween(-(n - 1), 0)
+    so_far = _ordered(run, order).rowsBetween(Window.unboundedPreceding, 0)
+    held = log.withColumn("_s", F.when(F.col("util").isNotNull(), F.struct(F.avg("util").over(samples).alias("util"), F.count("util").over(samples).alias("n"))))
+    held = held.withColumn("_s", F.last("_s", ignorenulls=True).over(so_far))
+    return held.withColumn("recent_util", F.col("_s.util")).withColumn("recent_n", F.coalesce("_s.n", F.lit(0))).drop("_s")
+
+
 def rolling_utilisation(log: DataFrame, run: list[str], order: list[str], n: int = 20) -> DataFrame:
     """log with util20: the mean of the last n samples, null before there are n."""
-    frame = _ordered(run, order).rowsBetween(-(n - 1), 0)
-    return log.withColumn("util20", F.when(F.count("util").over(frame) >= n, F.avg("util").over(frame)))
+    held = recent_utilisation(log, run, order, n)
+    return held.withColumn("util20", F.when(F.col("recent_n") >= n, F.col("recent_util"))).drop("recent_util", "recent_n")
 
 
 def gaps(log: DataFrame, run: list[str], order: list[str], begin: str = "ts_ms", end: str = "end_ms") -> DataFrame:
@@ -25,9 +34,21 @@ def gaps(log: DataFrame, run: list[str], order: list[str], begin: str = "ts_ms",
 
 
 def timing_means(log: DataFrame, run: list[str], order: list[str], n: int = 100) -> DataFrame:
-    """Means over each n steps of a run; the gap's mean counts its own rows."""
-    window = F.floor((F.row_number().over(_ordered(run, order)) - 1) / n)
-    return log.withColumn("window_no", window.cast("int")).groupBy(*run, "window_no").agg(F.count(F.lit(1)).alias("steps"), F.avg("exec_ms").alias("mean_exec"), F.avg("gap_ms").alias("mean_gap"), (F.lit(100.0) * F.sum("gap_ms") / (F.sum("gap_ms") + F.sum("exec_ms"))).alias("idle_pct"))
+    """Means over each full n steps of a run, with the utilisation at their end (-1 without a sample).
+
+    The gap's mean counts its own rows; what is idle is that gap's share of a gap and a whole step.
+    """
+    held = recent_utilisation(log, run, order)
+    numbered = held.withColumn("_rn", F.row_number().over(_ordered(run, order)) - 1).withColumn("window_no", F.floor(F.col("_rn") / n).cast("int"))
+    mean = lambda c: F.sum(c) / n
+    gap, total = F.coalesce(F.avg("gap_ms"), F.lit(0.0)), mean("total_ms")
+    out = numbered.groupBy(*run, "window_no").agg(
+        F.count(F.lit(1)).alias("steps"), mean("plan_ms").alias("mean_plan"), mean("exec_ms").alias("mean_exec"), total.alias("mean_total"), gap.alias("mean_gap"),
+        F.when(gap > 0, F.lit(100.0) * gap / (gap + total)).otherwise(0.0).alias("idle_pct"),
+        mean("examples").alias("mean_examples"), mean("tokens").alias("mean_tokens"), mean("microbatches").alias("mean_microbatches"),
+        F.coalesce(F.max_by("recent_util", "_rn"), F.lit(-1.0)).alias("utilisation"),
+    )
+    return out.filter(F.col("steps") == n)
 
 
 def slow_steps(log: DataFrame, run: list[str], order: list[str]) -> DataFrame:
@@ -78,8 +99,22 @@ def throughput(log: DataFrame, run: list[str]) -> DataFrame:
     return log.groupBy(*run).agg(seconds.alias("runtime"), (F.sum("examples") / seconds).alias("samples_per_second"), (F.count(F.lit(1)) / seconds).alias("steps_per_second"))
 
 
+#: A record's fields: the log's column, and the digits it is rounded to (halves to even).
+FIELDS = {
+    "step": ("step", None), "ts": ("ts", 2), "gpu_util": ("util", None), "gpu_mem_alloc_gb": ("mem_alloc_gb", 2), "gpu_mem_peak_gb": ("mem_peak_gb", 2), "gpu_power_w": ("power_w", 1), "gpu_temp_c": ("temp_c", None),
+    "cpu_load_1m": ("cpu_load", 1), "cpu_pct": ("cpu_pct", None), "ram_pct": ("ram_pct", None), "plan_ms": ("plan_ms", 1), "exec_ms": ("exec_ms", 1), "step_ms": ("total_ms", 1), "gap_ms": ("gap_ms", 1), "busy_pct": ("_busy", 1),
+    "examples": ("examples", None), "tokens": ("tokens", None), "eff_tok": ("eff_tokens", None), "n_mb": ("microbatches", None), "max_mb_tok": ("max_mb_eff", None), "rk": ("regime_key", None), "rT": ("T", None), "rB": ("B", None),
+    "hwm_T": ("hwm_T", None), "stable": ("stable", None), "bpt": ("bytes_per_token", 0), "util_avg20": ("recent_util", 1), "ooms": ("_ooms", None), "outcome": ("outcome", None),
+}
+
+
 def records(log: DataFrame) -> DataFrame:
-    """(step, record): compact JSON; nulls are left out, figures are rounded to even."""
-    busy = F.bround(F.lit(100.0) * F.col("exec_ms") / (F.col("exec_ms") + F.coalesce("gap_ms", F.lit(0.0))), 1)
-    row = F.struct(F.col("step"), F.bround("exec_ms", 1).alias("exec_ms"), F.bround("gap_ms", 1).alias("gap_ms"), busy.alias("busy_pct"), F.col("outcome"))
-    return log.select("step", F.to_json(row).alias("record"))
+    """(step, record): compact JSON of the fields that the log has columns for; nulls are left out, as is a count of no failures."""
+    full = log
+    if {"exec_ms", "gap_ms"} <= set(log.columns):
+        total = F.col("total_ms") if "total_ms" in log.columns else F.col("exec_ms")
+        full = full.withColumn("_busy", F.when(F.col("gap_ms").isNotNull() & (total > 0), F.lit(100.0) * F.col("exec_ms") / (total + F.col("gap_ms"))))
+    if "ooms" in log.columns:
+        full = full.withColumn("_ooms", F.when(F.col("ooms") > 0, F.col("ooms")))
+    row = F.struct(*[(F.col(c) if digits is None else F.bround(c, digits)).alias(name) for name, (c, digits) in FIELDS.items() if c in full.columns])
+    return full.select("step", F.to_json(row).alias("record"))

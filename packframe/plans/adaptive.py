@@ -14,23 +14,37 @@ from packframe.sources import tables as D
 CONFIG = RegimeConfig(tokens=4096, examples=64)
 RUN, ORDER = ["run"], ["step"]
 RING = 5000
+TIMES = ("mean_plan", "mean_exec", "mean_total", "mean_gap", "idle_pct", "mean_examples", "mean_tokens", "mean_microbatches", "utilisation")
+
+
+START = regime.Regime(T=CONFIG.tokens, B=CONFIG.examples, adaptive_ramps=3)
 
 
 def _log(spark, sf_dir) -> DataFrame:
-    """The step log with a regime of each run, and memory figures every 16th step."""
+    """The step log with attempts 0 to 3, partial failures, utilisation and memory figures."""
     log = D.step_log(spark, sf_dir)
-    read = F.col("step") % 16 == 0
-    some = lambda c: F.when(read, c.cast("bigint"))
+    at, failed = F.col("step"), F.col("outcome") == "oom"
     gib = F.lit(1 << 30).cast("bigint")
-    return log.withColumns({"regime_key": (F.col("run") * 8 + F.col("regime_key")).cast("int"), "attempt": F.lit(0), "peak": some(gib * (20 + F.col("step") % 40)), "baseline": some(gib * 16), "total": some(gib * 80), "max_mb_eff": some(F.col("tokens"))})
+    return log.withColumns({
+        "attempt": (F.floor(at / 3) % 4).cast("int"), "outcome": F.when(failed & (at % 8 == 0), "partial").when(failed & (at % 4 == 0), "oom").otherwise("ok"), "shrink_b": F.floor(at / 16) % 2 == 0,
+        "util20": F.when(at % 5 != 0, (at % 97).cast("double")), "peak": gib * (20 + at % 40), "baseline": gib * 16, "total": gib * 80, "max_mb_eff": F.col("tokens"),
+    })
+
+
+def _replayed(spark, sf_dir) -> DataFrame:
+    return regime.replay(_log(spark, sf_dir), CONFIG, run=("run",), start=START)
+
+
+def _said(replayed: DataFrame, *names: str) -> DataFrame:
+    return replayed.select(*names, *[F.round(f.name, 3).alias(f.name) if f.name == "bytes_per_token" else F.col(f.name) for f in regime.STATE])
 
 
 def regime_fold(spark, sf_dir):
-    return regime.replay(_log(spark, sf_dir).drop("util20"), CONFIG)
+    return _said(_replayed(spark, sf_dir), "run", "regime_key", "step", "attempt")
 
 
 def regime_final(spark, sf_dir):
-    return regime.final_states(regime_fold(spark, sf_dir))
+    return _said(regime.final_states(_replayed(spark, sf_dir), run=("run",)), "run", "regime_key")
 
 
 def regime_limits_lookup(spark, sf_dir):
@@ -43,6 +57,9 @@ def eval_fold(spark, sf_dir):
     return regime.eval_replay(log, RegimeConfig(tokens=4096, eval_ramp_every=3), regime.Evaluation(2048, 32, 16), RUN, ORDER)
 
 
+RECORD_LONGS = ("step", "gpu_temp_c", "examples", "tokens", "eff_tok", "n_mb", "max_mb_tok", "rk", "rT", "rB", "hwm_T", "stable", "ooms")
+
+
 def _states(spark, sf_dir) -> DataFrame:
     """A state for each nation: what a run left behind."""
     k = F.col("n_nationkey")
@@ -77,7 +94,7 @@ def step_gap(spark, sf_dir):
 
 def timing_100(spark, sf_dir):
     means = telemetry.timing_means(telemetry.gaps(D.step_log(spark, sf_dir), RUN, ORDER), RUN, ORDER)
-    return means.select("run", "window_no", "steps", *[F.round(c, 4).alias(c) for c in ("mean_exec", "mean_gap", "idle_pct")])
+    return means.select("run", "window_no", "steps", *[F.round(c, 4).alias(c) for c in TIMES])
 
 
 def slow_steps(spark, sf_dir):
@@ -93,8 +110,20 @@ def diag_ring(spark, sf_dir):
     return telemetry.ring(D.step_log(spark, sf_dir).select("step", "run", "outcome"), "step", RING)
 
 
+def _diagnosed(spark, sf_dir) -> DataFrame:
+    """The step log with every column that a record has a field for."""
+    log = telemetry.recent_utilisation(telemetry.gaps(D.step_log(spark, sf_dir), RUN, ORDER), RUN, ORDER)
+    at, k = F.col("step"), F.col("regime_key").cast("bigint")
+    return log.withColumns({
+        "ts": F.col("ts_ms") / 1000.0, "mem_alloc_gb": at % 9000 / 1024.0, "mem_peak_gb": at % 8000 / 125.0, "power_w": at % 3000 / 8.0, "temp_c": at % 90, "cpu_load": at % 640 / 16.0, "cpu_pct": at % 1000 / 10.0, "ram_pct": at % 999 / 10.0,
+        "eff_tokens": F.col("tokens") * 2, "max_mb_eff": F.col("tokens"), "T": k * 64 + 256, "B": F.when(k % 3 != 0, k + 8), "hwm_T": F.when(k % 2 == 0, k * 70 + 300), "stable": k % 7, "bytes_per_token": F.when(k % 4 == 0, k * 1000.3), "ooms": at % 4,
+    })
+
+
 def diag_records(spark, sf_dir):
-    return telemetry.records(telemetry.gaps(D.step_log(spark, sf_dir), RUN, ORDER))
+    """The records, as a reader of their JSON gets them back."""
+    kinds = ", ".join(f"{name} {'string' if name == 'outcome' else 'bigint' if name in RECORD_LONGS else 'double'}" for name in telemetry.FIELDS)
+    return telemetry.records(_diagnosed(spark, sf_dir)).select(F.from_json("record", kinds).alias("r")).select("r.*")
 
 
 def baseline_mem(spark, sf_dir):
@@ -144,7 +173,45 @@ f(run, rn, step, outcome, T, G, B, stable, hwm_T, hwm_G) AS (
 SELECT run, step, outcome, T, G, B, stable, hwm_T, hwm_G FROM f WHERE rn > 0"""
 
 
+def _regime_sql(tail: str) -> str:
+    """The recursion of all regimes' limits in a run: st holds a state for each regime, of which a row changes one."""
+    c = CONFIG
+    whole = lambda x: f"trunc({x})::BIGINT"
+    t_range = lambda x: f"greatest({c.min_tokens}, least({x}, {c.top_tokens}))"
+    b_range = lambda x: f"greatest({c.min_examples}, least({x}, {c.top_examples}))"
+    ramped = f"(NOT below AND ra > 0 AND n >= {c.ramp_every})"
+    judged = f"(NOT below AND NOT {ramped} AND util20 IS NOT NULL AND n >= 20)"
+    wider = t_range(whole("T * 1.05::DOUBLE"))
+    widened = f"({judged} AND util20 < 50 AND ua < 10 AND {wider} <> T)"
+    first = f"{{'T': {START.T}::BIGINT, 'B': {START.B}::BIGINT, 'stable': 0::BIGINT, 'hT': NULL::BIGINT, 'hB': NULL::BIGINT, 'bpt': NULL::DOUBLE, 'ra': {START.adaptive_ramps}::BIGINT, 'ua': 0::BIGINT, 'oom': 0::BIGINT, 'tuned': false}}"
+    down = lambda x, h, f, low: _LADDER.format(x=x, h=f"coalesce({h}, 0)", low=low, f=f)
+    return f"""WITH RECURSIVE {D.SQL_LOG}, r AS MATERIALIZED (SELECT run, step, (step // 3 % 4)::INT AS attempt, regime_key AS k, CASE WHEN outcome = 'oom' AND step % 8 = 0 THEN 'partial' WHEN outcome = 'oom' AND step % 4 = 0 THEN 'oom' ELSE 'ok' END AS outcome,
+  step // 16 % 2 = 0 AS shrink_b, CASE WHEN step % 5 <> 0 THEN (step % 97)::DOUBLE END AS util20, {1 << 30}::BIGINT * (20 + step % 40) AS peak, {16 << 30}::BIGINT AS baseline, {80 << 30}::BIGINT AS total, tokens AS tok, row_number() OVER (PARTITION BY run ORDER BY step) AS rn FROM log),
+f AS (SELECT run, 0::BIGINT AS rn, 0::INT AS k, NULL::BIGINT AS step, NULL::INT AS attempt, list_transform(range(0, 8), lambda i: {first}) AS st FROM (SELECT DISTINCT run FROM r)
+  UNION ALL
+  SELECT run, rn, k, step, attempt, list_transform(st, lambda x, i: CASE WHEN i = k + 1 THEN new ELSE x END) FROM (
+  SELECT *, {{'T': CASE WHEN ok THEN CASE WHEN tn THEN tT ELSE T1 END WHEN sb THEN T ELSE greatest(least_T, {down('T', 'hT1', 0.85, 'least_T')}) END, 'B': CASE WHEN ok THEN B1 WHEN NOT sb THEN B WHEN B IS NULL THEN {c.top_examples} ELSE {down('B', 'hB1', 0.7, c.min_examples)} END,
+    'stable': CASE WHEN ok THEN n1 ELSE 0 END, 'hT': CASE WHEN tn THEN greatest(tT, coalesce(hT1, 0)) ELSE hT1 END, 'hB': hB1, 'bpt': CASE WHEN tn THEN cost WHEN ok THEN bpt END, 'ra': CASE WHEN ok THEN ra1 ELSE 0 END, 'ua': CASE WHEN ok THEN ua1 ELSE 0 END,
+    'oom': CASE WHEN ok THEN oom ELSE oom + 1 END, 'tuned': CASE WHEN tn THEN true WHEN ok THEN tuned ELSE false END}} AS new
+  FROM (SELECT *, ok AND attempt = 0 AND (NOT tuned OR n1 % 500 = 0) AND NOT (oom > 0 AND tok < 0.1::DOUBLE * coalesce(hT1, 0)) AND peak > 0 AND tok > 0 AS tn,
+    {t_range(whole(f"(CASE WHEN oom > 0 THEN {c.autotune_oom_safety} ELSE {c.autotune_safety} END)::DOUBLE * room / greatest(cost, 1e-9::DOUBLE)"))} AS tT,
+    CASE WHEN dearest > 0 THEN greatest({c.min_tokens}, {whole("0.66::DOUBLE * room / greatest(dearest, 1e-9::DOUBLE)")}) ELSE {c.min_tokens} END AS least_T
+  FROM (SELECT *, greatest((peak - baseline)::DOUBLE, room * 0.05::DOUBLE) / tok::DOUBLE AS cost, coalesce(list_max(list_transform(st, lambda x, i: CASE WHEN i <> k + 1 THEN x.bpt END)), 0) AS dearest,
+    CASE WHEN below THEN CASE WHEN n % 5 = 0 AND coalesce(hT1, 0) > 0 AND T < hT1 THEN {t_range(f"least({whole('T * 1.2::DOUBLE')}, hT1)")} ELSE T END WHEN {ramped} THEN {t_range(whole(f"T * {c.ramp_tokens}::DOUBLE"))} WHEN {widened} THEN {wider} ELSE T END AS T1,
+    CASE WHEN B IS NULL THEN B WHEN below THEN CASE WHEN n % 5 = 0 AND coalesce(hB1, 0) > 0 AND B < hB1 THEN {b_range(f"least(greatest({c.min_examples}, {whole('B * 1.2::DOUBLE')} + 1), hB1)")} ELSE B END WHEN {ramped} THEN {b_range(f"greatest({c.min_examples}, {whole(f'B * {c.ramp_examples}::DOUBLE')} + 1)")} ELSE B END AS B1,
+    CASE WHEN {ramped} OR {widened} THEN 0 ELSE n END AS n1, CASE WHEN {judged} AND util20 >= 80 THEN 0 WHEN {widened} THEN ua + 1 ELSE ua END AS ua1, CASE WHEN {ramped} THEN ra - 1 ELSE ra END AS ra1
+  FROM (SELECT *, (coalesce(hT1, 0) > 0 AND T < {whole("hT1 * 0.9::DOUBLE")}) OR (coalesce(hB1, 0) > 0 AND B IS NOT NULL AND B < {whole("hB1 * 0.9::DOUBLE")}) AS below
+  FROM (SELECT *, CASE WHEN n >= proof THEN greatest(T, coalesce(hT, 0)) ELSE hT END AS hT1, CASE WHEN n >= proof AND B IS NOT NULL THEN greatest(B, coalesce(hB, 0)) ELSE hB END AS hB1
+  FROM (SELECT l.*, f.st, f.st[l.k + 1].T AS T, f.st[l.k + 1].B AS B, f.st[l.k + 1].hT AS hT, f.st[l.k + 1].hB AS hB, f.st[l.k + 1].bpt AS bpt, f.st[l.k + 1].ra AS ra, f.st[l.k + 1].ua AS ua, f.st[l.k + 1].oom AS oom, f.st[l.k + 1].tuned AS tuned,
+    l.outcome = 'ok' AS ok, l.outcome = 'partial' OR l.shrink_b AS sb, f.st[l.k + 1].stable + CASE WHEN l.outcome = 'ok' THEN 1 ELSE 0 END AS n, CASE WHEN l.outcome = 'ok' THEN 5 ELSE 3 END AS proof, greatest((l.total - l.baseline)::DOUBLE, l.total * 0.05::DOUBLE) AS room
+    FROM f JOIN r AS l ON l.run = f.run AND l.rn = f.rn + 1)))))))
+SELECT run, k AS regime_key, {tail} s.T AS T, s.B AS B, s.stable AS stable, s.hT AS hwm_T, s.hB AS hwm_B, round(s.bpt, 3) AS bytes_per_token, s.ra AS adaptive_ramps, s.ua AS util_attempts, s.oom AS oom_count, s.tuned AS tuned FROM (SELECT *, st[k + 1] AS s FROM f WHERE rn > 0)"""
+
+
 _W = "(PARTITION BY run ORDER BY step)"
+#: The last 20 samples' mean and number, carried over steps without a sample.
+_RECENT = """u AS (SELECT *, last_value(CASE WHEN util IS NOT NULL THEN m END IGNORE NULLS) OVER w AS recent, coalesce(last_value(CASE WHEN util IS NOT NULL THEN c END IGNORE NULLS) OVER w, 0) AS recent_n FROM (
+  SELECT *, avg(util) OVER v AS m, count(util) OVER v AS c FROM {0} WINDOW v AS (PARTITION BY run, util IS NULL ORDER BY step ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)) WINDOW w AS (PARTITION BY run ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
 _GAPS = f"{D.SQL_LOG}, g AS (SELECT *, ts_ms - lag(end_ms) OVER {_W} AS gap_ms, row_number() OVER {_W} AS rn FROM log)"
 SQL = {
     "regime_limits_lookup": f"""WITH RECURSIVE {P.pairs_sql()}, {NATION}, k AS (SELECT bucket_id, batch_no, ((trunc(max(eff))::BIGINT + 127) // 128)::INT AS regime_key FROM rows GROUP BY ALL)
@@ -153,18 +220,26 @@ SELECT bucket_id, batch_no, k.regime_key, least(coalesce(T, {CONFIG.tokens}), {C
     "regime_json_roundtrip": f"WITH {NATION} SELECT regime_key, T, B, stable, hwm_T, hwm_B, bytes_per_token, 0::BIGINT AS adaptive_ramps, 0::BIGINT AS util_attempts, oom_count, false AS tuned FROM st",
     "regime_seed": f"WITH {NATION} SELECT regime_key, T, B, 0::BIGINT AS stable, NULL::BIGINT AS hwm_T, NULL::BIGINT AS hwm_B, NULL::DOUBLE AS bytes_per_token, 3::BIGINT AS adaptive_ramps, 0::BIGINT AS util_attempts, 0::BIGINT AS oom_count, false AS tuned FROM st",
     "regime_summary": f"WITH {NATION} SELECT count(*) AS regimes, sum(oom_count)::BIGINT AS total_oom, count(*) FILTER (tuned) AS tuned, max(T) AS max_T, min(T) AS min_T FROM st",
-    "util_rolling20": f"WITH {D.SQL_LOG} SELECT run, step, CASE WHEN count(util) OVER w >= 20 THEN round(avg(util) OVER w, 6) END AS util20 FROM log WINDOW w AS (PARTITION BY run ORDER BY step ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)",
+    "util_rolling20": f"WITH {D.SQL_LOG}, {_RECENT.format('log')} SELECT run, step, CASE WHEN recent_n >= 20 THEN round(recent, 6) END AS util20 FROM u",
     "step_gap": f"WITH {_GAPS} SELECT run, step, round(gap_ms, 3) AS gap_ms FROM g",
-    "timing_100": f"WITH {_GAPS} SELECT run, ((rn - 1) // 100)::INT AS window_no, count(*) AS steps, round(avg(exec_ms), 4) AS mean_exec, round(avg(gap_ms), 4) AS mean_gap, round(100.0::DOUBLE * sum(gap_ms) / (sum(gap_ms) + sum(exec_ms)), 4) AS idle_pct FROM g GROUP BY ALL",
+    "timing_100": f"""WITH {_GAPS}, {_RECENT.format('g')}, e AS (SELECT run, ((rn - 1) // 100)::INT AS window_no, count(*) AS steps, sum(plan_ms) / 100 AS p, sum(exec_ms) / 100 AS x, sum(total_ms) / 100 AS t, coalesce(avg(gap_ms), 0) AS gap,
+  sum(examples)::DOUBLE / 100 AS ex, sum(tokens)::DOUBLE / 100 AS tok, sum(microbatches)::DOUBLE / 100 AS mb, coalesce(arg_max(recent, rn), -1) AS util FROM u GROUP BY ALL HAVING count(*) = 100)
+SELECT run, window_no, steps, round(p, 4) AS mean_plan, round(x, 4) AS mean_exec, round(t, 4) AS mean_total, round(gap, 4) AS mean_gap, round(CASE WHEN gap > 0 THEN 100.0::DOUBLE * gap / (gap + t) ELSE 0 END, 4) AS idle_pct, round(ex, 4) AS mean_examples, round(tok, 4) AS mean_tokens, round(mb, 4) AS mean_microbatches, round(util, 4) AS utilisation FROM e""",
     "slow_steps": f"WITH {D.SQL_LOG}, n AS (SELECT *, row_number() OVER {_W}::INT AS step_no, min(exec_ms) OVER (PARTITION BY run ORDER BY step ROWS UNBOUNDED PRECEDING) AS base_ms FROM log) SELECT run, step, step_no, base_ms, step_no > 3 AND (exec_ms > 3.0::DOUBLE * base_ms OR exec_ms > 5000) AS slow FROM n",
     "slow_streaks": f"""WITH RECURSIVE {D.SQL_LOG}, l AS MATERIALIZED (SELECT run, step, exec_ms, row_number() OVER {_W} AS rn, min(exec_ms) OVER (PARTITION BY run ORDER BY step ROWS UNBOUNDED PRECEDING) AS base FROM log),
 f AS (SELECT run, 0::BIGINT AS rn, NULL::BIGINT AS step, 0.0::DOUBLE AS said, 0.0::DOUBLE AS held, -1000::BIGINT AS last, false AS fired FROM (SELECT DISTINCT run FROM l) UNION ALL
   SELECT run, rn, step, h, CASE WHEN h >= 4000 AND rn - last > 100 THEN 0.0::DOUBLE ELSE h END, CASE WHEN h >= 4000 AND rn - last > 100 THEN rn ELSE last END, h >= 4000 AND rn - last > 100
   FROM (SELECT l.run, l.rn, l.step, f.last, CASE WHEN l.rn > 20 AND l.exec_ms > greatest(3.0::DOUBLE * l.base, 500.0::DOUBLE) THEN f.held + l.exec_ms ELSE 0.0::DOUBLE END AS h FROM f JOIN l ON l.run = f.run AND l.rn = f.rn + 1))
 SELECT run, step, round(said, 3) AS streak_ms, fired FROM f WHERE rn > 0""",
+    "regime_fold": _regime_sql("step, attempt,"),
+    "regime_final": _regime_sql("") + " QUALIFY row_number() OVER (PARTITION BY run, k ORDER BY step DESC) = 1",
+    "diag_records": f"""WITH {_GAPS}, {_RECENT.format('g')} SELECT step, round_even(ts_ms / 1000.0::DOUBLE, 2) AS ts, util AS gpu_util, round_even(step % 9000 / 1024.0::DOUBLE, 2) AS gpu_mem_alloc_gb, round_even(step % 8000 / 125.0::DOUBLE, 2) AS gpu_mem_peak_gb, round_even(step % 3000 / 8.0::DOUBLE, 1) AS gpu_power_w, step % 90 AS gpu_temp_c,
+  round_even(step % 640 / 16.0::DOUBLE, 1) AS cpu_load_1m, step % 1000 / 10.0::DOUBLE AS cpu_pct, step % 999 / 10.0::DOUBLE AS ram_pct, round_even(plan_ms, 1) AS plan_ms, round_even(exec_ms, 1) AS exec_ms, round_even(total_ms, 1) AS step_ms, round_even(gap_ms, 1) AS gap_ms, round_even(100.0::DOUBLE * exec_ms / (total_ms + gap_ms), 1) AS busy_pct,
+  examples, tokens, tokens * 2 AS eff_tok, microbatches AS n_mb, tokens AS max_mb_tok, regime_key::BIGINT AS rk, regime_key * 64::BIGINT + 256 AS rT, CASE WHEN regime_key % 3 <> 0 THEN regime_key::BIGINT + 8 END AS rB, CASE WHEN regime_key % 2 = 0 THEN regime_key * 70::BIGINT + 300 END AS hwm_T, (regime_key % 7)::BIGINT AS stable,
+  CASE WHEN regime_key % 4 = 0 THEN round_even(regime_key * 1000.3::DOUBLE, 0) END AS bpt, round_even(recent, 1) AS util_avg20, CASE WHEN step % 4 > 0 THEN step % 4 END AS ooms, outcome FROM u""",
     "diag_ring": f"WITH {D.SQL_LOG} SELECT step, run, outcome FROM log ORDER BY step DESC LIMIT {RING}",
     "baseline_mem": f"WITH {D.SQL_LOG} SELECT regime_key, arg_max(exec_ms, step) AS baseline_mem FROM log WHERE step <= 500 GROUP BY regime_key",
     "bottleneck_device": "SELECT host, device, total, peak, baseline FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY total - peak, device) AS r FROM (SELECT s_suppkey % 5 AS host, s_suppkey AS device, 80000 - s_suppkey % 3 * 8000 AS total, s_suppkey * 7919 % 70000 * (s_suppkey % 4) AS peak, s_suppkey % 9000 AS baseline FROM supplier) WHERE peak > 0) WHERE r = 1",
     "throughput": f"WITH {D.SQL_LOG} SELECT run, round(sum(exec_ms) / 1000.0::DOUBLE, 6) AS runtime, round(sum(examples) / (sum(exec_ms) / 1000.0::DOUBLE), 6) AS samples_per_second, round(count(*) / (sum(exec_ms) / 1000.0::DOUBLE), 6) AS steps_per_second FROM log GROUP BY run",
 }
-QUERIES = {name: globals()[name] for name in (*SQL, "regime_fold", "regime_final", "diag_records")}
+QUERIES = {name: globals()[name] for name in SQL}

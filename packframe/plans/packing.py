@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from packframe.config import PackConfig
 from packframe.functions import scalar as S
 from packframe.operators import collate, microbatch, sampler
+from packframe.sources import loaders
 from packframe.sources import tables as D
 
 BUDGET, WIDTH, MAX_LENGTH, ALPHA = 2048, 16, 512, D.ALPHA
 BASE = PackConfig(BUDGET, WIDTH)
-MB_TOKENS, MB_EXAMPLES, GENERATION, CAP_TOKENS, MOST_MB = 1024, 4, 128, 512, 3
+MB_TOKENS, MB_EXAMPLES, GENERATION, CAP_TOKENS, MOST_MB, PROVEN = 1024, 4, 128, 512, 3, 5
 
 
 def packed(spark: SparkSession, sf_dir: str, **change) -> DataFrame:
@@ -82,9 +83,26 @@ def capped_collate(spark, sf_dir):
 
 
 def concat_batches(spark, sf_dir):
-    rows = D.examples(spark, sf_dir)
+    """Two bags of batches put together, and padded to their common widths."""
+    rows = D.examples(spark, sf_dir).withColumn("b", F.col("example_id") % 64)
     union = collate.concatenated([rows.filter("example_id % 2 = 0"), rows.filter("example_id % 2 = 1")])
-    return union.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("input_ids")).alias("enc_width"), F.max(F.size("labels")).alias("dec_width"))
+    return collate.collated(union, ["b"]).select("example_id", "input_length", _joined("input_ids"), _joined("attention_mask"), _joined("labels"))
+
+
+def _loaded(batches):
+    return batches.select("example_id", "bucket_id", "batch_no", "emit_pos", "input_length", F.size("input_ids").alias("enc_width"), F.size("labels").alias("dec_width"))
+
+
+def loader_train(spark, sf_dir):
+    return _loaded(loaders.train_batches(D.examples(spark, sf_dir), PackConfig(4 * BUDGET, 128), alpha=ALPHA))
+
+
+def loader_eval(spark, sf_dir):
+    return _loaded(loaders.eval_batches(D.examples(spark, sf_dir), BASE))
+
+
+def loader_fixed(spark, sf_dir):
+    return _loaded(loaders.eval_batches(D.examples(spark, sf_dir), None, 8))
 
 
 def pad_to_multiple(spark, sf_dir):
@@ -170,6 +188,11 @@ def mb_cap(spark, sf_dir):
     return _mb(microbatch.capped(packed_pairs(spark, sf_dir), CAP_TOKENS, MB_EXAMPLES, MOST_MB))
 
 
+def mb_cap_proven(spark, sf_dir):
+    """Wider limits stop at one and a half times what has proven stable."""
+    return _mb(microbatch.capped(packed_pairs(spark, sf_dir), CAP_TOKENS, MB_EXAMPLES, MOST_MB, PROVEN))
+
+
 def mb_statistics(spark, sf_dir):
     return microbatch.statistics(microbatch.split(packed_pairs(spark, sf_dir), MB_TOKENS), ALPHA)
 
@@ -253,6 +276,20 @@ def with_stats(tail: str) -> str:
     return f"WITH RECURSIVE {pairs_sql()}, {split_sql(str(MB_TOKENS), NONE)}, {STATS} {tail}"
 
 
+def _cap_sql(examples: str) -> str:
+    return f"""WITH RECURSIVE {pairs_sql()}, {split_sql(str(CAP_TOKENS), str(MB_EXAMPLES), name='one')},
+wide AS MATERIALIZED (SELECT bucket_id, batch_no, greatest(sum(eff)::BIGINT // {MOST_MB} + 1, {CAP_TOKENS}) AS t, {examples} AS b FROM one GROUP BY ALL HAVING max(mb_no) + 1 > {MOST_MB}),
+again AS MATERIALIZED (SELECT rows.*, t, b FROM rows JOIN wide USING (bucket_id, batch_no)), {split_sql('e.t', 'e.b', source='again', name='two')}
+SELECT bucket_id, batch_no, example_id, mb_no FROM one WHERE (bucket_id, batch_no) NOT IN (SELECT (bucket_id, batch_no) FROM wide) UNION ALL SELECT bucket_id, batch_no, example_id, mb_no FROM two"""
+
+
+def loader_sql(length: str, packed: str) -> str:
+    """Batches of the examples by a length of the encoder's ids e and the labels that count d, in order of bucket."""
+    return f"""WITH RECURSIVE {D.SQL_EXAMPLES}, x AS (SELECT example_id, len(input_ids)::INT AS e, len(list_filter(labels, lambda y: y <> -100))::INT AS d, len(labels)::INT AS wide FROM examples), sized AS (SELECT example_id, {length} AS L FROM x), {packed},
+each AS (SELECT bucket_id, batch_no, row_number() OVER (ORDER BY bucket_id, batch_no) - 1 AS emit_pos FROM (SELECT DISTINCT bucket_id, batch_no FROM packed))
+SELECT example_id, bucket_id, batch_no, emit_pos, e AS input_length, ceil(max(e) OVER w / 8)::INT * 8 AS enc_width, ceil(max(wide) OVER w / 8)::INT * 8 AS dec_width FROM packed JOIN each USING (bucket_id, batch_no) JOIN x USING (example_id) WINDOW w AS (PARTITION BY bucket_id, batch_no)"""
+
+
 _PAD = "list_concat({0}, list_transform(range(0, greatest(0, {1} - len({0}))), lambda x: {2}))"
 SQL = {
     "doc_lengths": f"WITH {D.SQL_LENGTHS} SELECT example_id, L FROM lengths",
@@ -268,7 +305,11 @@ SQL = {
     "capped_collate": f"""WITH {D.SQL_EXAMPLES}, c AS (SELECT example_id, example_id % 64 AS b, input_ids[:32] AS i, attention_mask[:32] AS m, labels[:64] AS l FROM examples),
 w AS (SELECT *, least(ceil(max(len(i)) OVER (PARTITION BY b) / 8)::INT * 8, 32) AS e, least(ceil(max(len(l)) OVER (PARTITION BY b) / 8)::INT * 8, 64) AS d FROM c)
 SELECT example_id, coalesce(list_sum(m), 0)::INT AS input_length, {CAT.format(_PAD.format('i', 'e', 0))} AS input_ids, {CAT.format(_PAD.format('m', 'e', 0))} AS attention_mask, {CAT.format(_PAD.format('l', 'd', -100))} AS labels FROM w""",
-    "concat_batches": f"WITH {D.SQL_EXAMPLES} SELECT count(*) AS n, max(len(input_ids))::INT AS enc_width, max(len(labels))::INT AS dec_width FROM examples",
+    "concat_batches": f"""WITH {D.SQL_EXAMPLES}, w AS (SELECT *, max(len(input_ids)) OVER (PARTITION BY example_id % 64) AS e, max(len(labels)) OVER (PARTITION BY example_id % 64) AS d FROM examples)
+SELECT example_id, coalesce(list_sum(attention_mask), 0)::INT AS input_length, {CAT.format(_PAD.format('input_ids', 'e', 0))} AS input_ids, {CAT.format(_PAD.format('attention_mask', 'e', 0))} AS attention_mask, {CAT.format(_PAD.format('labels', 'd', -100))} AS labels FROM w""",
+    "loader_train": loader_sql("(e + 2.0::DOUBLE * d)::INT", pack_sql(4 * BUDGET, 128, source="sized")),
+    "loader_eval": loader_sql("e", pack_sql(source="sized")),
+    "loader_fixed": loader_sql("1", "packed AS (SELECT example_id, 1 AS bucket_id, ((row_number() OVER (ORDER BY example_id) - 1) // 8)::INT AS batch_no FROM sized)"),
     "pad_to_multiple": f"WITH {D.SQL_LENGTHS} SELECT example_id, least(ceil(L / 8)::INT * 8, 500) AS width FROM lengths",
     "shift_right": f"WITH {D.SQL_EXAMPLES} SELECT example_id, CASE WHEN len(labels) = 0 THEN '' ELSE {CAT.format('list_transform(list_concat([0], labels[:len(labels) - 1]), lambda x: CASE WHEN x = -100 THEN 0 ELSE x END)')} END AS shifted FROM examples",
     "slice_rows": docs_sql("SELECT example_id, L FROM packed WHERE batch_no = 0"),
@@ -287,10 +328,8 @@ SELECT example_id, coalesce(list_sum(m), 0)::INT AS input_length, {CAT.format(_P
     "mb_examples": f"WITH RECURSIVE {pairs_sql()}, {split_sql(str(MB_TOKENS), str(MB_EXAMPLES))} {MB_ROWS}",
     "mb_padding_aware": f"WITH RECURSIVE {pairs_sql()}, {split_sql(str(MB_TOKENS), NONE, padded=True)} {MB_ROWS}",
     "mb_generation": f"WITH RECURSIVE {pairs_sql(f'enc_len + {ALPHA}::DOUBLE * {GENERATION}')}, {split_sql(str(MB_TOKENS), NONE)} {MB_ROWS}",
-    "mb_cap": f"""WITH RECURSIVE {pairs_sql()}, {split_sql(str(CAP_TOKENS), str(MB_EXAMPLES), name='one')},
-wide AS MATERIALIZED (SELECT bucket_id, batch_no, greatest(sum(eff)::BIGINT // {MOST_MB} + 1, {CAP_TOKENS}) AS t, least(count(*) // {MOST_MB} + 1, greatest(greatest(2 * {MB_EXAMPLES}, {MB_EXAMPLES} + 16), {MB_EXAMPLES})) AS b FROM one GROUP BY ALL HAVING max(mb_no) + 1 > {MOST_MB}),
-again AS MATERIALIZED (SELECT rows.*, t, b FROM rows JOIN wide USING (bucket_id, batch_no)), {split_sql('e.t', 'e.b', source='again', name='two')}
-SELECT bucket_id, batch_no, example_id, mb_no FROM one WHERE (bucket_id, batch_no) NOT IN (SELECT (bucket_id, batch_no) FROM wide) UNION ALL SELECT bucket_id, batch_no, example_id, mb_no FROM two""",
+    "mb_cap": _cap_sql(f"least(count(*) // {MOST_MB} + 1, greatest(greatest(2 * {MB_EXAMPLES}, {MB_EXAMPLES} + 16), {MB_EXAMPLES}))"),
+    "mb_cap_proven": _cap_sql(f"least(count(*) // {MOST_MB} + 1, greatest({int(1.5 * PROVEN)}, {MB_EXAMPLES}))"),
     "mb_token_stats": with_stats("SELECT bucket_id, batch_no, mb_no, n, ntok, eff_tokens, lm_tokens FROM stats"),
     "mb_padding_waste": with_stats("SELECT bucket_id, batch_no, mb_no, enc_width, dec_width, (n * enc_width - enc_tokens + n * dec_width - ntok)::BIGINT AS waste FROM stats"),
     "regime_keys": f"WITH RECURSIVE {pairs_sql()} SELECT bucket_id, batch_no, ((trunc(max(eff))::BIGINT + 127) // 128)::INT AS regime_key FROM rows GROUP BY ALL",

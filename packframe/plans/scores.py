@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from packframe.config import RegimeConfig
 from packframe.functions import scalar as S
-from packframe.operators import evalplan, metrics, sampler
+from packframe.operators import evalplan, metrics, microbatch, regime, sampler
 from packframe.plans import packing as P
 from packframe.sources import tables as D
 
-MOST_EXAMPLES, FLUSH = 100, 64
+MOST_EXAMPLES, FLUSH, CAPACITY = 100, 64, 3000
 
 
 def losses(spark, sf_dir) -> DataFrame:
@@ -78,12 +79,40 @@ def compute_metrics(spark, sf_dir):
     return metrics.compute_metrics(cut.withColumn("english", F.col("example_id") % 3 == 0), ids, 0, "english")
 
 
+def meteor_exact(spark, sf_dir):
+    """The mean of METEOR's first stage alone, words that are equal."""
+    return _rounded(metrics.meteor(D.predictions(spark, sf_dir), stages=(metrics.EXACT,)), "meteor")
+
+
+def _counted(pairs: DataFrame) -> DataFrame:
+    return pairs.select("example_id", S.word_count(F.col("pred")).alias("pred_words"), S.word_count(F.col("ref")).alias("ref_words"))
+
+
 def paired(spark, sf_dir):
-    """Predictions joined to references by their example; what only one side has goes."""
+    """Predictions joined to references by their example."""
     rows = D.predictions(spark, sf_dir)
-    preds = rows.filter("example_id % 5 <> 0").select("example_id", "pred")
-    refs = rows.filter("example_id % 7 <> 0").select("example_id", "ref")
-    return preds.join(refs, "example_id").select("example_id", S.word_count(F.col("pred")).alias("pred_words"), S.word_count(F.col("ref")).alias("ref_words"))
+    return _counted(metrics.paired(rows, rows, "example_id"))
+
+
+def paired_by_place(spark, sf_dir):
+    """The n-th prediction with the n-th longer source, up to the shorter side's end."""
+    rows = D.predictions(spark, sf_dir)
+    longer = rows.select("example_id", F.col("source").alias("ref")).filter(S.word_count(F.col("source")) > 8)
+    return _counted(metrics.paired(rows, longer))
+
+
+def evaluation_units(spark, sf_dir):
+    """What an evaluation's loss is computed of: whole batches, or microbatches where a batch doesn't fit."""
+    rows = evalplan.loss_units(P.packed_pairs(spark, sf_dir), P.MB_TOKENS, CAPACITY)
+    return rows.select("bucket_id", "batch_no", "example_id", "mb_no")
+
+
+def evaluation_flow(spark, sf_dir):
+    """Every batch is put in the generation buffer; what becomes of each flush, bucket by bucket, and the limits after it."""
+    rows = microbatch.with_effective(P.packed_pairs(spark, sf_dir), P.ALPHA, P.GENERATION)
+    each = rows.groupBy("bucket_id", "batch_no").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("eff")).alias("lengths"))
+    groups = evalplan.flush_groups(each, FLUSH, ["batch_no"], ["bucket_id"]).groupBy("bucket_id", "flush_no").agg(F.sort_array(F.flatten(F.collect_list("lengths"))).alias("lengths"))
+    return evalplan.generation_flow(groups, RegimeConfig(tokens=4096, eval_ramp_every=3), regime.Evaluation(16384, 48, 16), 4 * CAPACITY, keys=["bucket_id"]).drop("lengths")
 
 
 def _numbered(spark, sf_dir) -> DataFrame:
@@ -163,7 +192,17 @@ SQL = {
     "bleu_13a": f"WITH {bleu_sql(_13a)} {_bleu_tail()}",
     "chrf_stats": f"WITH {CHRF} SELECT * FROM sums",
     "chrf_corpus": f"WITH {CHRF} {_chrf_tail()}",
-    "paired": f"WITH {D.SQL_PREDICTIONS} SELECT example_id, {D.SQL_COUNT.format('pred')} AS pred_words, {D.SQL_COUNT.format('ref')} AS ref_words FROM predictions WHERE example_id % 5 <> 0 AND example_id % 7 <> 0",
+    "meteor_exact": f"""WITH {D.SQL_PREDICTIONS}, t AS (SELECT example_id, {D.SQL_WORDS.format('lower(pred)')} AS a, {D.SQL_WORDS.format('lower(ref)')} AS b FROM predictions),
+a AS (SELECT *, row_number() OVER (PARTITION BY example_id, w ORDER BY i DESC) AS r FROM (SELECT example_id, unnest(a) AS w, generate_subscripts(a, 1) AS i FROM t)),
+b AS (SELECT *, row_number() OVER (PARTITION BY example_id, w ORDER BY j DESC) AS r FROM (SELECT example_id, unnest(b) AS w, generate_subscripts(b, 1) AS j FROM t)),
+m AS (SELECT example_id, CASE WHEN i = lag(i) OVER w + 1 AND j = lag(j) OVER w + 1 THEN 0 ELSE 1 END AS begins FROM a JOIN b USING (example_id, w, r) WINDOW w AS (PARTITION BY example_id ORDER BY i)),
+s AS (SELECT example_id, count(*)::DOUBLE AS m, sum(begins)::DOUBLE AS chunks FROM m GROUP BY example_id)
+SELECT round(avg(CASE WHEN m IS NULL THEN 0 ELSE (m / len(a)) * (m / len(b)) / (0.9::DOUBLE * (m / len(a)) + 0.1::DOUBLE * (m / len(b))) * (1 - 0.5::DOUBLE * pow(chunks / m, 3)) END), 6) AS meteor FROM t LEFT JOIN s USING (example_id)""",
+    "paired": f"WITH {D.SQL_PREDICTIONS} SELECT example_id, {D.SQL_COUNT.format('pred')} AS pred_words, {D.SQL_COUNT.format('ref')} AS ref_words FROM predictions",
+    "paired_by_place": f"""WITH {D.SQL_PREDICTIONS}, p AS (SELECT example_id, pred, row_number() OVER (ORDER BY example_id) AS n FROM predictions), r AS (SELECT source, row_number() OVER (ORDER BY example_id) AS n FROM predictions WHERE {D.SQL_COUNT.format('source')} > 8)
+SELECT example_id, {D.SQL_COUNT.format('pred')} AS pred_words, {D.SQL_COUNT.format('source')} AS ref_words FROM p JOIN r USING (n)""",
+    "evaluation_units": f"""WITH RECURSIVE {P.pairs_sql()}, {P.split_sql(str(P.MB_TOKENS), P.NONE)}, z AS (SELECT bucket_id, batch_no, example_id, mb_no, sum(eff) OVER (PARTITION BY bucket_id, batch_no) AS whole, sum(eff) OVER (PARTITION BY bucket_id, batch_no, mb_no) AS one FROM split)
+SELECT bucket_id, batch_no, example_id, CASE WHEN whole <= {CAPACITY} THEN 0 ELSE mb_no END AS mb_no FROM z WHERE whole <= {CAPACITY} OR one <= {CAPACITY}""",
     "stride_sample": P.docs_sql(f""", {P.BATCH_SQL}, z AS (SELECT bucket_id, batch_no, row_number() OVER (ORDER BY bucket_id, batch_no) AS num FROM each), st AS (SELECT greatest(1, count(*) // {MOST_EXAMPLES}) AS s FROM documents)
 SELECT bucket_id, batch_no, num FROM z, st WHERE s = 1 OR num % s = 1"""),
     "gen_flush_groups": P.docs_sql(f""", {P.BATCH_SQL}, o AS MATERIALIZED (SELECT bucket_id, batch_no, n FROM each),
@@ -171,4 +210,4 @@ g AS (SELECT bucket_id, batch_no, n, 0 AS flush_no, n AS held FROM o WHERE batch
   SELECT o.bucket_id, o.batch_no, o.n, CASE WHEN g.held >= {FLUSH} THEN g.flush_no + 1 ELSE g.flush_no END, CASE WHEN g.held >= {FLUSH} THEN o.n ELSE g.held + o.n END FROM g JOIN o ON o.bucket_id = g.bucket_id AND o.batch_no = g.batch_no + 1)
 SELECT bucket_id, batch_no, n, flush_no FROM g"""),
 }
-QUERIES = {name: globals()[name] for name in (*SQL, "meteor_avg", "meteor_english", "compute_metrics")}
+QUERIES = {name: globals()[name] for name in (*SQL, "meteor_avg", "meteor_english", "compute_metrics", "evaluation_flow")}

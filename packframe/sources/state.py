@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from packframe.config import RegimeConfig
+from packframe.functions.scalar import SAVED
 from packframe.operators.regime import STATE
 
 LIMITS = T.StructType([f for f in STATE if f.name in ("T", "B", "stable", "hwm_T", "hwm_B", "bytes_per_token", "adaptive_ramps")])
@@ -33,9 +35,31 @@ def as_document(states: DataFrame, key: str = "regime_key", skipped: int = 0, se
     )
 
 
+def _versions(spark: SparkSession, path: str):
+    """(the file system, the state's folder, its whole versions from the oldest to the newest)."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [x.getPath() for x in fs.listStatus(where)] if fs.exists(where) else []
+    child = lambda p: spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")
+    return fs, where, sorted((p for p in found if p.getName().startswith("version=") and fs.exists(child(p))), key=lambda p: p.getName())
+
+
 def save(states: DataFrame, path: str, **about) -> None:
-    """Write the document; readers see the old one or the new one."""
-    as_document(states, **about).coalesce(1).write.mode("overwrite").json(path)
+    """Write the document as a new version beside the old one, then drop older ones: a reader sees one or the other, whole."""
+    spark = states.sparkSession
+    fs, _, old = _versions(spark, path)
+    newest = int(old[-1].getName().split("=")[1]) if old else 0
+    as_document(states, **about).coalesce(1).write.mode("overwrite").json(f"{path}/version={newest + 1:012d}")
+    for p in old[:-1]:  # a reader may still hold the last one
+        fs.delete(p, True)
+
+
+def save_on_failure(states: DataFrame, path: str, message: str, **about) -> bool:
+    """Save if the failure is one worth saving for, and say whether; the caller raises it again."""
+    if any(said in message for said in SAVED):
+        save(states, path, **about)
+        return True
+    return False
 
 
 def from_document(documents: DataFrame) -> DataFrame:
@@ -51,7 +75,8 @@ def from_document(documents: DataFrame) -> DataFrame:
 def load(spark: SparkSession, path: str) -> DataFrame | None:
     """The states saved under a path, or None."""
     try:
-        found = spark.read.schema(DOCUMENT).json(path).filter("regime_limits IS NOT NULL")
+        versions = _versions(spark, path)[2]
+        found = spark.read.schema(DOCUMENT).json(versions[-1].toString() if versions else path).filter("regime_limits IS NOT NULL")
         return None if found.isEmpty() else from_document(found)
     except AnalysisException:
         return None
@@ -64,8 +89,18 @@ def seeded(states: DataFrame, adaptive: bool = False, ramps: int = 3) -> DataFra
     return out.withColumns({"hwm_T": F.lit(None).cast("bigint"), "hwm_B": F.lit(None).cast("bigint")}) if adaptive else out
 
 
-def summary(states: DataFrame) -> DataFrame:
-    """(regimes, total_oom, tuned, max_T, min_T) of all states."""
+def summary(states: DataFrame, config: RegimeConfig | None = None, utilisation: DataFrame | None = None) -> DataFrame:
+    """(regimes, total_oom, tuned, max_T, min_T) of all states, one row.
+
+    config adds the limits' bounds; utilisation, a log with util, the mean of its samples.
+    """
+    out = _summary(states)
+    if config is not None:
+        out = out.withColumns({name: F.lit(getattr(config, name)).cast("bigint") for name in ("min_tokens", "top_tokens", "min_examples", "top_examples")})
+    return out if utilisation is None else out.crossJoin(utilisation.agg(F.avg("util").alias("utilisation")))
+
+
+def _summary(states: DataFrame) -> DataFrame:
     return states.agg(F.count(F.lit(1)).alias("regimes"), F.coalesce(F.sum("oom_count"), F.lit(0)).cast("bigint").alias("total_oom"), F.count(F.when(F.col("tuned"), 1)).alias("tuned"), F.max("T").alias("max_T"), F.min("T").alias("min_T"))
 
 

@@ -62,7 +62,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def step_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(run, step, regime_key, outcome, shrink_b, util, exec_ms, ts_ms, end_ms, tokens, examples) of events.
+    """(run, step, regime_key, outcome, shrink_b, util, plan_ms, exec_ms, total_ms, ts_ms, end_ms, tokens, examples, microbatches) of events.
 
     A run is 64 users' events; a step takes its event's value in place of time.
     """
@@ -73,7 +73,8 @@ def step_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.floor(F.col("user_id") / 64).alias("run"), F.col("event_id").alias("step"), (F.col("user_id") % 8).cast("int").alias("regime_key"),
         F.when(F.col("event_type") == "error", "oom").otherwise("ok").alias("outcome"), (F.col("event_id") % 2 == 0).alias("shrink_b"),
         F.get_json_object("props", "$.k").cast("double").alias("util"), exec_ms.alias("exec_ms"), ts.cast("double").alias("ts_ms"), (ts.cast("double") + exec_ms).alias("end_ms"),
-        (F.floor(F.coalesce("value", F.lit(0.0)) * 100) + 1).alias("tokens"), (F.col("event_id") % 16 + 1).alias("examples"),
+        (F.floor(F.coalesce("value", F.lit(0.0)) * 100) + 1).alias("tokens"), (F.col("event_id") % 16 + 1).alias("examples"), (F.col("event_id") % 5 + 1).alias("microbatches"),
+        (F.col("event_id") % 7).cast("double").alias("plan_ms"), (exec_ms + (F.col("event_id") % 7).cast("double")).alias("total_ms"),
     )
 
 
@@ -91,4 +92,4 @@ SQL_PREDICTIONS = f"""{SQL_PAIR_TEXTS}, predictions AS (SELECT example_id, sourc
   FROM (SELECT *, {SQL_WORDS.format('reference')} AS w FROM pair_texts))"""
 SQL_LOG = """log AS (SELECT user_id // 64 AS run, event_id AS step, (user_id % 8)::INT AS regime_key, CASE WHEN event_type = 'error' THEN 'oom' ELSE 'ok' END AS outcome, event_id % 2 = 0 AS shrink_b,
   json_extract_string(props, '$.k')::DOUBLE AS util, coalesce(value, 0) * 10.0::DOUBLE + 1.0::DOUBLE AS exec_ms, (epoch_us(ts) // 1000)::DOUBLE AS ts_ms, (epoch_us(ts) // 1000)::DOUBLE + (coalesce(value, 0) * 10.0::DOUBLE + 1.0::DOUBLE) AS end_ms,
-  floor(coalesce(value, 0) * 100)::BIGINT + 1 AS tokens, event_id % 16 + 1 AS examples FROM events)"""
+  floor(coalesce(value, 0) * 100)::BIGINT + 1 AS tokens, event_id % 16 + 1 AS examples, event_id % 5 + 1 AS microbatches, (event_id % 7)::DOUBLE AS plan_ms, (coalesce(value, 0) * 10.0::DOUBLE + 1.0::DOUBLE) + (event_id % 7)::DOUBLE AS total_ms FROM events)"""

@@ -5,18 +5,22 @@ from __future__ import annotations
 import json
 import math
 import random
+from collections import Counter
 from dataclasses import asdict
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from packframe import config
 from packframe.config import PackConfig, RegimeConfig, tier_value
+from packframe.functions import scalar, stemmer
 from packframe.functions import scalar as S
-from packframe.operators import collate, corrupt, evalplan, metrics, microbatch, regime, sampler, telemetry
-from packframe.sources import state
+from packframe.operators import collate, corrupt, evalplan, metrics, microbatch, nextfit, regime, sampler, telemetry
+from packframe.sources import loaders, state
 from packframe.streaming import regimes
 
 GOLDEN = [5, 16, 17, 32, 33, 100, 3, 12, 16]
@@ -239,11 +243,38 @@ def test_replay_follows_the_machine(spark):
     found = {(r["regime_key"], r["step"]): r for r in regime.replay(spark.createDataFrame(log_rows(), LOG_KIND), c).collect()}
     held: dict = {}
     for key, step, attempt, outcome, shrink, util, *memory in log_rows():
-        s = held.setdefault(key, regime.Regime.fresh(c))
-        regime.apply_row(s, c, outcome, attempt, shrink, util, *memory)
+        s = regime.apply_row(held, key, c, regime.Regime.fresh(c), outcome, attempt, shrink, util, *memory)
         assert {k: found[key, step][k] for k in asdict(s)} == asdict(s)
 
 
+def test_a_failure_keeps_what_memory_safely_holds():
+    """By hand: 64 GiB beyond the baseline at 2 MiB a token, the dearest of other regimes, two thirds of it: 21626 tokens."""
+    c = RegimeConfig(tokens=1 << 16, examples=8)
+    regimes = {1: regime.Regime(T=22000, B=8, bytes_per_token=9e9), 2: regime.Regime(T=10, bytes_per_token=float(1 << 21)), 3: regime.Regime(T=10, bytes_per_token=5.0)}
+    s = regime.apply_row(regimes, 1, c, regime.Regime.fresh(c), "oom", 1, False, None, None, 16 << 30, 80 << 30, None)
+    assert (s.T, s.B, s.bytes_per_token, s.oom_count) == (21626, 8, None, 1)
+    s = regime.apply_row(regimes, 3, c, regime.Regime.fresh(c), "oom", 1, False, None, None, None, None, None)
+    assert s.T == 64  # without memory figures the least T
+
+
+def test_failures_by_hand(spark):
+    said = {
+        "CUDA out of memory. Tried": ("memory", True), "CUBLAS_STATUS_ALLOC_FAILED": ("memory", True), "cudaMalloc failed": ("memory", False), "cudaErrorLaunchTimeout": ("device", True),
+        "the launch timed out and was terminated": ("device", True), "CUDA error: assert": ("device", True), "cuda error: x": ("other", False), "out of memory": ("other", False), "launch timed out": ("other", False),
+    }
+    rows = spark.createDataFrame([(x,) for x in said] + [(None,)], "m string").select("m", scalar.oom_class(F.col("m")).alias("kind"), scalar.worth_saving(F.col("m")).alias("save")).collect()
+    assert {r["m"]: (r["kind"], r["save"]) for r in rows} == said | {None: ("other", False)}
+
+
+def test_timing_by_hand(spark):
+    """Two steps a window: a gap's mean counts its own rows, what is idle is the mean gap against a mean whole step, and a part of a window isn't said."""
+    rows = [(1, 1, 10.0, 90.0, 100.0, None, 4, 40, 1, None), (1, 2, 20.0, 180.0, 200.0, 50.0, 6, 60, 3, 30.0), (1, 3, 0.0, 10.0, 10.0, 5.0, 1, 1, 1, 50.0)]
+    log = spark.createDataFrame(rows, "run int, step int, plan_ms double, exec_ms double, total_ms double, gap_ms double, examples int, tokens int, microbatches int, util double")
+    (r,) = telemetry.timing_means(log, ["run"], ["step"], 2).collect()
+    assert (r["steps"], r["mean_plan"], r["mean_exec"], r["mean_total"], r["mean_gap"], r["mean_examples"], r["mean_tokens"], r["mean_microbatches"], r["utilisation"]) == (2, 15.0, 135.0, 150.0, 50.0, 5.0, 50.0, 2.0, 30.0)
+    assert r["idle_pct"] == 25.0
+
+
 def test_stream_equals_replay(spark, tmp_path):
     c = RegimeConfig(tokens=2048, examples=32)
     for part, at in enumerate(range(0, 120, 60)):
@@ -264,6 +295,11 @@ def test_state_is_saved_and_restored(spark, tmp_path):
     state.save(states, path)
     found = {r["regime_key"]: r for r in state.load(spark, path).collect()}
     assert (found[1]["T"], found[1]["B"], found[1]["oom_count"], found[1]["tuned"], found[1]["adaptive_ramps"], found[7]["B"]) == (512, 8, 4, False, 0, None)
+    for _ in range(3):  # a reader sees whole versions alone, and old ones go
+        state.save(states.filter("regime_key = 7"), path)
+    assert [r["regime_key"] for r in state.load(spark, path).collect()] == [7] and len(list((tmp_path / "state").glob("version=*"))) == 2
+    assert state.save_on_failure(states, path, "CUDA error: x") and state.load(spark, path).count() == 2 and not state.save_on_failure(states, path, "KeyError")
+    assert state.summary(states, RegimeConfig(), spark.createDataFrame([(10.0,), (None,)], "util double")).first()["utilisation"] == 10.0
     (tmp_path / "bad").mkdir()
     (tmp_path / "bad" / "x.json").write_text("not json")
     assert state.load(spark, str(tmp_path / "bad")) is None
@@ -287,4 +323,103 @@ def test_global_and_evaluation_limits():
 def test_records_are_compact_json(spark):
     log = spark.createDataFrame([(1, 12.25, None, "ok"), (2, 30.0, 10.0, "oom")], "step long, exec_ms double, gap_ms double, outcome string")
     found = [json.loads(r["record"]) for r in telemetry.records(log).orderBy("step").collect()]
-    assert found == [{"step": 1, "exec_ms": 12.2, "busy_pct": 100.0, "outcome": "ok"}, {"step": 2, "exec_ms": 30.0, "gap_ms": 10.0, "busy_pct": 75.0, "outcome": "oom"}]
+    assert found == [{"step": 1, "exec_ms": 12.2, "outcome": "ok"}, {"step": 2, "exec_ms": 30.0, "gap_ms": 10.0, "busy_pct": 75.0, "outcome": "oom"}]
+
+
+def test_next_fit_tables_follow_the_machine():
+    """Tables of blocks, put together, say what a pass over all rows does, whatever is open before."""
+    draw = random.Random(11)
+    for _ in range(300):
+        budget = draw.choice([5, 20, 100])
+        parts = [[draw.choice([0, 0, 1, draw.randint(0, budget + 3)]) for _ in range(draw.randint(1, 12))] for _ in range(draw.randint(1, 4))]
+        alone = [[draw.random() < 0.1 for _ in p] for p in parts]
+        blocks = [nextfit.Block(np.array(p), budget, np.array(a)) for p, a in zip(parts, alone)]
+        table = blocks[0].table()
+        for b in blocks[1:]:
+            table = table.then(b.table(), budget)
+        for carry in (0, 1, draw.randint(0, budget), budget, budget + 1):
+            held, started, labels = carry, 0, []
+            for length, lone in zip(sum(parts, []), sum(alone, [])):
+                if held > budget or lone or held + length > budget:
+                    started, held = started + 1, budget + 1 if lone or length > budget else length
+                else:
+                    held += length
+                labels.append(started)
+            got_started, got_held = table.after(budget, carry)
+            assert (int(got_started), int(got_held)) == (started, held)
+            at, open_, numbers = 0, carry, []
+            for b in blocks:
+                own = b.table()
+                numbers += (at + np.cumsum(b.starts(int(own.absorbed(budget, open_))))).tolist()
+                more, open_ = (int(x) for x in own.after(budget, open_))
+                at += more
+            assert numbers == labels
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_one_bucket_is_packed_in_chunks(spark, monkeypatch, kind):
+    monkeypatch.setattr(nextfit, "BLOCK", 7)
+    draw = random.Random(12)
+    rows = [(i * 3, draw.randint(0, 40)) for i in range(500)]
+    frame = spark.createDataFrame(rows, "example_id long, L int").withColumn("example_id", F.lpad(F.col("example_id").cast("string"), 6, "0") if kind == "string" else F.col("example_id"))
+    found = sampler.pack(frame, PackConfig(100, 10**6), n_chunks=5).filter("bucket_id >= 0").orderBy("example_id").collect()
+    number, want = {0: -1, 1: -1}, []
+    open_ = {0: 101, 1: 101}
+    for _, length in rows:
+        b = -(-length // 10**6)
+        if open_[b] + length > 100:
+            number[b] += 1
+            open_[b] = length
+        else:
+            open_[b] += length
+        want.append(number[b])
+    assert [r["batch_no"] for r in found] == want
+
+
+def test_stems_and_synonyms(spark):
+    words = "caresses ponies ties caress cats feed agreed plastered motoring sing conflated troubled sized hopping tanned falling hissing fizzed failing filing happy sky relational conditional rational digitizer operator feudalism decisiveness hopefulness formality sensibility triplicate formative formalize electrical goodness revival allowance inference airliner adjustable defensible irritant replacement adjustment dependent adoption communism activate effective probate rate cease controll roll".split()
+    want = "caress poni ti caress cat feed agre plaster motor sing conflat troubl size hop tan fall hiss fizz fail file happi sky relat condit ration digit oper feudal decis hope formal sensibl triplic form formal electr good reviv allow infer airlin adjust defens irrit replac adjust depend adopt commun activ effect probat rate ceas control roll".split()
+    assert [stemmer.stem(w) for w in words] == want
+    pairs = spark.createDataFrame([("the big cat runs", "the large cats run")], "pred string, ref string")
+    thesaurus = spark.createDataFrame([("Big", "large")], "word string, synonym string")
+    score = lambda **how: metrics.meteor(pairs, **how).first()[0]
+    assert score(stages=(metrics.EXACT,)) == pytest.approx(0.25 * 0.5)
+    assert score() == pytest.approx(0.75 * (1 - 0.5 * (2 / 3) ** 3)) and score(synonyms=thesaurus) == pytest.approx(1 - 0.5 * (1 / 4) ** 3)
+
+
+def test_metrics_by_name(spark):
+    pairs = spark.createDataFrame([("a b c d", "a b c d"), (None, "x")], "pred string, ref string")
+    assert metrics.factory([" SacreBLEU", "chrF++", "bleu"])(pairs).columns == ["bleu", "chrf"]
+    with pytest.raises(ValueError, match="comet"):
+        metrics.factory(["comet"])
+    ids = spark.createDataFrame([([1, 2, 0, 99],), (None,)], "ids array<int>")
+    assert [r["text"] for r in metrics.decoded(ids, "ids", ["<pad>", "▁he", "llo"], (0,)).collect()] == ["hello", None]
+
+
+def test_settings():
+    assert config.generation_arguments({"generation_max_length": "9", "top_k": 5}, {"max_length": 1, "num_beams": 2}) == {"max_length": 9, "num_beams": 2}
+    assert config.generation_arguments({"do_sample": True, "top_k": 5, "top_p": "0.5"}) == {"do_sample": True, "top_k": 5, "top_p": 0.5}
+    assert config.device_memory([80.0, 24.0]) == 24.0 and config.device_memory([], 48.0) == 48.0
+    with pytest.raises(ValueError, match="sentinels"):
+        corrupt.SpanConfig(vocab=31999)
+
+
+def test_loaders(spark):
+    rows = [(i, list(range(2, 3 + i % 5)), [1] * (1 + i % 5), [4] * (1 + i % 3)) for i in range(20)]
+    frame = spark.createDataFrame(rows, "example_id long, input_ids array<int>, attention_mask array<int>, labels array<int>").withColumn("junk", F.lit(1))
+    fixed = loaders.train_batches(frame, None, 8, seed="s").collect()
+    assert sorted(Counter(r["emit_pos"] for r in fixed).items()) == [(0, 8), (1, 8), (2, 4)] and "junk" not in fixed[0]
+    packed = loaders.train_batches(frame, PackConfig(30, 4, shuffle=True, mode="interleave"), collator=lambda rows, by: rows.withColumn("own", F.lit(1)))
+    assert packed.filter("own = 1").count() == 20
+    with pytest.raises(ValueError, match="labels"):
+        loaders.eval_batches(frame.drop("labels"), None)
+    assert collate.without_length(frame.withColumn("input_length", F.lit(1))).columns == frame.columns
+
+
+def test_evaluation_flow_by_hand(spark):
+    """G 4, T 100, capacity 60: whole, whole fails and T shrinks until it fits, then a flush over G is split at once, and what can't fit is skipped."""
+    c = RegimeConfig(tokens=100, max_retries=3, shrink_tokens=0.5, shrink_examples=0.5, min_tokens=16)
+    flushes = spark.createDataFrame([(0, [10.0] * 4), (1, [30.0] * 4), (2, [5.0] * 6), (3, [70.0])], "flush_no int, lengths array<double>")
+    found = evalplan.generation_flow(flushes, c, regime.Evaluation(100, 4, 8), 60).orderBy("flush_no").collect()
+    assert [(r["path"], r["attempts"], r["microbatches"], r["T"], r["G"]) for r in found] == [("whole", 0, 1, 100, 4), ("split", 2, 2, 100, 2), ("split", 0, 3, 100, 2), ("skipped", 5, 0, 21, 1)]
+    assert (found[1]["hwm_T"], found[1]["hwm_G"]) == (100, 2)
