@@ -82,21 +82,23 @@ def document_frequency(docs: DataFrame, shingle: int) -> tuple[np.ndarray, int]:
         if part >= 0:
             for raw in frame["counts"]:
                 sums += np.frombuffer(raw, {chunk: np.uint8, 2 * chunk: np.uint16, 4 * chunk: np.int32}[len(raw)])
-        return pd.DataFrame({"part": [part], "counts": [sums.astype(np.int64).tobytes() if part >= 0 else b""], "n": [int(frame["n"].sum())]})
+        sums = sums.astype(np.int32) if sums.max() < 1 << 31 else sums
+        return pd.DataFrame({"part": [part], "counts": [sums.tobytes() if part >= 0 else b""], "n": [int(frame["n"].sum())]})
 
     kind = "part int, counts binary, n long"
     got = docs.mapInArrow(count, kind).groupBy("part").applyInPandas(total, kind).collect()
-    table, rows = np.zeros(1 << COUNTERS, np.int64), 0
+    wide = any(len(row["counts"]) > 4 * chunk for row in got)
+    table, rows = np.zeros(1 << COUNTERS, np.int64 if wide else np.int32), 0
     for row in got:
         if row["part"] < 0:
             rows = row["n"]
         else:
-            table[row["part"] * chunk : (row["part"] + 1) * chunk] = np.frombuffer(row["counts"], np.int64)
+            table[row["part"] * chunk : (row["part"] + 1) * chunk] = np.frombuffer(row["counts"], np.int64 if len(row["counts"]) > 4 * chunk else np.int32)
     return table, rows
 
 
 def inverse_frequency(table: np.ndarray, rows: int, floor: float) -> np.ndarray:
-    return np.log1p(max(rows, 1) / np.maximum(table, max(1.0, rows * floor))).astype(np.float32)
+    return np.log1p(np.float32(max(rows, 1)) / np.maximum(table, np.float32(max(1.0, rows * floor)), dtype=np.float32)).astype(np.float32)
 
 
 def weighted(texts: pa.Array, shingle: int, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -282,11 +284,17 @@ def blocks(rest: DataFrame) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD, floor: float = FLOOR) -> DataFrame:
-    """(doc_id, group_id, group_size, keep) of each document with an id: the group's least id stays."""
+    """(doc_id, group_id, group_size, n_links, keep) of each document with an id: the group's least id stays.
+
+    n_links: with how many other texts the document's text was linked; pairs that are
+    connected already are not compared, so it counts what was found, not all that is alike.
+    """
     table = docs.select(ref(docs, doc_id).alias("id"), ref(docs, text).cast("string").alias("t0")).filter("id IS NOT NULL")
     table = table.withColumn("t", F.lower("t0"))
     counts, n = document_frequency(table.select("t"), shingle)
     idf = docs.sparkSession.sparkContext.broadcast(inverse_frequency(counts, n, floor))
+    del counts
+    release()
     made = checkpoint(sketches(table.filter("t0 IS NOT NULL"), idf, shingle, bands, rows))
     # Repeated rows of an id: one row. Exact copies: the least id stands for them. Equal texts have equal bands.
     one = checkpoint(made.groupBy("id").agg(F.max(F.struct("same", "bands")).alias("x")).select("id", "x.same", "x.bands"))
@@ -313,12 +321,14 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shin
     grouped = labels.select("id", F.col("label").alias("head"))
     # Every document: by its text to the head of its copies, by that to its group.
     joined = same.join(heads.select("same", F.col("id").alias("first")), "same").join(grouped.select(F.col("id").alias("first"), "head"), "first", "left")
-    placed = joined.select("id", F.coalesce("head", "first").alias("group_id"))
-    empty = table.filter("t0 IS NULL").select("id").distinct().join(placed.select("id"), "id", "left_anti").select("id", F.col("id").alias("group_id"))
+    every = links.union(more)
+    degree = every.select("a").union(every.select("b")).groupBy(F.col("a").alias("first")).agg(F.count(F.lit(1)).alias("n_links"))
+    placed = joined.join(degree, "first", "left").select("id", F.coalesce("head", "first").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    empty = table.filter("t0 IS NULL").select("id").distinct().join(placed.select("id"), "id", "left_anti").select("id", F.col("id").alias("group_id"), F.lit(0).cast("bigint").alias("n_links"))
     placed = checkpoint(placed.union(empty))
     discard(made, one, heads, members, pairs, links, rest, more)
     sizes = placed.groupBy("group_id").agg(F.count(F.lit(1)).alias("group_size"))
-    return placed.join(sizes, "group_id").select(F.col("id").alias("doc_id"), "group_id", "group_size", (F.col("id") == F.col("group_id")).alias("keep"))
+    return placed.join(sizes, "group_id").select(F.col("id").alias("doc_id"), "group_id", "group_size", "n_links", (F.col("id") == F.col("group_id")).alias("keep"))
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **settings) -> DataFrame:

@@ -47,6 +47,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 DICTIONARY_BYTES = 128 << 20
 MAX_WORD = 256  # a word of more bytes is in no dictionary
+FINER = 4
 HELD_WORDS = 1 << 19  # distinct words that a task counts before it passes them on
 _POWERS = np.cumprod(np.full(MAX_WORD, _ODD, dtype=np.uint64))
 
@@ -176,8 +177,8 @@ def distinct_words(texts: DataFrame) -> DataFrame:
         yield from counts()
         release()
 
-    # The lattice has some 25 edges a word, which are sorted by word: smaller parts than a shuffle of words would want.
-    parts = 4 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # The lattice has some 25 edges a word, which are sorted by word: FINER parts than a shuffle of words would want.
+    parts = FINER * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return texts.mapInArrow(count, "word string, n long").repartition(parts, "word").groupBy("word").agg(F.sum("n").alias("n"))
 
 
@@ -343,7 +344,8 @@ def encode(docs: DataFrame, known: Vocabulary | None = None, doc_id: str = "doc_
     known = known or load()
     raw_text = ref(docs, text).cast("string")
     rows = docs.select(ref(docs, doc_id).alias("doc_id"), F.when(raw_text == "", F.lit("")).otherwise(F.concat(F.lit(" "), raw_text)).alias("t"))
-    table = checkpoint(segment(distinct_words(rows.select("t")), known))
+    found = segment(distinct_words(rows.select("t")), known)
+    table = checkpoint(found.coalesce(int(spark.conf.get("spark.sql.shuffle.partitions"))))  # a task takes its parts in turn
     dictionary, whole = gather(table, dictionary_bytes)
     shared = spark.sparkContext.broadcast((dictionary, known.pieces))
     del dictionary

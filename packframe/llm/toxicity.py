@@ -326,6 +326,7 @@ def induce(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     discard(judged)
     found = [best_threshold(scores[:, i], is_bad) for i in range(len(CUTS))]
     best = max(range(len(CUTS)), key=lambda i: found[i][0])  # of equal cuts the lowest
+    release()
     strong = lexicon.weights >= CUTS[best]
     return Lexicon(lexicon.keys[strong], lexicon.weights[strong], found[best][1])
 

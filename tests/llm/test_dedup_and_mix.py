@@ -91,8 +91,9 @@ def test_one_document_of_each_group_stays(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     kept = sorted(r["doc_id"] for r in near_dedup.drop_near_duplicates(docs).collect())
     assert kept == [0, *range(100, 120)]
-    found = near_dedup.near_dedup(docs).filter("group_id = 0").agg(F.count(F.lit(1)), F.max("group_size"), F.count(F.when(F.col("keep"), 1))).first()
-    assert tuple(found) == (41, 41, 1)
+    made = near_dedup.near_dedup(docs)
+    found = made.filter("group_id = 0").agg(F.count(F.lit(1)), F.max("group_size"), F.count(F.when(F.col("keep"), 1)), F.min("n_links")).first()
+    assert tuple(found) == (41, 41, 1, 1) and made.filter("group_id <> 0").agg(F.max("n_links")).first()[0] == 0
 
 
 def test_near_dedup_of_messy_rows(spark):
