@@ -53,10 +53,10 @@ def test_words_by_regular_expression():
 
 
 def best_path(text: str, known: sentencepiece.Vocabulary) -> tuple[list[int], float]:
-    """Viterbi over the whole text at once; ties as the operator's."""
+    """Viterbi over the whole text at once; of paths that are equal but for rounding the one with the longer last piece."""
     table = {p.replace(sentencepiece.SPACE, " "): (i, s) for p, i, s in known.table}
     text = " " + text if text else ""
-    best: list = [(0.0, [])] + [None] * len(text)
+    best: list = [(0.0, 0, [])] + [None] * len(text)
     for end in range(1, len(text) + 1):
         for start in range(max(0, end - known.longest), end):
             sub = text[start:end]
@@ -67,9 +67,13 @@ def best_path(text: str, known: sentencepiece.Vocabulary) -> tuple[list[int], fl
                 edge = (known.penalty, [known.byte_ids[b] for b in sub.encode()])
             else:
                 continue
-            if best[start] is not None and (best[end] is None or best[start][0] + edge[0] > best[end][0]):
-                best[end] = (best[start][0] + edge[0], best[start][1] + edge[1])
-    return best[-1][1], best[-1][0]
+            if best[start] is not None and (best[end] is None or best[start][0] + edge[0] > best[end][0] + 1e-8):
+                best[end] = (best[start][0] + edge[0], start, edge[1])
+    out, at = [], len(text)
+    while at:
+        out.append(best[at][2])
+        at = best[at][1]
+    return [i for ids in reversed(out) for i in ids], best[-1][0]
 
 
 @pytest.fixture(scope="module")
