@@ -18,7 +18,8 @@
 The score of a piece is the model's for a unigram model.  A BPE model has merge
 ranks in place of scores; a piece of rank r then scores ``-ln(1 + r)`` (Zipf's law
 for a unigram model ranked alike).  Of equal paths the one with the longer last
-piece wins.
+piece wins.  Scores are added as whole numbers of 2**-40, so that the order of a path's
+pieces can't tell by rounding, and count as equal within 1e-8.
 
 A text is encoded as SentencePiece's identity normaliser prescribes: a space is
 put before it, and spaces become U+2581.  Decoding is exact for every text, but a
@@ -49,6 +50,8 @@ DICTIONARY_BYTES = 128 << 20
 MAX_WORD = 256  # a word of more bytes is in no dictionary
 FINER = 4
 HELD_WORDS = 1 << 19  # distinct words that a task counts before it passes them on
+UNIT = 1 << 40
+TIE = round(1e-8 * UNIT)
 _POWERS = np.cumprod(np.full(MAX_WORD, _ODD, dtype=np.uint64))
 
 _KIND = np.full(256, 2, np.uint8)  # 0 space, 1 letter, 2 other
@@ -182,21 +185,26 @@ def distinct_words(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(count, "word string, n long").repartition(parts, "word").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def units(score: float) -> int:
+    """A score in whole numbers of 1 / UNIT, whose sums are exact."""
+    return round(score * UNIT)
+
+
 def piece_table(spark: SparkSession, known: Vocabulary) -> DataFrame:
-    return spark.createDataFrame(pd.DataFrame({"piece": [p.replace(SPACE, " ") for p, _, _ in known.table], "id": np.array([i for _, i, _ in known.table], np.int32), "score": [s for _, _, s in known.table]}), "piece string, id int, score double")
+    return spark.createDataFrame(pd.DataFrame({"piece": [p.replace(SPACE, " ") for p, _, _ in known.table], "id": np.array([i for _, i, _ in known.table], np.int32), "score": np.array([units(s) for _, _, s in known.table], np.int64)}), "piece string, id int, score long")
 
 
 def viterbi(edges: Column, word: Column, known: Vocabulary) -> Column:
-    """The ids of the best path, from an array of struct(end, start, score, id) with ids under 0 for characters without a piece."""
-    state = "array<struct<best:double,path:array<int>>>"
-    start = F.array(F.struct(F.lit(0.0).alias("best"), F.array().cast("array<int>").alias("path"))).cast(state)
+    """The ids of the best path, from an array of struct(end, start, score in units, id) with ids under 0 for characters without a piece."""
+    state = "array<struct<best:bigint,path:array<int>>>"
+    start = F.array(F.struct(F.lit(0).alias("best"), F.array().cast("array<int>").alias("path"))).cast(state)
 
     def step(held: Column, edge: Column) -> Column:
         came = F.get(held, edge["start"])
         new = F.struct((came["best"] + edge["score"]).alias("best"), F.concat(came["path"], F.array(edge["id"])).alias("path"))
         return (
             F.when(F.size(held) == edge["end"], F.concat(held, F.array(new)))
-            .when(new["best"] > F.element_at(held, -1)["best"], F.concat(F.slice(held, 1, edge["end"]), F.array(new)))
+            .when(new["best"] > F.element_at(held, -1)["best"] + F.lit(TIE), F.concat(F.slice(held, 1, edge["end"]), F.array(new)))
             .otherwise(held)
             .cast(state)
         )
@@ -217,25 +225,26 @@ class LongWords:
     """The best path of a long word: :func:`viterbi` with its ties, but with pointers back in place of paths."""
 
     def __init__(self, known: Vocabulary):
-        self.known, self.longest, self.penalty = known, known.longest, known.penalty
-        self.table = {p.replace(SPACE, " "): (i, s) for p, i, s in known.table}
+        self.known, self.longest, self.penalty = known, known.longest, units(known.penalty)
+        self.table = {p.replace(SPACE, " "): (i, units(s)) for p, i, s in known.table}
 
     def ids(self, word: str) -> list[int]:
         known, table, longest, penalty = self.known, self.table, self.longest, self.penalty
         n = len(word)
-        best = array("d", [-math.inf]) * (n + 1)
-        best[0] = 0.0
+        ring = longest + 1
+        best: list[int | None] = [0] + [None] * longest  # of the ends that a piece from here may reach; Python's whole numbers have no bound
         came, piece = array("i", [0]) * (n + 1), array("i", [-1]) * (n + 1)
         for start in range(n):
-            base = best[start]
+            base, best[start % ring] = best[start % ring], None
             for end in range(start + 1, min(n, start + longest) + 1):
                 edge = table.get(word[start:end])
                 if edge is None:
                     if end > start + 1:
                         continue
                     edge = (-1, penalty)
-                if base + edge[1] > best[end]:
-                    best[end], came[end], piece[end] = base + edge[1], start, edge[0]
+                held = best[end % ring]
+                if held is None or base + edge[1] > held + TIE:
+                    best[end % ring], came[end], piece[end] = base + edge[1], start, edge[0]
         out, at = [], n
         while at:
             if piece[at] >= 0:
@@ -256,7 +265,7 @@ def segment(words: DataFrame, known: Vocabulary) -> DataFrame:
     span = span.withColumn("size", F.explode(F.sequence(F.lit(1), F.least(F.lit(known.longest), F.length("word") - F.col("start")))))
     span = span.withColumn("sub", F.expr("substring(word, start + 1, size)"))
     edges = span.join(table, span["sub"] == table["piece"], "left").filter("id IS NOT NULL OR size = 1")
-    edge = F.struct((F.col("start") + F.col("size")).alias("end"), F.col("start").alias("start"), F.coalesce("score", F.lit(known.penalty)).alias("score"), F.coalesce("id", -F.col("start") - 1).alias("id"))
+    edge = F.struct((F.col("start") + F.col("size")).alias("end"), F.col("start").alias("start"), F.coalesce("score", F.lit(units(known.penalty)).cast("long")).alias("score"), F.coalesce("id", -F.col("start") - 1).alias("id"))
     grouped = edges.groupBy("word").agg(F.first("n").alias("n"), F.collect_list(edge).alias("edges"))
     return grouped.select("word", "n", viterbi(F.col("edges"), F.col("word"), known).alias("ids"))
 

@@ -126,6 +126,18 @@ def test_long_runs_by_brute_force(spark, known, most):
         assert rows[i]["round_trip"] and rows[i]["ids"] == best_path(text, known)[0], text[:20]
 
 
+def test_equal_paths_whatever_the_order_of_their_pieces(spark):
+    """Sums of 0.1, 0.2 and 0.3 differ by rounding with their order; of equal paths the one with the longer last piece wins."""
+    tokens = ["a", "aa", "aaa", sentencepiece.SPACE]
+    made = sentencepiece.vocabulary([t.replace(sentencepiece.SPACE, " ").encode() for t in tokens], [(t, i, s) for i, (t, s) in enumerate(zip(tokens, [-0.1, -0.2, -0.3, -0.1]))], [-1] * 256, 0)
+    for n in (3, 4, 5, 6, 8, 11, 100, 400):
+        want = best_path("a" * n, made)[0]
+        assert want == [3] + [0] * (n % 3 == 1) + [1] * (n % 3 == 2) + [2] * (n // 3)
+        assert sentencepiece.LongWords(made).ids(" " + "a" * n) == want
+    rows = sentencepiece.encode(spark.createDataFrame([(n, "a" * n) for n in (3, 4, 5, 6, 8, 11, 100, 400)], "doc_id long, text string"), made).collect()
+    assert all(r["ids"] == best_path("a" * r["doc_id"], made)[0] and r["round_trip"] for r in rows)
+
+
 def test_library_words_agree(known):
     assert sentencepiece.cut(" a  b1 --c") == [" a", "  b", "1 --", "c"] or "".join(sentencepiece.cut(" a  b1 --c")) == " a  b1 --c"
     long = "x" * 2000 + "é" * 900
