@@ -208,6 +208,16 @@ def release() -> None:
         pass  # another C library
 
 
+def relieve(spark: SparkSession) -> None:
+    """Have the executors collect their garbage, and so shrink their heaps: each operator begins as if it ran alone.
+
+    A heap that one operator has grown is else kept, beside the Python workers of the next.
+    There are as many tasks as cores, which the scheduler deals out to the executors in turn.
+    """
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(0, cores, 1, cores).select(F.reflect(F.lit("java.lang.System"), F.lit("gc"))).collect()
+
+
 class Tally:
     """Sums by key, in one or several columns; merged whenever what is pending outgrows half of what is merged."""
 

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from packframe.llm.common import checkpoint, counted, discard, fresh, joinable, mix, pieces, ref, release, shingles
+from packframe.llm.common import checkpoint, counted, discard, fresh, joinable, mix, pieces, ref, release, relieve, shingles
 
 SHINGLE, BANDS, ROWS, THRESHOLD, FLOOR = 3, 16, 3, 0.5, 1e-3
 COUNTERS = 22
@@ -68,10 +68,11 @@ def document_frequency(docs: DataFrame, shingle: int) -> tuple[np.ndarray, int]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, rows = np.zeros(1 << COUNTERS, np.int32), 0
-        for batch in pieces(batches, "t"):
+        for batch in pieces(batches, "t", 1 << 19):
             rows += batch.num_rows - batch.column("t").null_count
             keys, _, _ = counted(*shingles(batch.column("t"), shingle))
             np.add.at(table, slot(keys), np.int32(1))
+        release()
         if rows:
             width = np.int32 if table.max() > 65535 else np.uint16 if table.max() > 255 else np.uint8
             parts = [table[i : i + chunk].astype(width).tobytes() for i in range(0, len(table), chunk)]
@@ -289,6 +290,7 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shin
     n_links: with how many other texts the document's text was linked; pairs that are
     connected already are not compared, so it counts what was found, not all that is alike.
     """
+    relieve(docs.sparkSession)
     table = docs.select(ref(docs, doc_id).alias("id"), ref(docs, text).cast("string").alias("t0")).filter("id IS NOT NULL")
     table = table.withColumn("t", F.lower("t0"))
     counts, n = document_frequency(table.select("t"), shingle)

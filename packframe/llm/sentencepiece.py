@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from packframe.llm.common import _BYTE, _ODD, buffers, checkpoint, discard, mix, pieces, ref, release
+from packframe.llm.common import _BYTE, _ODD, buffers, checkpoint, discard, mix, pieces, ref, release, relieve
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -157,7 +157,7 @@ def distinct_words(texts: DataFrame) -> DataFrame:
             clear()
 
         clear()
-        for batch in pieces(batches, "t"):
+        for batch in pieces(batches, "t", 1 << 19):
             raw, offsets = buffers(batch.column("t"))
             hashed, starts, size = word_hashes(raw, offsets)
             if len(size) and size.max() > MAX_WORD:
@@ -350,6 +350,7 @@ def gather(table: DataFrame, most_bytes: int) -> tuple[Dictionary, bool]:
 def encode(docs: DataFrame, known: Vocabulary | None = None, doc_id: str = "doc_id", text: str = "text", dictionary_bytes: int = DICTIONARY_BYTES) -> DataFrame:
     """(doc_id, n_pieces, round_trip, ids) of each row; round_trip: whether decoding the ids gave the text."""
     spark = docs.sparkSession
+    relieve(spark)
     known = known or load()
     raw_text = ref(docs, text).cast("string")
     rows = docs.select(ref(docs, doc_id).alias("doc_id"), F.when(raw_text == "", F.lit("")).otherwise(F.concat(F.lit(" "), raw_text)).alias("t"))
