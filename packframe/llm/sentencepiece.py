@@ -195,30 +195,43 @@ def piece_table(spark: SparkSession, known: Vocabulary) -> DataFrame:
 
 
 def viterbi(edges: Column, word: Column, known: Vocabulary) -> Column:
-    """The ids of the best path, from an array of struct(end, start, score in units, id) with ids under 0 for characters without a piece."""
-    state = "array<struct<best:bigint,path:array<int>>>"
-    start = F.array(F.struct(F.lit(0).alias("best"), F.array().cast("array<int>").alias("path"))).cast(state)
+    """The ids of the best path, from an array of struct(end, start, score in units, id) with ids under 0 for characters without a piece.
+
+    The state has no paths: the best score and last edge of each end before now, and the best so far
+    of now.  An end is added once, when the next one begins; the path is traced back when all are known.
+    """
+    edge_type = "struct<end:int,start:int,score:bigint,id:int>"
+    top = F.struct(F.lit(0).cast("bigint").alias("best"), F.lit(None).cast(edge_type).alias("edge"))
+    begin = F.struct(F.array().cast(f"array<struct<best:bigint,edge:{edge_type}>>").alias("ends"), F.lit(0).alias("now"), top.alias("top"))
 
     def step(held: Column, edge: Column) -> Column:
-        came = F.get(held, edge["start"])
-        new = F.struct((came["best"] + edge["score"]).alias("best"), F.concat(came["path"], F.array(edge["id"])).alias("path"))
+        # Each end has an edge, of one character: at the first edge of an end, now is the end before it.
+        came = F.when(edge["start"] == held["now"], held["top"]["best"]).otherwise(F.get(held["ends"], edge["start"])["best"])
+        new = came + edge["score"]
+        after = [edge["end"].alias("now"), F.struct(new.alias("best"), edge.alias("edge")).alias("top")]
         return (
-            F.when(F.size(held) == edge["end"], F.concat(held, F.array(new)))
-            .when(new["best"] > F.element_at(held, -1)["best"] + F.lit(TIE), F.concat(F.slice(held, 1, edge["end"]), F.array(new)))
+            F.when(edge["end"] > held["now"], F.struct(F.array_append(held["ends"], held["top"]).alias("ends"), *after))
+            .when(new > held["top"]["best"] + F.lit(TIE), F.struct(held["ends"].alias("ends"), *after))
             .otherwise(held)
-            .cast(state)
         )
 
-    def ids(piece: Column) -> Column:
+    def put(piece: Column, path: Column) -> Column:
         char = F.hex(F.encode(F.substring(word, -piece, F.lit(1)), "UTF-8"))
         table = F.array(*[F.lit(i) for i in known.byte_ids])
         raw = F.transform(F.sequence(F.lit(1), F.length(char), F.lit(2)), lambda k: F.get(table, F.conv(F.substring(char, k, F.lit(2)), 16, 10).cast("int")))
         if min(known.byte_ids) < 0:
             raw = F.array(F.lit(known.unknown))
-        return F.when(piece >= 0, F.array(piece)).otherwise(raw)
+        return F.when(piece >= 0, F.array_prepend(path, piece)).otherwise(F.concat(raw, path))
+
+    def back(came: Column, edge: Column) -> Column:
+        return F.when(edge["end"] == came["at"], F.struct(edge["start"].alias("at"), put(edge["id"], came["path"]).alias("path"))).otherwise(came)
+
+    def trace(held: Column) -> Column:
+        edge = held["top"]["edge"]
+        last = F.struct(edge["start"].alias("at"), put(edge["id"], F.array().cast("array<int>")).alias("path"))
+        return F.aggregate(F.reverse(held["ends"]), last, lambda came, end: back(came, end["edge"]), lambda came: came["path"])
 
-    path = F.aggregate(F.sort_array(edges), start, step, lambda held: F.element_at(held, -1)["path"])
-    return F.when(F.forall(path, lambda x: x >= 0), path).otherwise(F.flatten(F.transform(path, ids)))
+    return F.aggregate(F.sort_array(edges), begin, step, trace)
 
 
 class LongWords:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import cases
@@ -138,6 +139,21 @@ def test_equal_paths_whatever_the_order_of_their_pieces(spark):
     assert all(r["ids"] == best_path("a" * r["doc_id"], made)[0] and r["round_trip"] for r in rows)
 
 
+def test_the_fold_keeps_no_paths(spark, known):
+    """Letters of long words cost about what those of short words do: no step copies the paths of all ends."""
+    draw = random.Random(8)
+    line = "".join(draw.choice("etaoinshrdlu") for _ in range(100_000))
+    cost = {}
+    for size in (10, 10, 250, 250):  # the second time counts, as code is compiled
+        words = spark.createDataFrame([(line[i : i + size], 1) for i in range(0, len(line), size)], "word string, n long").repartition(4)
+        began = time.perf_counter()
+        made = sentencepiece.segment(words, known).collect()
+        cost[size] = time.perf_counter() - began
+    assert cost[250] < 3 * cost[10]
+    long = sentencepiece.LongWords(known)
+    assert all(r["ids"] == long.ids(r["word"]) for r in made)
+
+
 def test_library_words_agree(known):
     assert sentencepiece.cut(" a  b1 --c") == [" a", "  b", "1 --", "c"] or "".join(sentencepiece.cut(" a  b1 --c")) == " a  b1 --c"
     long = "x" * 2000 + "é" * 900
