@@ -2,10 +2,14 @@
 
 Counts follow in closed form from a row's length.  Lengths are multinomial: item j
 of a row goes to the cell ``mix(md5(seed, id, side) + (j + 1) * STEP) mod cells``.
+
+An Arrow batch is cut in pieces of bounded size, and each piece is sent back before
+the next is made: a worker holds the batch, and the arrays of one piece.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,6 +24,9 @@ from packframe.functions.scalar import IGNORE, hash32, pad_width, padded
 #: Factors of the hash of an item: sums and products stay below 2**63 in any engine.
 STEP, TIMES, MASK = 2654435761, 73244475, (1 << 32) - 1
 
+#: Tokens of the rows that a numpy pass takes at once.
+PIECE = 1 << 17
+
 
 @dataclass(frozen=True)
 class SpanConfig:
@@ -54,30 +61,41 @@ def upto(n: Column) -> Column:
     return F.filter(F.sequence(F.lit(0), F.greatest(F.lit(0), n)), lambda i: i < n)
 
 
-@F.arrow_udf(T.ArrayType(T.IntegerType()))
-def _dealt(seeds: pa.Array, items: pa.Array, cells: pa.Array) -> pa.Array:
+def _pieces(size: np.ndarray) -> Iterator[slice]:
+    """Runs of rows of at most PIECE tokens and rows in all; a longer row is a run of its own."""
+    ends, start = np.append(0, np.cumsum(size + 1)), 0
+    while start < len(size):
+        end = max(start + 1, int(np.searchsorted(ends, ends[start] + PIECE, "right")) - 1)
+        yield slice(start, end)
+        start = end
+
+
+def _counts(seed: np.ndarray, many: np.ndarray, size: np.ndarray) -> pa.Array:
     """How many of a row's items fall in each of its cells, by a hash of its seed and the item's number."""
-    whole = lambda x: np.maximum(x.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), 0)
-    seed, many, size = whole(seeds), whole(items), whole(cells)
-    many[size == 0] = 0
+    many = np.where(size == 0, 0, many)
     ends, last = np.append(0, np.cumsum(size)), np.append(0, np.cumsum(many))
-    counts = np.zeros(int(ends[-1]), np.int64)
-    start = 0
-    while start < len(seed):  # about a million items at once
-        end = max(start + 1, int(np.searchsorted(last, last[start] + (1 << 20), "right")) - 1)
-        owner = np.repeat(np.arange(start, end), many[start:end])
-        x = seed[owner] + (np.arange(last[start], last[end]) - last[owner] + 1) * STEP & MASK
-        x ^= x >> 16
-        x = x * TIMES & MASK
-        x ^= x >> 16
-        counts[ends[start] : ends[end]] += np.bincount(ends[owner] - ends[start] + x % size[owner], minlength=int(ends[end] - ends[start]))
-        start = end
+    owner = np.repeat(np.arange(len(seed)), many)
+    x = seed[owner] + (np.arange(last[-1]) - last[owner] + 1) * STEP & MASK
+    x ^= x >> 16
+    x = x * TIMES & MASK
+    x ^= x >> 16
+    counts = np.bincount(ends[owner] + x % size[owner], minlength=int(ends[-1]))
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(counts.astype(np.int32)))
 
 
-def spread(items: Column, cells: Column, side: str, key: Column, config: SpanConfig) -> Column:
-    """How many of the items fall in each cell; one md5 a row seeds the arithmetic that places them."""
-    return _dealt(hash32(F.lit(config.seed), key, F.lit(side)), items, cells)
+#: Both sides of a row, each of (seed, items, cells), as one iterator takes one worker.
+@F.arrow_udf(T.StructType([T.StructField(side, T.ArrayType(T.IntegerType())) for side in ("noise", "gap")]))
+def _dealt(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+    for batch in batches:
+        held = [np.maximum(x.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), 0) for x in batch]
+        for rows in _pieces(held[1] + held[2] + held[4] + held[5]):
+            part = [x[rows] for x in held]
+            yield pa.StructArray.from_arrays([_counts(*part[:3]), _counts(*part[3:])], ["noise", "gap"])
+
+
+def spread(noise: tuple[Column, Column], gap: tuple[Column, Column], key: Column, config: SpanConfig) -> Column:
+    """How many of the items fall in each cell, of both sides' (items, cells); one md5 a row and side seeds the arithmetic that places them."""
+    return _dealt(*(x for side, held in (("noise", noise), ("gap", gap)) for x in (hash32(F.lit(config.seed), key, F.lit(side)), *held)))
 
 
 def spans(df: DataFrame, config: SpanConfig = SpanConfig(), key: str = "example_id", length: str = "L") -> DataFrame:
@@ -87,12 +105,11 @@ def spans(df: DataFrame, config: SpanConfig = SpanConfig(), key: str = "example_
     out = out.withColumn("_keep", F.greatest(F.lit(0), F.col(length) - F.col("noise_n")))
     keep, n, s, k = F.col("_keep"), F.col("noise_n"), F.col("span_n"), F.col(key)
     roomy, many = keep >= s + 1, n >= s
-    out = out.withColumn("_noise", spread(F.when(many, n - s).otherwise(F.lit(0)), s, "noise", k, config))
-    out = out.withColumn("_gap", spread(F.when(roomy, keep - s - 1).otherwise(keep), s + 1, "gap", k, config))
+    out = out.withColumn("_dealt", spread((F.when(many, n - s).otherwise(F.lit(0)), s), (F.when(roomy, keep - s - 1).otherwise(keep), s + 1), k, config))
     none = F.array().cast("array<int>")
-    lens = F.transform("_noise", lambda x: x + 1)
-    gaps = F.when(roomy, F.transform("_gap", lambda x: x + 1)).otherwise(F.col("_gap"))
-    return out.withColumn("noise_lens", F.when(s > 0, lens).otherwise(none)).withColumn("gap_lens", F.when(s > 0, gaps).otherwise(F.array(F.col(length)))).drop("_keep", "_noise", "_gap")
+    lens = F.transform("_dealt.noise", lambda x: x + 1)
+    gaps = F.when(roomy, F.transform("_dealt.gap", lambda x: x + 1)).otherwise(F.col("_dealt.gap"))
+    return out.withColumn("noise_lens", F.when(s > 0, lens).otherwise(none)).withColumn("gap_lens", F.when(s > 0, gaps).otherwise(F.array(F.col(length)))).drop("_keep", "_dealt")
 
 
 def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -102,12 +119,11 @@ def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _replaced(config: SpanConfig):
-    """(ids, gap_lens, noise_lens) -> struct(corrupted, target), a batch of rows in a few numpy passes."""
+    """(ids, gap_lens, noise_lens) -> struct(corrupted, target), a piece of a batch in a few numpy passes."""
     sentinels = np.array(config.sentinels, np.int64)
     lists = T.ArrayType(T.IntegerType())
 
-    @F.arrow_udf(T.StructType([T.StructField("corrupted", lists), T.StructField("target", lists)]))
-    def run(ids: pa.Array, gaps: pa.Array, noise: pa.Array) -> pa.Array:
+    def made(ids: pa.Array, gaps: pa.Array, noise: pa.Array) -> pa.Array:
         (token, rows), (gap, gap_at), (cut, cut_at) = _flat(ids), _flat(gaps), _flat(noise)
         n_spans = np.diff(cut_at)
         has = n_spans > 0
@@ -151,6 +167,12 @@ def _replaced(config: SpanConfig):
 
         return pa.StructArray.from_arrays([built(~is_cut, False, []), built(is_cut, True, [] if config.eos is None else [config.eos])], ["corrupted", "target"])
 
+    @F.arrow_udf(T.StructType([T.StructField("corrupted", lists), T.StructField("target", lists)]))
+    def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for rows in _pieces(batch[0].value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)):
+                yield made(*(x[rows] for x in batch))
+
     return run
 
 

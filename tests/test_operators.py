@@ -5,10 +5,13 @@ from __future__ import annotations
 import json
 import math
 import random
+import threading
 from collections import Counter
 from dataclasses import asdict
 
 import numpy as np
+import psutil
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -162,6 +165,48 @@ def test_spans_restore_the_input(spark):
         assert len(r["corrupted"]) == n - r["noise_n"] + r["span_n"] and len(r["target"]) == r["noise_n"] + r["span_n"] + 1
 
 
+def test_spans_hold_a_piece_of_a_batch(spark):
+    """A worker grows by the batch as it is read (48 MB here) and the arrays of one piece, not by arrays of the whole batch."""
+    rows = spark.range(0, 6000, 1, 1).select(F.col("id").alias("example_id"), F.sequence(F.lit(2), F.lit(2001)).alias("input_ids"))
+    begun, grown, ended = {}, Counter(), threading.Event()
+
+    def watch() -> None:
+        while not ended.wait(0.02):
+            for p in psutil.Process().children(recursive=True):
+                try:
+                    if "python" in p.name():
+                        held = p.memory_info().rss >> 20
+                        grown[p.pid] = max(grown[p.pid], held - begun.setdefault(p.pid, held))
+                except psutil.Error:
+                    pass
+
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    try:
+        corrupt.corrupt(rows).select("corrupted", "target").write.format("noop").mode("overwrite").save()
+    finally:
+        ended.set()
+        watcher.join()
+    assert max(grown.values()) < 400, grown
+
+
+def test_spans_are_the_same_in_pieces(spark, monkeypatch):
+    values = [None, 0, 1, 2, 40, 0, 700, 3, 3, 90, None]
+    rows = spark.createDataFrame([(i, None if n is None else list(range(100, 100 + n))) for i, n in enumerate(values)], "example_id long, input_ids array<int>")
+    made = [tuple(r) for r in corrupt.corrupt(rows.coalesce(1)).select("input_ids", "gap_lens", "noise_lens", "corrupted", "target").collect()]
+    lists = pa.list_(pa.int32())
+    batch = tuple(pa.array([r[k] for r in made], lists) for k in range(3))
+    dealt = tuple(pa.array(x) for x in ([7, 8, 9, None], [5, 900, 0, 3], [2, 30, 4, 0], [1, 2, 3, 4], [60, 0, 7, 1], [9, 1, 3, 2]))
+    whole = pa.concat_arrays(corrupt._dealt.func(iter([dealt]))).to_pylist()
+    assert [(sum(r["noise"]), len(r["noise"]), sum(r["gap"]), len(r["gap"])) for r in whole] == [(5, 2, 60, 9), (900, 30, 0, 1), (0, 4, 7, 3), (0, 0, 1, 2)]
+    for piece in (1, 7, 100, 1 << 17):
+        monkeypatch.setattr(corrupt, "PIECE", piece)
+        got = list(corrupt._replaced(corrupt.SpanConfig()).func(iter([batch, tuple(x[:0] for x in batch), batch])))
+        assert all(len(x) == 1 or x.field("corrupted").flatten().nbytes <= 8 * piece for x in got)
+        assert [(r["corrupted"], r["target"]) for r in pa.concat_arrays(got).to_pylist()] == 2 * [r[3:] for r in made]
+        assert pa.concat_arrays(corrupt._dealt.func(iter([dealt]))).to_pylist() == whole
+
+
 def test_collated_widths(spark):
     rows = spark.createDataFrame([(1, [1, 2, 3], [1, 1, 1], [5], 0), (2, [1], [1], [5, -100, 7], 0), (3, None, None, None, 1)], "example_id long, input_ids array<int>, attention_mask array<int>, labels array<int>, b int")
     found = {r["example_id"]: r for r in collate.collated(rows, ["b"], 0, 2, 8, 8).collect()}
